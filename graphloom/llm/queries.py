@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chunking, tokens
+from graphloom.llm import chunking, packing, percentiles, repetition, tokens
 from graphloom.session import read_table
 
 
@@ -28,17 +28,69 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(docs).select("doc_id", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def p3_metric_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.percentiles(percentiles.metric_rows(read_table(spark, sf_dir, "metric_points")), ["metric", "label"])
+
+
+def p3_query_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.percentiles(percentiles.query_rows(read_table(spark, sf_dir, "query_stats")), ["query_type"])
+
+
+def p3_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of each day, added up: the same percentiles within a share of 2**-20."""
+    stats = read_table(spark, sf_dir, "query_stats").filter(F.col("execution_time") >= 0)
+    rows = percentiles.once(stats.select("query_id", "query_type", F.to_date("started_at").alias("day"), "execution_time"), "query_id", ["day", "query_type"], "execution_time")
+    days = percentiles.histogram(rows, ["day", "query_type"])
+    return percentiles.of_histogram(percentiles.merge(days, ["query_type"]), ["query_type"])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(read_table(spark, sf_dir, "graph_summaries")).filter("repeated").select("id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(read_table(spark, sf_dir, "graph_summaries")).select("id", "n_sequences", F.round("repeated_share", 6).alias("repeated_share"))
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p3_metric_percentiles": p3_metric_percentiles,
+    "p3_query_percentiles": p3_query_percentiles,
+    "p3_merged_days": p3_merged_days,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
+    "p9_containers": p9_containers,
 }
 
+_SEQUENCES = """
+    WITH t AS (SELECT id, max_by(content, last_updated) AS content, max(content) AS c FROM graph_summaries WHERE id IS NOT NULL GROUP BY id),
+    w AS (SELECT id, regexp_extract_all(lower(coalesce(content, c, '')), '[\\p{L}\\p{N}]+') AS w FROM t),
+    s AS (SELECT id, [array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)] AS s FROM w),
+    r AS (SELECT id, len(s) AS n, CASE WHEN len(s) > 0 THEN 1 - len(list_distinct(s)) / len(s) ELSE 0 END AS share FROM s)"""
+_RANKS = """
+    , r AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY v) AS k, count(*) OVER (PARTITION BY {g}) AS n FROM v),
+    q AS (SELECT unnest([0.25, 0.5, 0.9, 0.95, 0.99])::DOUBLE AS p)
+    SELECT {g}, p, n, v AS value FROM r, q WHERE k = greatest(1, ceil(round(p * n, 6)))"""
+
 ORACLES: dict[str, str] = {
     "p1_found": """
         SELECT DISTINCT d.doc_id FROM source_documents d LEFT JOIN run_configs c ON c.config_id = coalesce(d.config_id, 'default')
         WHERE d.doc_id IS NOT NULL AND length(d.content) > coalesce(c.chunk_size, 1000)""",
-    "p8_decoded": None,
+    "p3_metric_percentiles": """
+    WITH v AS (SELECT point_id, metric, labels['component'] AS label, min(value) AS v FROM metric_points
+               WHERE point_id IS NOT NULL AND isfinite(value) GROUP BY ALL)"""
+    + _RANKS.format(g="metric, label"),
+    "p3_query_percentiles": """
+    WITH v AS (SELECT query_id, query_type, min(execution_time) AS v FROM query_stats
+               WHERE query_id IS NOT NULL AND isfinite(execution_time) AND execution_time >= 0 GROUP BY ALL)"""
+    + _RANKS.format(g="query_type"),
+    "p7_found": _SEQUENCES + " SELECT id FROM r WHERE share >= 0.30",
+    "p7_shares": _SEQUENCES + " SELECT id, n AS n_sequences, round(share, 6)::DOUBLE AS repeated_share FROM r",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}
