@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chunking, packing, percentiles, repetition, tokens
+from graphloom.llm import chunking, neardup, packing, percentiles, repetition, tokens
 from graphloom.session import read_table
 
 
@@ -44,6 +44,17 @@ def p3_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.of_histogram(percentiles.merge(days, ["query_type"]), ["query_type"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped_pairs(read_table(spark, sf_dir, "source_documents"))
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its class of equal texts and the number of links of the class to others."""
+    members, links = neardup.near_duplicates(read_table(spark, sf_dir, "source_documents"), 0.8, 5)
+    ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "cls", "left").select("doc_id", F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(read_table(spark, sf_dir, "graph_summaries")).filter("repeated").select("id")
 
@@ -62,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_metric_percentiles": p3_metric_percentiles,
     "p3_query_percentiles": p3_query_percentiles,
     "p3_merged_days": p3_merged_days,
+    "p6_found": p6_found,
+    "p6_classes": p6_classes,
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p8_ids": p8_ids,
