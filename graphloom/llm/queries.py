@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chunking, neardup, packing, percentiles, repetition, tokens
+from graphloom.llm import chunking, neardup, packing, percentiles, repetition, residue, tokens
 from graphloom.session import read_table
 
 
@@ -67,6 +67,14 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(read_table(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(read_table(spark, sf_dir, "documents")).filter("excluded").select("doc_id")
+
+
+def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -80,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p8_decoded": p8_decoded,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_evidence": p10_evidence,
 }
 
 _SEQUENCES = """
