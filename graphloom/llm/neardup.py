@@ -23,7 +23,8 @@ from graphloom.session import cut
 
 BLOCKS, MINIMA = 20, 4  # 20 anchors and 20 segments of three minima: a pair at 0.6 is missed once in about 80
 RADIUS = 4  # a segment's keys are the codewords within four bits, one to seven
-HOT = 64  # keys of more classes than this are left to the exact join
+KEY_BITS = 40  # chance matches of keys are settled by comparing signatures
+HOT = 256  # keys of more classes than this are left to the exact join
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1 (fixed value of the code)
 #: Rows up to which a set of ids is sent to all executors instead of being joined by a shuffle.
 SMALL_ROWS = 200_000
@@ -73,13 +74,22 @@ def keys_of(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     index = (segment[:, :, None] ^ table[s]) >> 11  # systematic: the upper 12 bits name the codeword
     used = np.arange(table.shape[1])[None, None, :] < counts[s][:, :, None]
     base = mix(m[:, :, 0] + np.arange(1, BLOCKS + 1, dtype=np.uint64)[None, :])
-    keys = mix(base[:, :, None] + index.astype(np.uint64))
+    keys = mix(base[:, :, None] + index.astype(np.uint64)) >> np.uint64(64 - KEY_BITS)
     row = np.broadcast_to(np.arange(len(m))[:, None, None], keys.shape)
     return keys[used].view(np.int64), row[used]
 
 
+def signatures(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One bit of 64 minima, and four bits of all 80, of each fingerprint."""
+    m = mix(mins ^ np.uint64(0x5851F42D4C957F2D))
+    at = np.arange(64, dtype=np.uint64)
+    short = ((m[:, :64] & np.uint64(1)) << at).sum(axis=1, dtype=np.uint64)
+    nibbles = (m >> np.uint64(60)).reshape(len(m), -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return short.view(np.int64), nibbles.sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, cls (hash of the set of sequences) and keys of every text that has ``n`` words."""
+    """doc_id, cls (hash of the set of sequences), keys and signatures of every text that has ``n`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -97,12 +107,13 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
                 if not ids:
                     continue
                 keys, row = keys_of(np.array(mins))
+                short, wide = signatures(np.array(mins))
                 ends = np.searchsorted(row, np.arange(len(ids) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(cls, pa.int64()), lists], names=["doc_id", "cls", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(cls, pa.int64()), lists, pa.array(short), pa.array(list(wide), pa.list_(pa.int64()))], names=["doc_id", "cls", "keys", "short", "wide"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, cls long, keys array<long>")
+    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, cls long, keys array<long>, short long, wide array<long>")
 
 
 def shingle_sets(docs: DataFrame, key: str, n: int) -> DataFrame:
@@ -143,6 +154,17 @@ def exact_pairs(sets: DataFrame, least: float) -> DataFrame:
     return a.join(b, "_x").filter(fits).select("a", "b").distinct()
 
 
+def far_bits(least: float, minima: int, bits: int) -> int:
+    """Differing bits that signatures of a pair at ``least`` exceed about once in ten thousand times.
+
+    A minimum differs with probability 1 - least, and each of its bits then differs in half of the cases.
+    """
+    p = 1 - least
+    mean = p * bits / 2
+    spread = (p * (bits / 4 + bits * bits / 4) - mean * mean) ** 0.5
+    return int(minima * mean + 3.8 * spread * minima**0.5)
+
+
 def near_duplicates(docs: DataFrame, least: float = 0.60, n: int = 3) -> tuple[DataFrame, DataFrame]:
     """Classes of equal texts and the links between them.
 
@@ -154,14 +176,21 @@ def near_duplicates(docs: DataFrame, least: float = 0.60, n: int = 3) -> tuple[D
     docs = docs.select("doc_id", "content").filter(F.col("doc_id").isNotNull() & F.col("content").isNotNull())
     prints = cut(fingerprints(docs, n))
     members = prints.select("doc_id", "cls").distinct()
-    classes = prints.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
-    keyed = classes.select("cls", "rep", F.explode("keys").alias("key"))
+    classes = prints.groupBy("cls").agg(F.first(F.struct("keys", "short")).alias("_f"))
+    keyed = classes.select("cls", "_f.short", F.explode("_f.keys").alias("key"))
     size = F.count("*").over(Window.partitionBy("key"))
     shared = cut(keyed.withColumn("_n", size).filter(F.col("_n") > 1))
     some = shared.filter(F.col("_n") <= HOT)
-    a, b = some.select(F.col("cls").alias("a"), "key"), some.select(F.col("cls").alias("b"), "key")
-    pairs = a.join(b, "key").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
-    reps = cut(shared.groupBy("cls").agg(F.min("rep").alias("doc_id"), F.max((F.col("_n") > HOT).cast("int")).alias("_hot")))
+    a, b = some.select(F.col("cls").alias("a"), F.col("short").alias("_sa"), "key"), some.select(F.col("cls").alias("b"), F.col("short").alias("_sb"), "key")
+    near = F.bit_count(F.col("_sa").bitwiseXOR(F.col("_sb"))) <= far_bits(least, 64, 1)
+    pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    wide = prints.groupBy("cls").agg(F.first("wide").alias("w"))
+    both = pairs.join(wide.select(F.col("cls").alias("a"), F.col("w").alias("_wa")), "a").join(wide.select(F.col("cls").alias("b"), F.col("w").alias("_wb")), "b")
+    differ = sum((F.bit_count(F.col("_wa")[i].bitwiseXOR(F.col("_wb")[i])) for i in range(BLOCKS * MINIMA // 16)), F.lit(0))
+    pairs = cut(both.filter(differ <= far_bits(least, BLOCKS * MINIMA, 4)).select("a", "b"))
+    hot = shared.filter(F.col("_n") > HOT).select("cls").distinct().withColumn("_hot", F.lit(1))
+    held = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(hot, "cls", "full_outer")
+    reps = cut(held.join(members, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.max("_hot"), F.lit(0)).alias("_hot")))
     total, hot = reps.agg(F.count("*"), F.coalesce(F.sum("_hot"), F.lit(0))).first()
     texts = docs.join(maybe_broadcast(reps, total), "doc_id").select("cls", "content", "_hot")
     once = texts.groupBy("cls").agg(F.first("content").alias("content"), F.first("_hot").alias("_hot"))
