@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chunking, neardup, packing, percentiles, repetition, residue, tokens
+from graphloom.llm import chunking, names, neardup, packing, percentiles, repetition, residue, tokens
 from graphloom.session import read_table
 
 
@@ -44,6 +44,14 @@ def p3_merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.of_histogram(percentiles.merge(days, ["query_type"]), ["query_type"])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.name_pairs(read_table(spark, sf_dir, "extraction_results"))
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_names(read_table(spark, sf_dir, "extraction_results"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped_pairs(read_table(spark, sf_dir, "source_documents"))
 
@@ -81,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_metric_percentiles": p3_metric_percentiles,
     "p3_query_percentiles": p3_query_percentiles,
     "p3_merged_days": p3_merged_days,
+    "p4_found": p4_found,
+    "p4_entities": p4_entities,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
     "p7_found": p7_found,
