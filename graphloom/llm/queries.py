@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chunking, names, neardup, packing, percentiles, repetition, residue, tokens
+from graphloom.llm import chunking, names, neardup, packing, percentiles, repetition, residue, tokens, vectors
 from graphloom.session import read_table
 
 
@@ -52,6 +52,15 @@ def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_names(read_table(spark, sf_dir, "extraction_results"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.neighbour_pairs(read_table(spark, sf_dir, "embedding_cache"))
+
+
+def p5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors of every vector, at any similarity."""
+    return vectors.nearest(read_table(spark, sf_dir, "embedding_cache")).select("id", "other", F.round("similarity", 4).alias("similarity"), "place")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped_pairs(read_table(spark, sf_dir, "source_documents"))
 
@@ -91,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_merged_days": p3_merged_days,
     "p4_found": p4_found,
     "p4_entities": p4_entities,
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
     "p7_found": p7_found,
