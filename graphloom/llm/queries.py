@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import chunking, names, neardup, packing, percentiles, repetition, residue, tokens, vectors
+from graphloom.llm import chunking, names, neardup, packing, percentiles, repetition, residue, scans, tokens, vectors
 from graphloom.session import read_table
 
 
@@ -28,6 +28,14 @@ def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(docs).select("doc_id", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(read_table(spark, sf_dir, "source_documents")).select("doc_id", F.explode("noise").alias("noise"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(read_table(spark, sf_dir, "source_documents")).select("doc_id", F.array_join("noise", ",").alias("noise"), "repaired")
+
+
 def p3_metric_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.metric_rows(read_table(spark, sf_dir, "metric_points")), ["metric", "label"])
 
@@ -95,6 +103,8 @@ def p10_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_metric_percentiles": p3_metric_percentiles,
     "p3_query_percentiles": p3_query_percentiles,
     "p3_merged_days": p3_merged_days,
