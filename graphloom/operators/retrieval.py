@@ -91,9 +91,9 @@ def best_first(relationships: DataFrame, vectors: DataFrame, centers: list, quer
     return done, ego_distances(edges, picked, depth)
 
 
-def staged(relationships: DataFrame, vectors: DataFrame, membership: DataFrame, query: list[float], depth: int = 2, least: float = 0.7, k: int = 10) -> dict[str, DataFrame]:
+def staged(relationships: DataFrame, vectors: DataFrame, membership: DataFrame, query: list[float], depth: int = 2, least: float = 0.7, k: int = 10, community_least: float = 0.3) -> dict[str, DataFrame]:
     """Five stages: communities, ego subgraphs of their most similar nodes, context, refinement, ranking."""
-    chosen = cut(communities_for(vectors, membership, query))
+    chosen = cut(communities_for(vectors, membership, query, least=community_least))
     members = membership.join(chosen, "community", "left_semi")
     inside = relationships.join(members.select(F.col("id").alias("src")), "src", "left_semi").join(members.select(F.col("id").alias("dst")), "dst", "left_semi")
     starts = cut(top_similar(vectors.join(members, "id", "left_semi"), "id", query, k))

@@ -55,7 +55,7 @@ def community_summaries(entities: DataFrame, relationships: DataFrame, membershi
     names = ("person", "organization", "location", "event")
     counts = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"{n}_count") > 0, F.format_string(f"{n}: %d", F.col(f"{n}_count"))) for n in names])), ", ")
     joined = stats.join(internal_relations(entities, relationships, membership), "community", "left")
-    prompt = F.concat(F.format_string("Nodes: %d\nDensity: %.2f\nTypes: ", "node_count", "density"), counts, F.lit("\nRelations:\n"), F.coalesce("relations", F.lit("")))
+    prompt = F.concat(F.format_string("Nodes: %d\nDensity: %.2f\nTypes: ", F.col("node_count"), F.bround("density", 2)), counts, F.lit("\nRelations:\n"), F.coalesce("relations", F.lit("")))
     return joined.select("community", "node_count", "density", generate(prompt).alias("content"))
 
 
@@ -76,7 +76,7 @@ def global_summary(entities: DataFrame, relationships: DataFrame, membership: Da
     top = top_communities(membership)
     sizes = top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("size", F.col("community").cast("string").alias("c"))), asc=False), lambda x: F.format_string("- %s: %d", x["c"], x["size"])), "\n").alias("lines"), F.sum("size").alias("covered"))
     one = global_statistics(entities, relationships, membership).join(sizes, F.lit(True))
-    prompt = F.concat(F.format_string("Communities: %d\nAverage size: %.1f\nLargest:\n", "n_communities", "avg_size"), F.coalesce("lines", F.lit("")))
+    prompt = F.concat(F.format_string("Communities: %d\nAverage size: %.1f\nLargest:\n", F.col("n_communities"), F.bround("avg_size", 1)), F.coalesce("lines", F.lit("")))
     return one.select("n_communities", "covered", generate(prompt).alias("content"))
 
 
