@@ -722,8 +722,8 @@ def path_edge_costs(spark, d):
 def path_cheapest(spark, d):
     """Least cost from every nation to every region over at most five edges (walks with repeats are never cheaper)."""
     starts = table(spark, d, "nation").select(X.ident("nation", "n_nationkey").alias("id"))
-    p = P.cheapest_paths(P.costed(X.located(spark, d).unionByName(X.supplied(spark, d))), starts)
-    return p.filter(F.col("id").startswith("region")).select("start", "id", "cost")
+    ends = table(spark, d, "region").select(X.ident("region", "r_regionkey").alias("id"))
+    return P.cheapest_paths(P.costed(X.relationships(spark, d)), starts, targets=ends).select("start", "id", "cost")
 
 
 SIMPLE = "WITH RECURSIVE " + GEO + """, gw AS (SELECT src, dst FROM geo UNION SELECT dst, src FROM geo), walk(id, nodes, hops) AS (SELECT 'nation_1', ['nation_1'], 0 UNION ALL

@@ -36,26 +36,49 @@ def costed(relationships: DataFrame) -> DataFrame:
     return e.groupBy("src", "dst").agg(F.min_by(F.struct("type", "confidence"), F.struct(cost.alias("c"), "type")).alias("e"), F.min(cost).alias("cost")).select("src", "dst", "e.type", "e.confidence", "cost")
 
 
-def cheapest_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """start, id, cost, hops, nodes: the cheapest path of at most ``max_nodes`` nodes from each start to each node.
+def cheapest_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = MAX_NODES, targets: DataFrame | None = None) -> DataFrame:
+    """start, id, cost, hops, nodes: the cheapest path of at most ``max_nodes`` nodes from each start to each node, or to ``targets`` (ids).
 
-    ``edges`` comes from ``costed``.  Only the best path to each node and number of hops goes on, so a round's rows are bounded
-    by starts times nodes.  Ties go to fewer hops, then to the nodes in order.  A start has no path to itself.
+    ``edges`` comes from ``costed``.  First only costs go out, a hop a round, and only where they are below those of fewer hops;
+    then the nodes of the wanted paths are found backwards.  Ties go to fewer hops, then to the smaller node at each step
+    back.  A start has no path to itself.
     """
-    front = starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("cost"), F.array("id").alias("nodes"))
+    edges = cut(edges.select("src", "dst", "cost"))
+    levels = [starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("cost"))]
+    for _ in range(1, max_nodes):
+        step = levels[-1].join(edges.select(F.col("src").alias("id"), "dst", F.col("cost").alias("c")), "id")
+        least = step.groupBy("start", F.col("dst").alias("id")).agg(F.min(F.col("cost") + F.col("c")).alias("cost")).filter("start <> id")
+        if len(levels) > 1:
+            known = levels[1]
+            for x in levels[2:]:
+                known = known.unionByName(x)
+            known = known.groupBy("start", "id").agg(F.min("cost").alias("known"))
+            least = least.join(known, ["start", "id"], "left").filter(F.col("known").isNull() | (F.col("cost") < F.col("known"))).drop("known")
+        levels.append(cut(least))
     every = None
-    for hops in range(1, max_nodes):
-        step = front.join(edges.select(F.col("src").alias("id"), "dst", F.col("cost").alias("c")), "id").filter(~F.array_contains("nodes", F.col("dst")))
-        grown = step.select("start", F.col("dst").alias("id"), (F.col("cost") + F.col("c")).alias("cost"), F.concat("nodes", F.array("dst")).alias("nodes"))
-        front = cut(grown.groupBy("start", "id").agg(F.min(F.struct("cost", "nodes")).alias("b")).select("start", "id", "b.cost", "b.nodes"))
-        rows = front.withColumn("hops", F.lit(hops))
+    for hops, x in enumerate(levels[1:], 1):
+        if targets is not None:
+            x = x.join(targets.select("id"), "id", "left_semi")
+        rows = x.select("start", "id", "cost", F.lit(hops).alias("hops"))
         every = rows if every is None else every.unionByName(rows)
-    return every.groupBy("start", "id").agg(F.min(F.struct("cost", "hops", "nodes")).alias("b")).select("start", "id", "b.cost", "b.hops", "b.nodes")
+    best = every.groupBy("start", "id").agg(F.min(F.struct("cost", "hops")).alias("b")).select("start", "id", "b.cost", "b.hops")
+    walk = cut(best.select("*", F.col("id").alias("at"), F.col("cost").alias("left"), F.array("id").alias("nodes")))
+    back = edges.select(F.col("dst").alias("at"), F.col("src").alias("before"), F.col("cost").alias("c"))
+    done = walk.filter("false")
+    for hops in range(max_nodes - 1, 0, -1):
+        now, later = walk.filter(F.col("hops") == hops), walk.filter(F.col("hops") < hops)
+        prior = levels[hops - 1].select("start", F.col("id").alias("before"), F.col("cost").alias("pc"))
+        going = now.unionByName(done)
+        step = going.join(back, "at").join(prior, ["start", "before"]).filter(F.col("left") - F.col("c") == F.col("pc"))
+        one = step.groupBy("start", "id", "cost", "hops").agg(F.min(F.struct("before", "pc", "nodes")).alias("m"))
+        done = cut(one.select("start", "id", "cost", "hops", F.col("m.before").alias("at"), F.col("m.pc").alias("left"), F.concat(F.array("m.before"), "m.nodes").alias("nodes")))
+        walk = later
+    return done.select("start", "id", "cost", "hops", "nodes")
 
 
 def simple_paths(edges: DataFrame, start: str, end: str, max_edges: int = 5) -> DataFrame:
     """nodes, cost, hops of every simple path between two nodes.  Only nodes that can still reach the end in time are walked."""
-    ways = edges.select("src", "dst", "cost")
+    ways = cut(edges.select("src", "dst", "cost"))
     # Distance of each node to the end, breadth first, to prune the walk.
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
@@ -108,7 +131,8 @@ def multi_target_paths(edges: DataFrame, start: str, targets: list[str], most: i
     left, used, rows = [t for t in targets if t != start], set(), []
     while left and len(rows) < most:
         open_ = edges.filter(~F.col("src").isin(*used) & ~F.col("dst").isin(*used)) if used else edges
-        best = cheapest_paths(open_, source).filter(F.col("id").isin(*left)).agg(F.min(F.struct("cost", "hops", "nodes", "id")).alias("b")).first()["b"]
+        wanted = spark.createDataFrame([(t,) for t in left], f"id {kind}")
+        best = cheapest_paths(open_, source, targets=wanted).agg(F.min(F.struct("cost", "hops", "nodes", "id")).alias("b")).first()["b"]
         if best is None:
             break
         rows.append((len(rows) + 1, best["id"], best["nodes"], best["cost"]))
@@ -121,8 +145,8 @@ def connecting_paths(edges: DataFrame, nodes: list[str], first: str) -> DataFram
     """place, start, id, nodes, cost: a stated set of nodes is connected, always by the cheapest path from it to a node not yet reached."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-    table = cut(cheapest_paths(edges, spark.createDataFrame([(n,) for n in nodes], f"id {kind}")).filter(F.col("id").isin(*nodes)))
-    links = {(r["start"], r["id"]): r for r in table.collect()}  # pairs of the stated nodes
+    ids = spark.createDataFrame([(n,) for n in nodes], f"id {kind}")
+    links = {(r["start"], r["id"]): r for r in cheapest_paths(edges, ids, targets=ids).collect()}  # pairs of the stated nodes
     reached, rows = {first}, []
     while True:
         open_ = [r for (a, b), r in links.items() if a in reached and b not in reached]
