@@ -26,6 +26,8 @@ RADIUS = 4  # a segment's keys are the codewords within four bits, one to seven
 KEY_BITS = 40  # chance matches of keys are settled by comparing signatures
 HOT = 256  # keys of more classes than this are left to the exact join
 GENERATOR = 0b101011100011  # x^11+x^9+x^7+x^6+x^5+x+1 (fixed value of the code)
+#: Of one in so many classes the keys are counted first: keys that so many of these share are hot for certain and are left out of the grouping.
+SAMPLED, SURE = 64, 16
 #: Rows up to which a set of ids is sent to all executors instead of being joined by a shuffle.
 SMALL_ROWS = 200_000
 
@@ -178,6 +180,13 @@ def near_duplicates(docs: DataFrame, least: float = 0.60, n: int = 3) -> tuple[D
     members = prints.select("doc_id", "cls").distinct()
     classes = prints.groupBy("cls").agg(F.first(F.struct("keys", "short")).alias("_f"))
     keyed = classes.select("cls", "_f.short", F.explode("_f.keys").alias("key"))
+    sample = prints.filter(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("cls").agg(F.first("keys").alias("keys"))
+    common = cut(sample.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("_c")).filter(F.col("_c") >= SURE).select("key"))
+    n_common = common.count()
+    early = keyed.filter("false").select("cls")
+    if n_common:
+        early = cut(keyed.join(maybe_broadcast(common, n_common), "key", "left_semi").select("cls").distinct())
+        keyed = keyed.join(maybe_broadcast(common, n_common), "key", "left_anti")
     size = F.count("*").over(Window.partitionBy("key"))
     shared = cut(keyed.withColumn("_n", size).filter(F.col("_n") > 1))
     some = shared.filter(F.col("_n") <= HOT)
@@ -188,7 +197,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.60, n: int = 3) -> tuple[D
     both = pairs.join(wide.select(F.col("cls").alias("a"), F.col("w").alias("_wa")), "a").join(wide.select(F.col("cls").alias("b"), F.col("w").alias("_wb")), "b")
     differ = sum((F.bit_count(F.col("_wa")[i].bitwiseXOR(F.col("_wb")[i])) for i in range(BLOCKS * MINIMA // 16)), F.lit(0))
     pairs = cut(both.filter(differ <= far_bits(least, BLOCKS * MINIMA, 4)).select("a", "b"))
-    hot = shared.filter(F.col("_n") > HOT).select("cls").distinct().withColumn("_hot", F.lit(1))
+    hot = shared.filter(F.col("_n") > HOT).select("cls").union(early).distinct().withColumn("_hot", F.lit(1))
     held = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(hot, "cls", "full_outer")
     reps = cut(held.join(members, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.max("_hot"), F.lit(0)).alias("_hot")))
     total, hot = reps.agg(F.count("*"), F.coalesce(F.sum("_hot"), F.lit(0))).first()

@@ -24,9 +24,11 @@ def edited(rng, w, share):
     return [rng.choice(VOCAB) if rng.random() < share else x for x in w]
 
 
-@pytest.mark.parametrize("hot", [256, 3])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,sampled,sure", [(256, 64, 16), (3, 64, 16), (256, 1, 4)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, hot, sampled, sure):
     monkeypatch.setattr(neardup, "HOT", hot)  # 3: most keys are left to the exact join
+    monkeypatch.setattr(neardup, "SAMPLED", sampled)  # 1 and 4: common keys are left out before
+    monkeypatch.setattr(neardup, "SURE", sure)
     rng = random.Random(11)
     texts = []
     block = words(rng, 60)
