@@ -708,6 +708,40 @@ def g_importance_ranking(spark, d):
     return parts.select("id", F.round((F.col("degree_centrality") + F.col("betweenness") + F.col("centrality") + F.col("rank")) / 4, 9).alias("importance"))
 
 
+@query(DIST + ", " + TRI + """, t AS (SELECT id, count(*) AS t FROM (SELECT unnest([x, y, z]) AS id FROM tri) GROUP BY 1), cl AS (SELECT avg(CASE WHEN d < 2 THEN 0 ELSE 2 * coalesce(t, 0) / (d * (d - 1)) END) AS c FROM sd LEFT JOIN t USING (id)),
+comp AS (SELECT source, min(id) AS c, count(*) AS n FROM dist GROUP BY 1), top AS (SELECT c FROM comp ORDER BY n DESC, c DESC LIMIT 1)
+SELECT (SELECT count(*) FROM sd) AS n_nodes, (SELECT count(*) FROM sim) AS n_edges, round((SELECT 2 * count(*) FROM sim) / ((SELECT count(*) FROM sd) * ((SELECT count(*) FROM sd) - 1)), 9) AS density, round((SELECT c FROM cl), 9) AS avg_clustering,
+ (SELECT count(DISTINCT c) FROM comp) AS n_components, (SELECT max(n) FROM comp) AS largest, (SELECT max(dist) FROM dist JOIN comp USING (source) WHERE c = (SELECT c FROM top)) AS diameter""")
+def g_metrics(spark, d):
+    m = I.graph_metrics(X.sim_edges(spark, d))
+    return m.select("n_nodes", "n_edges", F.round("density", 9).alias("density"), F.round("avg_clustering", 9).alias("avg_clustering"), "n_components", "largest", "diameter")
+
+
+@query()
+def g_node_metrics(spark, d):
+    e = X.sim_edges(spark, d)
+    return I.node_metrics(e, table(spark, d, "embeddings").filter("label = 3").select(F.col("vec_id").alias("id")))
+
+
+@query()
+def g_community_shapes(spark, d):
+    m = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("community"))
+    return I.community_metrics(X.sim_edges(spark, d), m)
+
+
+@query()
+def g_patterns(spark, d):
+    p = I.patterns(X.sim_edges(spark, d))
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("pattern"), "n") for k, df in p.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
+@query()
+def g_experiences(spark, d):
+    e, _ = _vectors(spark, d)
+    return I.experiences(X.sim_edges(spark, d), e.select("id", F.col("community").alias("type")), X.similar(spark, d).select("src", "dst")).groupBy("reward", "done").agg(F.count("*").alias("n"))
+
+
 # ---- paths ----
 
 COSTED = "cst AS MATERIALIZED (SELECT src, dst, min(round((1 + 0.6 * (1 - confidence)) * 1000000)::BIGINT) AS cost FROM ways GROUP BY ALL)"
@@ -897,6 +931,19 @@ def w_health(spark, d):
     return q.select("query_id", E.health(F.col("n"), F.col("m"), F.lit(0), F.lit(0.0))["status"].alias("status"))
 
 
+@query("SELECT coalesce(query_type, 'none') AS category, CASE WHEN query_type = 'path' THEN 'info' ELSE 'info' END AS severity, '[' || coalesce(query_type, 'none') || '] took ' || max(query_id) AS message FROM query_stats GROUP BY 1, 2, query_type")
+def w_error_messages(spark, d):
+    q = table(spark, d, "query_stats").groupBy(F.coalesce("query_type", F.lit("none")).alias("category")).agg(F.max("query_id").alias("q"))
+    return q.select("category", E.severity(F.col("category")).alias("severity"), T.error_message(F.col("category"), F.concat(F.lit("took "), F.col("q").cast("string")), F.lit(None).cast("map<string,string>")).alias("message"))
+
+
+@query("SELECT coalesce(query_type, 'none') AS kind, round(least(1, 5 / count(*)), 9) AS selection, round(least(1, 100 / count(*)), 9) AS retrieval FROM (SELECT DISTINCT query_id, query_type FROM query_stats) GROUP BY 1")
+def v_stage_rates(spark, d):
+    q = table(spark, d, "query_stats").select("query_id", "query_type").distinct().groupBy(F.coalesce("query_type", F.lit("none")).alias("kind")).agg(F.count("*").cast("double").alias("n"))
+    r = q.select("kind", R.stage_rates(F.col("n"), F.col("n"), F.lit(1.0), F.lit(1.0), F.lit(10.0)).alias("r"))
+    return r.select("kind", F.round("r.selection", 9).alias("selection"), F.round("r.retrieval", 9).alias("retrieval"))
+
+
 # ---- validation ----
 
 

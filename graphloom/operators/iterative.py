@@ -238,3 +238,81 @@ def estimate_clusters(matrix, faithful: bool = False) -> int:
     drops = np.diff(values)
     elbow = int(drops.argmax() if faithful else drops.argmin()) + 1
     return max(2, min(elbow, int(np.sqrt(len(matrix)))))
+
+
+def node_metrics(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """id with degree_centrality, betweenness, centrality, rank, clustering, core: computed on the whole graph, then restricted."""
+    from graphloom.operators.graph import clustering, degree_centrality
+
+    edges = cut(edges)
+    out = degree_centrality(edges)
+    for part in (betweenness(edges), eigenvector(edges), pagerank(edges), clustering(edges), core_numbers(edges)):
+        out = out.join(part, "id")
+    return out if ids is None else out.join(ids.select("id"), "id", "left_semi")
+
+
+def graph_metrics(edges: DataFrame) -> DataFrame:
+    """One row: n_nodes, n_edges, density, avg_clustering, assortativity, n_components, largest, avg_path_length and diameter of the largest component."""
+    from graphloom.operators.graph import assortativity, clustering, density
+
+    edges = cut(edges)
+    comp = cut(components(edges))
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
+    shape = sizes.agg(F.count("*").alias("n_components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.max_by("component", F.struct("n", "component")).alias("_top"))
+    inner = comp.join(F.broadcast(shape.select(F.col("_top").alias("component"))), "component", "left_semi").select("id")  # one row
+    main = edges.join(inner.withColumnRenamed("id", "a"), "a", "left_semi")
+    out = density(edges)
+    for part in (clustering(edges).agg(F.avg("clustering").alias("avg_clustering")), assortativity(edges), shape.drop("_top"), path_lengths(all_distances(main))):
+        out = out.join(part, F.lit(True))  # one row each
+    return out
+
+
+def community_metrics(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """community, size, density, avg_clustering, diameter (infinite where it falls apart), on each community's own edges; ``size`` counts its members."""
+    a, b = membership.select(F.col("id").alias("a"), "community"), membership.select(F.col("id").alias("b"), "community")
+    inner = cut(edges.join(a, "a").join(b, ["b", "community"]).select("community", "a", "b"))
+    size = membership.groupBy("community").agg(F.count("*").alias("size"))
+    # Ids are tagged with their community, so that one pass over the union of all induced graphs serves them all.
+    tag = lambda c: F.struct(F.col("community"), F.col(c).alias("id"))
+    tagged = cut(inner.select(tag("a").alias("a"), tag("b").alias("b")))
+    nodes = degrees(tagged).select("id.community", "degree")
+    from graphloom.operators.graph import clustering
+
+    local = clustering(tagged).groupBy("id.community").agg(F.avg("clustering").alias("avg_clustering"))
+    shape = nodes.groupBy("community").agg(F.count("*").alias("n"), (F.sum("degree") / 2).alias("m"))
+    far = all_distances(tagged).groupBy("id.community").agg(F.max("dist").alias("far"), F.count("*").alias("reached"))
+    j = size.join(shape, "community", "left").join(local, "community", "left").join(far, "community", "left")
+    whole = F.col("reached") == F.col("n") * F.col("n")
+    return j.select(
+        "community", "size", F.coalesce(F.try_divide(2.0 * F.col("m"), F.col("n") * (F.col("n") - 1)), F.lit(0.0)).alias("density"),
+        F.coalesce("avg_clustering", F.lit(0.0)).alias("avg_clustering"), F.when(whole, F.col("far").cast("double")).otherwise(F.lit(float("inf"))).alias("diameter"),
+    )
+
+
+def patterns(edges: DataFrame, k: int = 10) -> dict[str, DataFrame]:
+    """Hubs, bridges, dense groups and motifs."""
+    from graphloom.operators.graph import degree_centrality, motifs
+
+    b = cut(betweenness(edges))
+    top = b.agg(F.percentile("betweenness", F.lit(0.9)).alias("p"))
+    return {
+        "hubs": degree_centrality(edges).orderBy(F.desc("degree_centrality"), "id").limit(k),
+        "bridges": b.join(F.broadcast(top), F.lit(True)).filter("betweenness >= p").select("id", "betweenness"),  # one row
+        "dense": clique_communities(edges),
+        "motifs": motifs(edges),
+    }
+
+
+def random_rows(df: DataFrame, k: int = 1, seed: int = 42) -> DataFrame:
+    """A seeded sample of k rows, as for replaying experiences."""
+    return df.orderBy(F.rand(seed)).limit(k)
+
+
+def experiences(edges: DataFrame, entities: DataFrame, relationships: DataFrame, steps: int = 20) -> DataFrame:
+    """state, action, reward, next_state, done: the moves of a seeded walk from every node with their rewards."""
+    from graphloom.operators.retrieval import rewards
+
+    walks = cut(random_walks(edges, degrees(edges).select("id"), steps))
+    moves = walks.join(walks.select("walk", (F.col("step") - 1).alias("step"), F.col("id").alias("next_state")), ["walk", "step"]).select(F.col("id").alias("state"), "next_state", (F.col("step") == steps - 1).alias("done"))
+    paid = rewards(moves.select("state", "next_state").distinct(), entities, relationships)
+    return moves.join(paid, ["state", "next_state"]).select("state", F.col("next_state").alias("action"), "reward", "next_state", "done")
