@@ -131,7 +131,7 @@ _SEQUENCES = """
 _RANKS = """
     , r AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY v) AS k, count(*) OVER (PARTITION BY {g}) AS n FROM v),
     q AS (SELECT unnest([0.25, 0.5, 0.9, 0.95, 0.99])::DOUBLE AS p)
-    SELECT {g}, p, n, v AS value FROM r, q WHERE k = greatest(1, ceil(round(p * n, 6)))"""
+    SELECT {g}, p, n, v + 0.0 AS value FROM r, q WHERE k = greatest(1, ceil(round(p * n, 6)))"""
 
 ORACLES: dict[str, str] = {
     "p1_found": """
@@ -145,6 +145,19 @@ ORACLES: dict[str, str] = {
     WITH v AS (SELECT query_id, query_type, min(execution_time) AS v FROM query_stats
                WHERE query_id IS NOT NULL AND isfinite(execution_time) AND execution_time >= 0 GROUP BY ALL)"""
     + _RANKS.format(g="query_type"),
+    "p5_found": """
+    WITH e AS (SELECT id, any_value(embedding)::DOUBLE[] AS v FROM embedding_cache WHERE id IS NOT NULL AND len(embedding) = 64 GROUP BY id),
+    u AS (SELECT id, v FROM e WHERE list_bool_and([isfinite(x) FOR x IN v]) AND list_bool_or([x <> 0 FOR x IN v])),
+    s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id),
+    k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+    SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k WHERE s >= 0.80""",
+    "p6_found": """
+    WITH d AS (SELECT doc_id, any_value(content) AS c FROM source_documents WHERE doc_id IS NOT NULL AND content IS NOT NULL GROUP BY doc_id),
+    w AS (SELECT doc_id, regexp_extract_all(lower(c), '[\\p{L}\\p{N}]+') AS w FROM d),
+    s AS (SELECT doc_id, unnest(list_distinct([array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)])) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.60 * (x.n + y.n - c)""",
     "p7_found": _SEQUENCES + " SELECT id FROM r WHERE share >= 0.30",
     "p7_shares": _SEQUENCES + " SELECT id, n AS n_sequences, round(share, 6)::DOUBLE AS repeated_share FROM r",
 }
