@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_CONFIG, DEFAULT_SIZE, DEFAULT_OVERLAP = "default", 1000, 200
 
+ANY_SPACE = r"(?<=[\s])"  # before a word is cut, white space in the first half counts as well
+
 #: Boundaries from strong to weak, each as what must precede (and follow) the cut.
 BOUNDARIES = (
     r"(?<=\n[ \t]{0,8}\r?\n|\r[ \t]{0,8}\r)(?!\s)",  # paragraph
@@ -19,6 +21,7 @@ BOUNDARIES = (
     r"(?<=\n|\r(?!\n))",  # line
     r"(?<=[;:,|]\s)",  # clause or cell
     r"(?<=\s)",  # word
+    ANY_SPACE,
     r"(?![\p{M}\u200d\ufe0f])(?<!\u200d)(?<!\r(?=\n))",  # whole character with its marks
     "",  # any character
 )
@@ -27,11 +30,11 @@ BOUNDARIES = (
 def boundary_pattern(first: Column, later: Column) -> Column:
     """Pattern for bodies: the first of up to ``first`` characters, the later ones of up to ``later``.
 
-    A boundary counts from half of the limit on, so that no piece becomes tiny.
+    A boundary counts from half of the limit on, so that no piece becomes tiny; before a word would be cut, any white space counts.
     """
 
     def run(size: Column, boundary: str) -> Column:
-        low = F.greatest(F.lit(1), F.floor(size / 2).cast("int"))
+        low = F.lit(1) if boundary == ANY_SPACE else F.greatest(F.lit(1), F.floor(size / 2).cast("int"))
         return F.concat(F.lit(".{"), low.cast("string"), F.lit(","), size.cast("string"), F.lit("}" + boundary))
 
     def whole(size: Column) -> Column:

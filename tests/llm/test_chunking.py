@@ -51,3 +51,8 @@ def test_very_long_text(spark):
     text = ("word " * 40 + "\n") * 3000
     got = pieces(spark, [text], 1000, 100)["d0"]
     assert got[-1][1] == len(text) and all(text[a:b] == p for a, b, p in got[::97])
+
+
+def test_no_word_is_cut_while_there_is_white_space(spark):
+    got = pieces(spark, ["ab cd " + "w" * 45 + " end"], 50, 0)["d0"]
+    assert [p for *_, p in got] == ["ab cd ", "w" * 45 + " end"]
