@@ -273,6 +273,22 @@ def f_isolated(spark, d):
     return X.entities(spark, d).filter("type = 'PART'").join(X.mention_calls(spark, d).select(F.col("entity_id").alias("id")), "id", "left_anti").select("id")
 
 
+@query("""WITH r AS (SELECT max(ingested_at) AS ref FROM source_documents), d AS (SELECT doc_id AS id, max(ingested_at) AS la FROM source_documents WHERE doc_id IS NOT NULL GROUP BY 1)
+SELECT id FROM d, r WHERE la < ref - INTERVAL 10 DAYS AND id NOT IN (SELECT doc_id FROM extraction_results WHERE doc_id IS NOT NULL AND len(entities) > 0)""")
+def f_stale_isolated(spark, d):
+    """Documents long not taken in again that no extraction mentions."""
+    s = table(spark, d, "source_documents").filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("ingested_at").alias("last_accessed"))
+    links = table(spark, d, "extraction_results").filter("doc_id IS NOT NULL AND size(entities) > 0").select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"))
+    ref = table(spark, d, "source_documents").agg(F.max("ingested_at").alias("ref"))
+    return G.stale_isolated(s, links, ref, 10).select("id")
+
+
+@query(f"WITH s AS (SELECT DISTINCT query_id, {QTEXT} AS q FROM query_stats) SELECT query_id, len(regexp_extract_all(q, ':\\w+')) AS entities, len(regexp_extract_all(q, '\\w+\\(')) AS functions, len(regexp_extract_all(q, '\\$\\w+')) AS variables FROM s")
+def x_query_tokens(spark, d):
+    q = _query_strings(spark, d)
+    return q.select("query_id", *[F.size(T.query_tokens(F.col("q"), k)).cast("long").alias(n) for k, n in (("entity", "entities"), ("function", "functions"), ("variable", "variables"))])
+
+
 # ---- joins ----
 
 
@@ -882,6 +898,11 @@ def z_global_summary(spark, d):
     return S.global_summary(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d))
 
 
+@query(with_(SUPPLY_GROUPS) + "SELECT 'node' AS level, count(DISTINCT id) AS n FROM mem UNION ALL SELECT 'community', count(*) FROM (SELECT community FROM mem GROUP BY 1 HAVING count(*) >= 3) UNION ALL SELECT 'global', 1")
+def z_hierarchy(spark, d):
+    return S.hierarchy(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d)).groupBy("level").agg(F.count("*").alias("n"))
+
+
 @query("SELECT level, count(*) AS n, max(last_updated) AS latest FROM (SELECT id, lower(trim(level)) AS level, max(last_updated) AS last_updated FROM graph_summaries GROUP BY ALL) GROUP BY 1")
 def z_by_level(spark, d):
     s = table(spark, d, "graph_summaries").groupBy("id", F.lower(F.trim("level")).alias("level")).agg(F.max("last_updated").alias("last_updated"))

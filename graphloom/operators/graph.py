@@ -125,6 +125,12 @@ def isolated(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     return entities.join(relationships.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_anti")
 
 
+def stale_isolated(entities: DataFrame, relationships: DataFrame, reference: DataFrame, days: int = 90) -> DataFrame:
+    """Entities without an edge whose last_accessed is more than ``days`` before the reference (one row with ``ref``)."""
+    old = entities.join(F.broadcast(reference), F.lit(True)).filter(F.col("last_accessed") < F.col("ref") - F.expr(f"INTERVAL {days} DAYS")).drop("ref")  # one row
+    return isolated(old, relationships)
+
+
 def induced(relationships: DataFrame, membership: DataFrame) -> DataFrame:
     """Edges with both ends in the same community, with it."""
     a, b = membership.select(F.col("id").alias("src"), "community"), membership.select(F.col("id").alias("dst"), "community")

@@ -84,3 +84,11 @@ def with_entities(summaries: DataFrame, links: DataFrame) -> DataFrame:
     """Summaries with the sorted ids of their entities; empty where there are none."""
     ids = links.groupBy(F.col("summary_id").alias("id")).agg(F.array_sort(F.collect_set("entity_id")).alias("entity_ids"))
     return summaries.join(ids, "id", "left").withColumn("entity_ids", F.coalesce("entity_ids", F.array().cast("array<string>")))
+
+
+def hierarchy(entities: DataFrame, relationships: DataFrame, membership: DataFrame, generate: Generator = as_is) -> DataFrame:
+    """id, level, content: summaries of all member nodes, of communities, and of the whole graph."""
+    nodes = node_summaries(entities, relationships, generate).join(membership.select("id").distinct(), "id", "left_semi").select("id", F.lit("node").alias("level"), "content")
+    groups = community_summaries(entities, relationships, membership, generate=generate).select(F.concat(F.lit("comm_"), F.col("community").cast("string")).alias("id"), F.lit("community").alias("level"), "content")
+    whole = global_summary(entities, relationships, membership, generate).select(F.lit("global").alias("id"), F.lit("global").alias("level"), "content")
+    return nodes.union(groups).union(whole)
