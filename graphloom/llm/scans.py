@@ -89,7 +89,7 @@ class Decoder:
         top = max(words.values(), default=1)
         self.top = top
         for w, n in words.items():
-            if len(w) >= 2 and any(c.isalpha() for c in w):
+            if len(w) >= 2 and any(c.isalpha() for c in w) and not any(c in SIGNS for c in w):
                 node = self.trie
                 for c in w:
                     node = node.setdefault(c, {})
@@ -226,7 +226,7 @@ def furniture(lines: list[str]) -> set[int]:
             g = m.groupdict()
             n = next((int(g[x]) for x in "abcd" if g[x]), 0) or roman(g["e"].lower())
             head = g["head"] or g["head2"] or ""
-            if head and (": " in head and " | " in lines[i] or head.count("|") or not re.search(r"[^\W\d_]{2}", head) or "\t" in lines[i]):
+            if head and (head.count("|") or not re.search(r"[^\W\d_]{2}", head) or "\t" in lines[i]):
                 continue
             shape = (g["word"] or "").lower(), (g["left"] or "").strip() + (g["right"] or "").strip(), bool(g["c"]), bool(g["d"]) + 2 * bool(g["e"]), fold(head)[:12]
             shapes.setdefault(shape, []).append((i, n))
