@@ -183,7 +183,8 @@ def neighbours(words: DataFrame) -> DataFrame:
     queries = many.select("type", "key", own.alias("q"), every.alias("i"), F.lit("query").alias("side"), "token")
     index = many.select("type", "key", every.alias("q"), own.alias("i"), F.lit("index").alias("side"), "token")
     on = ["type", "key", "q", "i"]
-    shards = one.unionByName(queries).unionByName(index).repartition(*on).sortWithinPartitions(*on)
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: few bytes, but much work each
+    shards = one.unionByName(queries).unionByName(index).repartition(tasks, *on).sortWithinPartitions(*on)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, left, right = None, [], []
