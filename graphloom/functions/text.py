@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# ---- Fixed values: patterns, rules in their order, weights of clauses ----
 WHITE = r"\s+"
 KEPT = r"[^\p{L}\p{N}_\s.,!?-]"
 ID_FORMAT = r"\A[a-zA-Z0-9_-]+\z"
+QUERY_RULES = (("MATCH.*WHERE", "pattern_matching"), ("PATH|SHORTEST", "path_finding"), ("COUNT|SUM|AVG", "aggregation"), ("SUBGRAPH", "subgraph"), ("MATCH.*RETURN", "entity_search"))
+COSTS = (("MATCH", 1.0), ("WHERE", 0.5), ("WITH", 0.3), ("ORDER BY", 2.0), ("RETURN", 0.1))
+TOKENS = {"entity": r":\w+", "relationship": r"\[.*?\]", "property": r"\.\w+", "function": r"\w+\(", "variable": r"\$\w+"}
+# ---- End of fixed values ----
 
 
 def clean_text(text: Column) -> Column:
@@ -95,9 +100,8 @@ def clean_query(query: Column) -> Column:
 def query_type(query: Column) -> Column:
     """Class of a query string by the first rule that fits; rules look for substrings."""
     q = clean_query(query)
-    rules = (("MATCH.*WHERE", "pattern_matching"), ("PATH|SHORTEST", "path_finding"), ("COUNT|SUM|AVG", "aggregation"), ("SUBGRAPH", "subgraph"), ("MATCH.*RETURN", "entity_search"))
     out = F
-    for pattern, name in rules:
+    for pattern, name in QUERY_RULES:
         out = out.when(q.rlike(pattern), F.lit(name))
     return out.otherwise("custom")
 
@@ -119,9 +123,6 @@ def query_numbers(query: Column) -> Column:
     return F.map_from_arrays(F.regexp_extract_all(query, F.lit(pattern), F.lit(1)), F.transform(F.regexp_extract_all(query, F.lit(pattern), F.lit(2)), lambda x: x.cast("double")))
 
 
-COSTS = (("MATCH", 1.0), ("WHERE", 0.5), ("WITH", 0.3), ("ORDER BY", 2.0), ("RETURN", 0.1))
-
-
 def query_cost(query: Column) -> Column:
     """1 plus the weight of each clause that is present."""
     q = F.upper(query)
@@ -137,9 +138,6 @@ def may_use_index(query: Column) -> Column:
     return F.upper(query).rlike(r"MATCH.*\(\w*:\w+.*WHERE|MATCH.*\{\w+:")
 
 
-TOKENS = {"entity": r":\w+", "relationship": r"\[.*?\]", "property": r"\.\w+", "function": r"\w+\(", "variable": r"\$\w+"}
-
-
 def query_tokens(query: Column, kind: str) -> Column:
     return F.regexp_extract_all(query, F.lit(TOKENS[kind]), F.lit(0))
 

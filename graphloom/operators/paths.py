@@ -10,7 +10,9 @@ from graphloom.functions.vector import cosine
 from graphloom.operators.graph import undirected
 from graphloom.session import cut
 
+# ---- Fixed values: nodes of a path, paths, weight of the semantic cost, least distance of paths ----
 MAX_NODES, MAX_PATHS, SEMANTIC, DIVERSE = 6, 5, 0.4, 0.3
+# ---- End of fixed values ----
 
 
 def semantic_cost(query: Column, src: Column, dst: Column, rel: Column) -> Column:

@@ -79,7 +79,9 @@ def split_batch(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter("result.success"), rows.filter("NOT result.success")
 
 
+# ---- Fixed values: required fields of each operation ----
 OPERATION_FIELDS = {"create": ("type", "properties"), "read": ("id",), "update": ("id", "properties"), "delete": ("id",), "merge": ("id", "properties"), "index": ("label", "property"), "constraint": ("label", "property")}
+# ---- End of fixed values ----
 
 
 def operation_errors(ops: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         if not named:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+            own = tempfile.mkdtemp(prefix="graphloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            named = f"file://{own}"
         spark.sparkContext.setCheckpointDir(named)
     return named or current
 
