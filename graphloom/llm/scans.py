@@ -347,6 +347,37 @@ def broken_words(lines: list[str], decoder: Decoder, take: bool) -> int:
     return found
 
 
+def resegment(tokens: list[str], decoder: Decoder) -> list[str]:
+    """Tokens of a paragraph with words put together that were split, and apart that were run together.
+
+    Two neighbours of which one is no word become one if the decoder reads them as one word; a token that is no word
+    becomes several if it reads as words of three letters or more.  Capitalised unknown tokens are names and stay whole.
+    """
+    words, out, i = decoder.words, [], 0
+    common = max(LEAST, decoder.top // 2000)
+    plain = [t.strip(EDGES) for t in tokens]
+    while i < len(tokens):
+        a = plain[i].lower()
+        known = words.get(a, 0) >= LEAST or not a.isalpha()
+        if i + 1 < len(tokens) and a.isalpha() and plain[i + 1].isalpha() and tokens[i].endswith(plain[i]) and tokens[i + 1].startswith(plain[i + 1]):
+            b = plain[i + 1].lower()
+            if (not known or not words.get(b, 0) >= LEAST) and plain[i + 1].islower() and words.get(a + b, 0) >= common:
+                got = decoder.decode(a + "\x02" + b)
+                if got and got[2] == [a + b]:
+                    out.append(tokens[i] + tokens[i + 1])
+                    i += 2
+                    continue
+        if not known and len(a) >= 6 and plain[i].islower():
+            got = decoder.decode(a)
+            if got and len(got[2]) > 1 and got[1] == 0 and all(len(w) >= 3 and words[w] >= common for w in got[2]):
+                out.append(tokens[i].replace(plain[i], " ".join(got[2])))
+                i += 1
+                continue
+        out.append(tokens[i])
+        i += 1
+    return out
+
+
 def read_page(text: str, decoder: Decoder) -> tuple[list[str], str]:
     """Kinds of noise in a text, and the text repaired; unchanged if it has none."""
     raw = [x.strip() for x in LINES.split(text)]
@@ -376,7 +407,7 @@ def read_page(text: str, decoder: Decoder) -> tuple[list[str], str]:
         return [], text
     pairs = [(x, b) for x, b in zip(lines, blank) if x]
     whole = paragraphs([x for x, _ in pairs], [b for _, b in pairs])
-    return kinds, "\n\n".join(" ".join(wrong.get(t, t) for t in p.split()) for p in whole)
+    return kinds, "\n\n".join(" ".join(resegment([wrong.get(t, t) for t in p.split()], decoder)) for p in whole)
 
 
 _decoders: dict[int, Decoder] = {}

@@ -124,6 +124,7 @@ def test_scans(spark):
         "own": (page("The costly ministry of a cross-", "border archive compared it."), set(), None),
         "hung": (page("The hollow pre-", "and early furnace compared it."), set(), None),
         "misread": ("The narr0w carriage and thc marine glacier annot@ted every furnace.", {"misread"}, "The narrow carriage and the marine glacier annotated every furnace."),
+        "split": ("The mar ine glacier of thehollow archive and thc furnace.", {"misread"}, "The marine glacier of the hollow archive and the furnace."),
         "codes": ("Sample C-78 and lot B734 compared a4f0b1 with Zoquemor.", set(), None),
         "pages": (page("The narrow carriage and the", "marine glacier annotated", "every early", "Page 1", "Marine Notes", "photograph while the costly", "ministry financed the quarry", "of a", "Page 2", "Marine Notes", "hollow archive."), {"page_furniture"}, None),
         "labels": (page("Note", "The narrow carriage.", "", "Note", "The marine glacier.", "", "Note", "The early photograph."), set(), None),
