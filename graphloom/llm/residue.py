@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -61,17 +60,6 @@ SCRIPT = re.compile(
     r"|\b" + SCRIPT_WORD + r"\b.{0,40}\b(?:must be (?:allowed|enabled|on)|(?:is|are) (?:required|disabled|switched off|turned off|blocked|off|not enabled|deaktiviert|erforderlich|désactivé|requis|necesario|desactivado)|aktivieren|zulassen)"
     r"|\b(?:without|ohne|sans|sin) " + SCRIPT_WORD + r"\W*$|\b(?:browser|navigateur|navegador)\b.{0,30}\b(?:blocks?|blockiert|bloque|bloquea|does not (?:run|support))\b.{0,20}\b" + SCRIPT_WORD + r"\b|^\W*(?:loading|laden|chargement|cargando)(?:\.\.\.|…)\W*$|^\W*checking your browser"
 )
-#: Strings of which a text with evidence holds one, in lower case.
-TRIGGERS = (
-    "{{", "${", "[[", "<%", "*|", "____", "[insert", "[enter", "[add", "[fill", "[todo", "[tbd", "[your", "[ihr", "[votre", "[su ", "[object", 
-    "lorem", "ipsum", "javascript", "java script", "scripting", " script", "noscript", "skript",
-    " js", "error", "erreur", "fehler", "forbidden", "unauthor", "denied", "refus", "verweigert", "denegado", "expired", "session", "sesión",
-    "sitzung", "oops", "went wrong", "timed out", "maintenance", "wartung", "mantenimiento", "traceback", "exception", "not found", "introuvable",
-    "gefunden", "encontrada", "not find", "no se pudo", "gateway", "bad request", "too many", "gone", "unavailable", "placeholder", "dummy", "filler",
-    "copy here", "coming soon", "to be ", "tbd", "tba", "todo", "write something", "replace this", "add your", "test entry", "provisoire",
-    "remplissage", "factice", "relleno", "ejemplo", "sustituya", "blindtext", "beispiel", "platzhalter", "fülltext", "mustertext", "inhalt folgt",
-    "goes here", "here", "faux texte", " ici", "example", "aquí", "nibh", "lacus", "vitae", "purus", "echten", "asdf", "qwer", "blah", "xxxx", "foo ", "jkl", "browser", "navegador", "navigateur", "loading", "nomen", "cursus", "semper",
-)
 # ---- End of fixed values ----
 
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
@@ -80,30 +68,10 @@ ENTITIES = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "#39": "'", "nbsp": "
 TAG = re.compile(r"</?(?:" + "|".join(TAGS) + r")\b[^<>]{0,200}>", re.I)
 FIELD_TAG = re.compile(r"<(title|summary|caption|label|code|address)>")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-UPPER_MARK = re.compile(r"[{@«]|[%#$][A-Z][A-Z0-9_.]{1,40}[%#$]|__[A-Z]|<[A-Za-z]|&lt;")
 WORD = re.compile(r"[^\W_]+")
 NAVIGATION = re.compile(r"^[^|:\d]{1,40}(?:\|[^|:\d]{1,40}){2,}$")
 
 
-@lru_cache(maxsize=1)
-def triggers():
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for t in TRIGGERS:
-        found.add_word(t, t)
-    found.make_automaton()
-    return found
-
-
-def may_hold(text: str) -> bool:
-    """Whether a text can hold evidence; cheap, and true for every text that does."""
-    if next(triggers().iter(text.lower()), None) is not None or UPPER_MARK.search(text):
-        return True
-    head = text[:200].split()  # one word over and over
-    return len(head) >= 5 and len({w.lower() for w in head[:5]}) == 1
-
-
 def evidence(text: str) -> tuple[int, int, int, int, list[tuple[str, int]]]:
     """Unfilled values, words of filler, of errors, of script notices, and the other lines with their words."""
     text = ENTITY.sub(lambda m: ENTITIES[m.group(1)], INVISIBLE.sub("", text))
@@ -167,7 +135,7 @@ def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
         for batch in batches:
             at, rows = [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
-                if t and may_hold(t):
+                if t:
                     found = evidence(t)
                     if any(found[:4]):
                         at.append(i)

@@ -140,3 +140,23 @@ def test_scans(spark):
         assert got[k].repaired == (repaired if repaired else text if not kinds else got[k].repaired)
     assert "Page" not in got["pages"].repaired and all(not got[f"c{i}"].noise for i in range(30))
     assert scans.repair(docs.limit(0)).count() == 0
+
+
+def test_residue_reads_every_text(spark):
+    texts = [
+        "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
+        "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+        "Sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
+        "405 Method Not Allowed",
+        "408 Request Timeout",
+        "409 Conflict",
+        "501 Not Implemented",
+        "You do not have permission to view this page.",
+        "We couldn't find that p",
+        "Quarterly figures rose in the north. " + "wave " * 5,
+        "The survey covered nine sites in the north and the south.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'h' AS source")
+    rows = {r.doc_id: r for r in residue.residue(docs).collect()}
+    assert set(rows) == set(range(10))
+    assert {k for k, r in rows.items() if r.excluded} == set(range(9)) and rows[9].filler == 5
