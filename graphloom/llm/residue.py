@@ -1,6 +1,6 @@
 """Template residue, filler, error pages and script notices in texts.
 
-Normalised lines are counted by host over all texts.  A text's lines that show evidence are set
+Normalised lines are counted by host over its different texts.  A text's lines that show evidence are set
 against what is left of it once the host's recurrent lines, and rows of navigation, are taken off.
 A value left unfilled is evidence anywhere; the other kinds count only where they are what
 the text consists of, so that reports about such things stay.
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RECURRENT = 3  # documents of one host that hold a line before it is boilerplate
+RECURRENT = 3  # different texts of one host that hold a line before it is boilerplate
+RECURRENT_SHARE = 0.005  # and the share of the host's different texts
 REST_WORDS = 30  # words beside the evidence that an error page or a notice may hold
 FILLER_SHARE = 0.6  # least share of filler in what is left of a text
 
@@ -60,6 +61,9 @@ SCRIPT = re.compile(
     r"|\b" + SCRIPT_WORD + r"\b.{0,40}\b(?:must be (?:allowed|enabled|on)|(?:is|are) (?:required|disabled|switched off|turned off|blocked|off|not enabled|deaktiviert|erforderlich|désactivé|requis|necesario|desactivado)|aktivieren|zulassen)"
     r"|\b(?:without|ohne|sans|sin) " + SCRIPT_WORD + r"\W*$|\b(?:browser|navigateur|navegador)\b.{0,30}\b(?:blocks?|blockiert|bloque|bloquea|does not (?:run|support))\b.{0,20}\b" + SCRIPT_WORD + r"\b|^\W*(?:loading|laden|chargement|cargando)(?:\.\.\.|…)\W*$|^\W*checking your browser"
 )
+# What every match of PLACEHOLDER or SCRIPT holds.
+MARK = re.compile(r"[{$\[<*%#_@«(]")
+SCRIPT_PART = re.compile(r"(?i)s[ck]ript|js|loading|laden|chargement|cargando|checking your browser")
 # ---- End of fixed values ----
 
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
@@ -80,14 +84,16 @@ def evidence(text: str) -> tuple[int, int, int, int, list[tuple[str, int]]]:
     low = text.lower()
     for name in FIELD_TAG.findall(low):  # a field in angle brackets that is also the name of a tag
         unfilled += f"</{name}>" not in low
-    for raw in TAG.sub("\n", text).splitlines():
+    plain = TAG.sub("\n", text)
+    scripts = SCRIPT_PART.search(plain) is not None
+    for raw in plain.splitlines():
         line = raw.strip()
         if not line:
             continue
         others = 0
         hit = False
         for sentence in SENTENCE.split(line):
-            marks = PLACEHOLDER.findall(sentence)
+            marks = PLACEHOLDER.findall(sentence) if MARK.search(sentence) else []
             if marks and (" | " in line or not QUOTING.search(PLACEHOLDER.sub(" ", sentence))):
                 unfilled += len(marks)
             words = WORD.findall(sentence)
@@ -99,7 +105,7 @@ def evidence(text: str) -> tuple[int, int, int, int, list[tuple[str, int]]]:
                 filler, hit = filler + n, True
             elif ERROR.match(sentence):
                 error, hit = error + n, True
-            elif SCRIPT.search(sentence):
+            elif scripts and SCRIPT.search(sentence):
                 script, hit = script + n, True
             else:
                 others += n
@@ -114,10 +120,18 @@ def normal_lines(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(one, r" ?[\r\n]+ ?"), lambda line: F.trim(line)))
 
 
-def recurrent_lines(docs: DataFrame, host: str = "source", text: str = "text", least: int = RECURRENT) -> DataFrame:
-    """host and hash of every normalised line that at least ``least`` documents of the host hold."""
-    lines = docs.select(F.coalesce(F.col(host), F.lit("")).alias("_host"), F.explode(normal_lines(F.col(text))).alias("_line")).filter(F.col("_line") != "")
-    return lines.select("_host", F.xxhash64("_line").alias("_hash")).groupBy("_host", "_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("_host", "_hash")
+def recurrent_lines(docs: DataFrame, host: str = "source", text: str = "text", least: int = RECURRENT, share: float = RECURRENT_SHARE) -> DataFrame:
+    """host and hash of every normalised line that at least ``least`` different texts of the host, and that share of them, hold.
+
+    Copies of a text count once, so that its lines aren't taken for boilerplate however often it is copied.
+    """
+    hashes = F.transform(F.filter(normal_lines(F.col(text)), lambda line: line != ""), lambda line: F.xxhash64(line))
+    texts = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64(text).alias("_text"), hashes.alias("_lines")).distinct()
+    # A null among the lines of each text counts the texts of the host.
+    lines = texts.select("_host", F.explode(F.concat("_lines", F.array(F.lit(None).cast("long")))).alias("_hash"))
+    counts = lines.groupBy("_host", "_hash").agg(F.count("*").alias("_n")).filter((F.col("_n") >= least) | F.col("_hash").isNull())
+    totals = counts.filter(F.col("_hash").isNull()).select("_host", F.col("_n").alias("_of"))
+    return counts.filter(F.col("_hash").isNotNull()).join(totals, "_host").filter(F.col("_n") >= share * F.col("_of")).select("_host", "_hash")
 
 
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

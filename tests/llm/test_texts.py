@@ -160,3 +160,18 @@ def test_residue_reads_every_text(spark):
     rows = {r.doc_id: r for r in residue.residue(docs).collect()}
     assert set(rows) == set(range(10))
     assert {k for k, r in rows.items() if r.excluded} == set(range(9)) and rows[9].filler == 5
+
+
+def test_copies_of_a_text_are_no_boilerplate(spark):
+    real = "\n".join(f"{c} {REAL}" for c in ("North", "South", "East")) + "\nPlease enable JavaScript to view the map."
+    docs = spark.createDataFrame([(i, real, "h") for i in range(5)], "doc_id long, text string, source string")
+    rows = residue.residue(docs).collect()
+    assert len(rows) == 5 and not any(r.excluded for r in rows) and all(r.rest > 200 for r in rows)
+
+
+def test_lines_recur_as_a_share_of_the_texts_of_a_host(spark):
+    letters = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    texts = [f"note {x}\nfooter\n" + ("an ordinary line" if i < 3 else "") for i, x in enumerate(letters)]
+    docs = spark.createDataFrame([(t, "h") for t in texts] + [("an ordinary line\n" + x, "small") for x in "abc"], "text string, source string")
+    names = {r.h: r.line for r in spark.createDataFrame([("footer",), ("an ordinary line",)], "line string").selectExpr("line", "xxhash64(line) AS h").collect()}
+    assert {(r["_host"], names[r["_hash"]]) for r in residue.recurrent_lines(docs).collect()} == {("h", "footer"), ("small", "an ordinary line")}
