@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from graphloom.session import cut
 
 DIGIT = 16  # bits a pass; a group has at most 2**16 bins in one
+SMALL = 200_000  # prefixes that are broadcast at most
 PERCENTILES = (0.25, 0.5, 0.9, 0.95, 0.99)
 _LOW = np.int64(0x7FFFFFFFFFFFFFFF)
 
@@ -110,18 +111,29 @@ def percentiles(rows: DataFrame, groups: Sequence[str], wanted: Sequence[float]
     # Null labels are one group, also in joins: keys are wrapped so that they never are null.
     keys = [f"_g{i}" for i in range(len(groups))]
     rows = cut(rows.select(*[F.struct(F.col(g).alias("v")).alias(k) for g, k in zip(groups, keys)], "_o"))
+    found = _select(rows, keys, wanted, bits)
+    named = found.select(*[F.col(f"{k}.v").alias(g) for g, k in zip(groups, keys)], "p", F.col("_total").alias("n"), F.shiftleft("bin", 64 - bits).alias("value"))
+    return with_doubles(named, ["value"])
+
+
+def _select(rows: DataFrame, keys: Sequence[str], wanted: Sequence[float], bits: int, small: int = 0) -> DataFrame:
+    """Passes of the selection over ``rows`` (keys, that are never null, and ``_o``): keys, p, bin, _k, _total.
+
+    Prefixes that are followed are broadcast where they are counted to be at most ``small``.
+    """
     hist, targets = histogram(rows, keys, DIGIT), None
     found = cut(_wanted(hist, keys, None, wanted))
     for depth in range(2 * DIGIT, bits + 1, DIGIT):
         prefix = F.shiftright("_o", 64 - depth + DIGIT)
         targets = found.withColumnRenamed("bin", "_prefix")
         follow = targets.select(*keys, "_prefix").distinct()
+        if small and follow.count() <= small:
+            follow = F.broadcast(follow)  # two numbers a row, counted
         rows = rows.withColumn("_prefix", prefix).join(follow, [*keys, "_prefix"], "left_semi")
         hist = rows.groupBy(*keys, "_prefix", F.shiftright("_o", 64 - depth).alias("bin")).agg(F.count("*").alias("n"))
         found = cut(_wanted(hist, [*keys, "_prefix"], targets, wanted))
         rows = rows.drop("_prefix")
-    named = found.select(*[F.col(f"{k}.v").alias(g) for g, k in zip(groups, keys)], "p", F.col("_total").alias("n"), F.shiftleft("bin", 64 - bits).alias("value"))
-    return with_doubles(named, ["value"])
+    return found
 
 
 def of_histogram(hist: DataFrame, groups: Sequence[str], wanted: Sequence[float] = PERCENTILES, bits: int = 32) -> DataFrame:
@@ -139,6 +151,32 @@ def metric_rows(points: DataFrame, label: str = "component") -> DataFrame:
     return once(points.select("point_id", "metric", F.col("labels").getItem(label).alias("label"), "value"), "point_id", ["metric", "label"], "value")
 
 
+def label_entries(labels: Column, always: str = "component") -> Column:
+    """Entries of a map of labels; one that lacks ``always``, or is null, has it with a null value."""
+    some = F.coalesce(F.map_entries(labels), F.array().cast("array<struct<key:string,value:string>>"))
+    missing = F.concat(F.filter(some, lambda e: e["key"] != always), F.array(F.struct(F.lit(always).alias("key"), F.lit(None).cast("string").alias("value"))))
+    return F.when(labels.getItem(always).isNull(), missing).otherwise(some)
+
+
+def label_percentiles(points: DataFrame, wanted: Sequence[float] = PERCENTILES) -> DataFrame:
+    """metric, label_key, label, p, n, value: exact percentiles of metric_points for every label that its points hold.
+
+    Each point_id counts once, with finite values of any sign, in the group of each of its labels; a point
+    without component is in that of the null component.  Groups go by their 64-bit hash until the end.
+    """
+
+    def group(key: Column, value: Column) -> Column:
+        return F.xxhash64("metric", F.isnull("metric"), key, value, F.isnull(value))
+
+    entries = label_entries(F.col("labels"))
+    groups = F.sort_array(F.transform(entries, lambda e: group(e["key"], e["value"])))
+    rows = cut(once(points.select("point_id", groups.alias("_groups"), "value"), "point_id", ["_groups"], "value"))
+    found = _select(rows.select(F.explode("_groups").alias("_g"), "_o"), ["_g"], wanted, 64, SMALL)
+    each = points.select("metric", F.explode(entries).alias("_e")).select("metric", F.col("_e.key").alias("label_key"), F.col("_e.value").alias("label")).distinct()
+    names = each.withColumn("_g", group(F.col("label_key"), F.col("label")))
+    return with_doubles(found.join(names, "_g").select("metric", "label_key", "label", "p", F.col("_total").alias("n"), F.col("bin").alias("value")), ["value"])
+
+
 def query_rows(stats: DataFrame) -> DataFrame:
     """query_type and ``_o`` of query_stats: each query_id once; negative times weren't measured and don't count."""
     return once(stats.filter(F.col("execution_time") >= 0).select("query_id", "query_type", "execution_time"), "query_id", ["query_type"], "execution_time")

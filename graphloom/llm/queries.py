@@ -36,6 +36,11 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.repair(read_table(spark, sf_dir, "source_documents")).select("doc_id", F.array_join("noise", ",").alias("noise"), "repaired")
 
 
+def p3_label_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label of every metric; ``p3_metric_percentiles`` has the component alone."""
+    return percentiles.label_percentiles(read_table(spark, sf_dir, "metric_points"))
+
+
 def p3_metric_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.percentiles(percentiles.metric_rows(read_table(spark, sf_dir, "metric_points")), ["metric", "label"])
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_repaired": p2_repaired,
+    "p3_label_percentiles": p3_label_percentiles,
     "p3_metric_percentiles": p3_metric_percentiles,
     "p3_query_percentiles": p3_query_percentiles,
     "p3_merged_days": p3_merged_days,
@@ -137,6 +143,12 @@ ORACLES: dict[str, str] = {
     "p1_found": """
         SELECT DISTINCT d.doc_id FROM source_documents d LEFT JOIN run_configs c ON c.config_id = coalesce(d.config_id, 'default')
         WHERE d.doc_id IS NOT NULL AND length(d.content) > coalesce(c.chunk_size, 1000)""",
+    "p3_label_percentiles": """
+    WITH e AS (SELECT point_id, metric, value, unnest(map_entries(labels)) AS e FROM metric_points
+               UNION ALL SELECT point_id, metric, value, {'key': 'component', 'value': NULL} FROM metric_points WHERE labels['component'] IS NULL),
+    v AS (SELECT point_id, metric, e['key'] AS label_key, e['value'] AS label, min(value) AS v FROM e
+          WHERE point_id IS NOT NULL AND isfinite(value) GROUP BY ALL)"""
+    + _RANKS.format(g="metric, label_key, label"),
     "p3_metric_percentiles": """
     WITH v AS (SELECT point_id, metric, labels['component'] AS label, min(value) AS v FROM metric_points
                WHERE point_id IS NOT NULL AND isfinite(value) GROUP BY ALL)"""

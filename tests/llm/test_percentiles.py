@@ -59,3 +59,29 @@ def test_order_of_integers():
 def test_empty_tables(spark, data):
     rows = P.once(table(spark, data).limit(0), "id", ["g"], "v")
     assert P.percentiles(rows, ["g"]).count() == 0 and P.of_histogram(P.histogram(rows, ["g"]), ["g"]).count() == 0
+
+
+def test_every_label_has_its_percentiles(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        labels = [None, {}, {"zone": "a"}, {"component": "x"}, {"component": "x", "zone": rng.choice("ab"), "status": "ok"}][i % 5]
+        rows.append((i, rng.choice(["m", "k", None]), labels, rng.gauss(0, 9)))
+    points = spark.createDataFrame([*rows, *rows[:90], (-1, "m", {"zone": "a"}, float("nan")), (None, "m", {"zone": "a"}, 1.0)], "point_id long, metric string, labels map<string,string>, value double")
+    groups = {}
+    for _, metric, labels, v in rows:
+        for key, label in {"component": None, **(labels or {})}.items():
+            groups.setdefault((metric, key, label), []).append(v)
+    want = {(*g, p): (len(v), exact(v, p)) for g, v in groups.items() for p in (0.0, 0.5, 0.95)}
+    got = P.label_percentiles(points, (0.0, 0.5, 0.95)).collect()
+    assert len(got) == len(want) and {(r.metric, r.label_key, r.label, r.p): (r.n, r.value) for r in got} == want
+    assert P.label_percentiles(points.limit(0)).count() == 0
+
+
+def test_the_registered_query_has_every_label_key(spark, tmp_path):
+    from graphloom.llm import queries
+
+    schema = "point_id long, metric string, labels map<string,string>, value double"
+    spark.createDataFrame([(1, "m", dict.fromkeys(("component", "endpoint", "type", "status", "zone"), "a"), 2.0)], schema).write.parquet(f"{tmp_path}/metric_points.parquet")
+    first = next(q for n, q in queries.QUERIES.items() if n.startswith("p3_"))
+    assert {r.label_key for r in first(spark, str(tmp_path)).collect()} == {"component", "endpoint", "type", "status", "zone"}
