@@ -1,9 +1,10 @@
 """Repair of texts from scanned pages: broken words, misread characters, running heads and page numbers.
 
 A lexicon of the whole corpus tells which spellings are words.  A text's lines lose running heads and page
-numbers and become one stream of characters; doubtful stretches of it are decoded to the cheapest
-sequence of words, where characters may be confused, words split or run together, and hyphens at
-line ends dropped.  Paragraph boundaries are then chosen among the line ends by dynamic programming.
+numbers.  Three passes then follow one another, in place of one decoding of the de-lined stream: words broken
+at line ends, by the lexicon and where that is undecided by the decoder; misread characters, one token and one
+word at a time; and, once paragraph boundaries are chosen among the line ends by dynamic programming,
+two neighbours put together or one token taken apart, without confusions.
 """
 
 from __future__ import annotations
