@@ -230,8 +230,13 @@ def standard_tokens(words: DataFrame) -> DataFrame:
     near = near.filter(~((F.col("type") == "PERSON") & F.col("token").isin(sorted(GIVEN))) & more & ((F.col("m") >= 2 * F.col("n")) | (F.col("n") <= 2)))
     near = near.filter((F.length("token") > SHORT) | (F.col("m") >= SHORT_TIMES * F.col("n")))
     best = cut(near.groupBy("type", "token").agg(F.max_by("other", F.struct("m", "occ2", "other")).alias("one")))
-    again = best.select("type", F.col("token").alias("one"), F.col("one").alias("two"))
-    return best.join(again, ["type", "one"], "left").select("type", "token", F.coalesce("two", "one").alias("standard"))
+    # Pointers are doubled until none moves; each goes to a greater spelling by n, occ and token, so that this ends.
+    while True:
+        again = best.select("type", F.col("token").alias("one"), F.col("one").alias("two"))
+        moved = best.join(again, ["type", "one"], "left")
+        best = cut(moved.select("type", "token", F.coalesce("two", "one").alias("one"), F.col("two").isNotNull().alias("_moved")))
+        if best.filter("_moved").isEmpty():
+            return best.select("type", "token", F.col("one").alias("standard"))
 
 
 def expand_words(words: DataFrame) -> DataFrame:

@@ -37,6 +37,14 @@ def test_short_form_of_several_persons_is_left_out(spark):
     assert names.name_pairs(table).count() == 0
 
 
+def test_chains_of_spellings_end_at_one_standard(spark):
+    word = "gablemurtosine"
+    chain = [word[:4] + "x" * i + word[4 + i :] for i in range(10)]
+    words = spark.createDataFrame([("ORGANIZATION", t, 2**i, 2**i) for i, t in enumerate(chain)], "type string, token string, n long, occ long")
+    got = {r.token: r.standard for r in names.standard_tokens(words).collect()}
+    assert got == dict.fromkeys(chain[:-1], chain[-1])
+
+
 def test_trie_join_equals_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     base = ["".join(rng.choice("abcd") for _ in range(rng.randint(4, 11))) for _ in range(120)]
