@@ -786,6 +786,13 @@ def path_all_simple(spark, d):
     return p.select(F.array_join("nodes", ">").alias("path"), "hops")
 
 
+@query()
+def path_all_simple_whole(spark, d):
+    """All simple paths over the whole graph; ``path_all_simple`` leaves the parts out."""
+    p = P.simple_paths(P.costed(X.relationships(spark, d)), "nation_1", "nation_6")
+    return p.select(F.array_join("nodes", ">").alias("path"), "hops")
+
+
 @query()
 def path_diverse(spark, d):
     p = P.simple_paths(P.costed(X.relationships(spark, d)), "nation_1", "region_4", 5)
@@ -794,7 +801,7 @@ def path_diverse(spark, d):
 
 @query()
 def path_multi_target(spark, d):
-    p = P.multi_target_paths(P.costed(X.located(spark, d)), "nation_1", ["region_0", "region_1", "region_2", "nation_9"])
+    p = P.multi_target_paths(P.costed(X.relationships(spark, d)), "nation_1", ["region_0", "region_1", "region_2", "nation_9"])
     return p.select("place", "id", "cost")
 
 
@@ -1012,3 +1019,10 @@ def y_spec_entities(spark, d):
 def y_spec_path(spark, d):
     p = specs.compile_spec(X.PropertyGraph(X.entities(spark, d), X.located(spark, d), X.entities(spark, d)), {"path": {"start": "nation_1", "end": "nation_6", "max_length": 4}})
     return p.select(F.array_join("nodes", ">").alias("path"))
+
+
+@query()
+def y_spec_path_whole(spark, d):
+    """The same over the whole graph, parts included."""
+    p = specs.compile_spec(X.PropertyGraph(X.entities(spark, d), X.relationships(spark, d), X.entities(spark, d)), {"path": {"start": "nation_1", "end": "nation_6", "max_length": 4}})
+    return p.select(F.array_join("nodes", ">").alias("path"))

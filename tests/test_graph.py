@@ -153,3 +153,34 @@ def test_scalar_costs(spark):
         P.remaining_cost(F.lit(None).cast("double"), F.lit(0.0), F.lit(3.0), F.lit(4.0), F.lit(False)).alias("h"),
     ).first()
     assert row.p == pytest.approx(2.5) and row.s == pytest.approx(2 / 3) and row.r == 5.0 and row.h == 3.0 and math.isfinite(row.p)
+
+
+def test_path_queries_use_the_whole_graph(spark, tmp_path):
+    from graphloom import catalog
+
+    customers, suppliers, nations, regions = [(0, 1), (1, 6)], [(0, 1), (1, 6), (2, 9), (3, 6)], [(1, 0), (6, 1), (9, 0)], [0, 1, 2]
+    items = [(0, 0), (0, 1), (1, 0), (1, 2), (2, 2), (2, 3), (3, 0), (3, 3)]
+    for name, rows, schema in (
+        ("customer", [(*r, "c") for r in customers], "c_custkey int, c_nationkey int, c_name string"), ("supplier", [(*r, "s") for r in suppliers], "s_suppkey int, s_nationkey int, s_name string"),
+        ("nation", [(*r, "n") for r in nations], "n_nationkey int, n_regionkey int, n_name string"), ("region", [(r, "r") for r in regions], "r_regionkey int, r_name string"),
+        ("part", [(r, "p") for r in range(4)], "p_partkey int, p_name string"), ("lineitem", [(*r, 0.1) for r in items], "l_partkey int, l_suppkey int, l_discount double"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    edges = [(f"customer_{a}", f"nation_{b}") for a, b in customers] + [(f"supplier_{a}", f"nation_{b}") for a, b in suppliers] + [(f"nation_{a}", f"region_{b}") for a, b in nations] + [(f"part_{a}", f"supplier_{b}") for a, b in items]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def walk(path, most):
+        if path[-1] == "nation_6":
+            yield ">".join(path)
+        elif len(path) <= most:
+            for x in near[path[-1]] - set(path):
+                yield from walk([*path, x], most)
+
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(r.path for r in run("path_all_simple_whole")) == sorted(walk(["nation_1"], 5)) != []
+    assert sorted(r.path for r in run("y_spec_path_whole")) == sorted(walk(["nation_1"], 4)) != []
+    # nation_9 is reached through a part, as region_0 is used; the only supplier of nation_1 is used then.
+    assert [r.id for r in sorted(run("path_multi_target"), key=lambda r: r.place)] == ["region_0", "nation_9"]
