@@ -1,9 +1,10 @@
 """Template residue, filler, error pages and script notices in texts.
 
-Normalised lines are counted by host over its different texts.  A text's lines that show evidence are set
-against what is left of it once the host's recurrent lines, and rows of navigation, are taken off.
-A value left unfilled is evidence anywhere; the other kinds count only where they are what
-the text consists of, so that reports about such things stay.
+Texts are cut into normalised lines, which are counted by host over its different texts.  A host's recurrent lines,
+whatever they say, are taken off first; then what is left of a text is searched for evidence.  A value left unfilled is
+evidence anywhere in it; the other kinds count only where they are what is left of the text, so that reports about such
+things stay.  Evidence is told by general forms: the delimiters of a template's places, a status code or a thing of
+the web with what is wrong with it, a call to switch scripts on, and shares of filler vocabulary.
 """
 
 from __future__ import annotations
@@ -12,163 +13,211 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import cut
+
 RECURRENT = 3  # different texts of one host that hold a line before it is boilerplate
 RECURRENT_SHARE = 0.005  # and the share of the host's different texts
 REST_WORDS = 30  # words beside the evidence that an error page or a notice may hold
 FILLER_SHARE = 0.6  # least share of filler in what is left of a text
+STATEMENT = 25  # words of a sentence that states an error
+HEADING = 8  # words of one that leaves the article out
 
-# ---- Fixed values: patterns and word lists ----
+# ---- Fixed values: word lists of the forms, by language (English, German, French, Spanish) ----
 TAGS = "a abbr article aside b base blockquote body br button caption cite code col dd del details div dl dt em fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins label li link main meta nav noscript ol option p pre q script section select small span strong style sub sup table tbody td textarea tfoot th thead title tr u ul".split()
-PLACEHOLDER = re.compile(
-    r"\{\{\s*[\w.\- ]{1,40}\}\}|\$\{[\w.\- ]{1,40}\}|\[\[\s*[\w.\- ]{1,40}\]\]|<%=?[^%<>\n]{1,60}%>|\*\|[\w.\- ]{1,40}\|\*"
-    r"|%[A-Z][A-Z0-9_.]{1,40}%|#[A-Z][A-Z0-9_.]{1,40}#|\$[A-Z][A-Z0-9_.]{1,40}\$|__[A-Z][A-Z0-9_.]*[A-Z0-9]__"
-    r"|@@[\w.\- ]{1,40}@@|«[a-z][a-z_.]{1,30}»|\((?:[\w.]+ ){0,4}to be (?:added|completed|defined|filled in|confirmed)\)"
-    r"|\{(?:\d{1,2}|[A-Za-z][\w.]{1,30})\}|\[object Object\]|(?i:\[(?:insert|enter|add|fill in|todo|tbd|your|ihre?|votre|su)\b[^\[\]\n]{0,40}\])"
-    r"|(?<=[^\W_])[ :]+_{4,}|_{4,}(?=[ ,.;][^\W_]| - )|<(?!(?:" + "|".join(TAGS) + r")\b)[A-Za-z][\w. ]{1,40}>"
+QUOTES = r"tokens?|templates?|placeholders?|parser|exporter|replaces?|replaced|stands? for|syntax|variables?|markers?|notation|platzhalter|vorlage|modèle|plantilla|marcador"
+FIELDS = r"(?:(?:first|last|full|user|company|your|insert|enter|add|order|customer|client|vor|nach) ?)?(?:name|date|title|company|address|city|country|e-?mail|phone|amount|number|signature|owner|subject|price|url|link|text|id|datum|firma|adresse|ort|betrag|nom|prénom|ville|montant|nombre|apellido|fecha|ciudad|importe)"
+ARTICLES = r"the|this|that|your|our|die|der|das|diese[rsnm]?|ihre?|unsere?|la|le|les|cette|cet|ce|votre|notre|el|los|las|esta|este|su|tu|nuestr[oa]"
+THINGS = (
+    r"(?:web ?)?(?:page|site)|url|link|address|resource|file|server|service|host|request|connection|session|gateway|access|permission|application|app|endpoint|domain"
+    r"|(?:web|start|ziel)?seite|website|dienst|ressource|adresse|anfrage|verbindung|sitzung|datei|zugriff|zugang"
+    r"|serveur|lien|requête|connexion|fichier|accès|página|sitio|servidor|servicio|recurso|dirección|enlace|solicitud|conexión|sesión|archivo|acceso"
+)
+WRONG = (
+    r"not (?:be )?(?:found|reach\w*|load\w*|display\w*|open\w*|process\w*|complet\w*|serv\w*|respond\w*|exist|available|allowed|permitted|authori[sz]ed|valid|supported)"
+    r"|(?:is|was|does|did|could|can|are)n['’]t\b|cannot be|no longer|unavailable|unreachable|timed out|expired|denied|refused|forbidden|failed|reset by|offline|(?:is|are|currently|temporarily) down|under (?:maintenance|construction)|(?:has|have) been (?:moved|removed|deleted|blocked|disabled)|overloaded"
+    r"|nicht (?:gefunden|verfügbar|erreichbar|geladen|mehr|möglich|erlaubt|gestattet|angezeigt|existiert)|existiert nicht|antwortet nicht|(?:konnte|kann)\b.{0,30}\bnicht|abgelaufen|verweigert|gesperrt|fehlgeschlagen|wartung\w*|unterbrochen"
+    r"|introuvable|non trouvée?|n['’](?:existe|est) (?:pas|plus)|n['’]a (?:pas|pu)|ne répond|indisponible|inaccessible|refusée?|interdite?|expirée?|échoué|en maintenance|en construction"
+    r"|no (?:se )?(?:encontr\w+|existe|está|disponible|responde|pudo|puede|ha)|denegad[oa]|prohibid[oa]|caducad[oa]|expirad[oa]|caducado|fallado|en mantenimiento|en construcción|fuera de servicio"
 )
-QUOTING = re.compile(r"(?i)\b(?:tokens?|templates?|placeholders?|parser|exporter|replaces?|replaced|stands? for|syntax|variables?|markers?|notation|platzhalter|vorlage|modèle|plantilla|marcador)\b")
+REASONS = r"bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request time-?out|conflict|gone|too many (?:requests|redirects)|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|access denied|permission denied"
+ERROR_WORD = r"error|erreur|fehler|errore?|status|statut|estado"
+EXCUSES = r"oops|whoops|(?:we(?:'re| are) )?sorry\b.{0,40}\b(?:error|wrong|page|site|find|access|available|blocked|problem)|something (?:went wrong|broke|is broken)|(?:please )?try again later|scheduled (?:downtime|maintenance)|an? (?:\w+ ){0,2}(?:error|exception) (?:has )?occurred|es ist ein (?:\w+ )?fehler|(?:ein|der) (?:\w+ )?fehler ist|une erreur (?:\w+ )?(?:est|s['’]est)|(?:se )?ha(?: ocurrido| producido|y) un error|there (?:is|was) (?:a|an) (?:problem|error) (?:with|while|in)|votre session|(?:su|tu) sesión|ihre sitzung"
+UNABLE = r"(?:we|you)(?:['’]re| are| were| have| do| could| can)?(?: ?n['’]?o?t|not)?\b.{0,20}\b(?:find|finding|load|loading|access|reach|display|permission|allowed|authori[sz]ed|blocked)\b.{0,30}?(?:\b(?:this|that|the (?:requested )?(?:page|site|url|server|resource|file)|what you)\b|\W*$)|sie (?:haben|sind|dürfen)\b.{0,40}\b(?:nicht|keine?n?)\b.{0,40}\b(?:berechtig\w*|zugriff|zugang|erlaub\w*|seite)|vous n['’](?:avez|êtes) pas\b.{0,30}\b(?:accès|autoris\w*|permission|droit\w*)|no (?:tiene|dispone)\b.{0,30}\b(?:permiso|acceso|autoriza\w*)|no se (?:pudo|puede|ha podido)\b.{0,20}\b(?:cargar|mostrar|acceder|encontrar|abrir)"
+CRASHES = r"traceback \(most recent|file \".{1,200}\", line \d+|raise \w+|(?:[\w.]+\.)?\w*(?:error|exception): |at [\w$.]+\([\w.:]+\)|<error><code>|sqlstate\W|(?:fatal|uncaught|unhandled|syntax|parse|runtime) (?:\w+ )?(?:error|exception)\b|segmentation fault|core dumped|\{.{0,300}\"(?:status|code|error|errors|message)\"\s*:.{0,300}\}\W*$"
+SCRIPTS = r"java ?-?scripts?|js|(?:client-side )?script(?:s|ing)?|skripte?"
+SWITCH_ON = r"enabl\w+|activat\w+|turn(?:ing)? on|switch(?:ing)? on|allow\w*|requires?|needs?|aktivier\w+|einschalten|erlauben|benötigt|erfordert|activez|activer|active|autoris\w+|nécessite|exige|requiert|habilit\w+|permit\w+|requiere|necesita"
+NEEDED_OR_OFF = r"must be|(?:is|are|has|have) (?:been )?(?:required|needed|disabled|deactivated|blocked|switched off|turned off|off|not (?:enabled|available|supported))|(?:ist|sind|wird|werden|muss)\b.{0,20}\b(?:deaktiviert|erforderlich|benötigt|aktiviert|ausgeschaltet|blockiert)|deaktiviert|erforderlich|aktivieren|zulassen|(?:est|sont|doit|doivent)\b.{0,20}\b(?:désactivé|requis|nécessaire|activé|bloqué)|désactivé|requis|(?:es|está|debe)\b.{0,20}\b(?:necesario|desactivado|obligatorio|activado|habilitado|bloqueado)|necesario|desactivado"
+BROWSER_CHECK = r"checking your browser|verify(?:ing)? (?:that )?(?:your browser|you(?:['’]re| are) (?:a )?(?:human|not a robot))|please wait\b.{0,30}\b(?:browser|redirect\w*|verif\w*)|(?:loading|laden|chargement|cargando)(?:\.\.\.|…)\W*$"
+FILLER_KIND = r"placeholder|dummy|filler|sample|example|blind|beispiel|platzhalter|füll|muster|provisoire|factice|faux|de remplissage|d['’]exemple|de relleno|de ejemplo|provisional|de prueba"
+FILLER_ALONE = r"placeholder|dummy|filler|platzhalter"
+FILLED = r"text[eo]?|copy|content|description|paragraph|title|heading|image|picture|inhalt|beschreibung|titel|absatz|contenu|titre|paragraphe|contenido|descripción|título|párrafo"
+HERE = r"here|hier|ici|aquí|in this (?:box|space|field|section)"
+TO_COME = r"coming soon|to (?:be (?:written|added|done|defined|announced|completed|confirmed)|come)|folgt|à (?:compléter|venir)|pendiente|próximamente|por definir"
+REPLACE = r"(?:bitte )?(?:replace|insert|enter|type|write|add|put|edit|ersetzen|einfügen|eingeben|remplace[rz]?|insére[rz]|saisi\w+|sustituya|reemplace|inserte|escriba)\b"
 LOREM = set(
-    "lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vivamus vestibulum praesent pellentesque suspendisse curabitur maecenas phasellus fusce donec etiam integer mauris morbi nam nunc proin quisque aenean aliquam turpis lacus arcu cursus nibh mattis ornare semper ligula justo porta tortor felis neque purus vitae massa quam risus nomen sagittis sagit vel lectus leo metus mi neque nec orci pede porttitor pulvinar rhoncus sapien sem tellus tincidunt ultrices urna varius vulputate vellat".split()
+    "lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vivamus vestibulum praesent pellentesque suspendisse curabitur maecenas phasellus fusce donec etiam integer mauris morbi nam nunc proin quisque aenean aliquam turpis lacus arcu cursus nibh mattis ornare semper ligula justo porta tortor felis neque purus vitae massa quam risus nomen sagittis sagit vel lectus leo metus mi nec orci pede porttitor pulvinar rhoncus sapien sem tellus tincidunt ultrices urna varius vulputate vellat perspiciatis unde omnis iste natus error accusantium doloremque laudantium totam rem aperiam eaque ipsa quae ab illo inventore veritatis architecto beatae dicta explicabo nemo ipsam quia voluptas aspernatur odit aut fugit consequuntur magni dolores eos ratione sequi nesciunt".split()
 )
 MASH = set("asdf asdfg asdfgh dfgh qwer qwert qwerty qwertz jkl jklo hjkl yxcv zxcv foo bar baz qux xxx xx xxxx test blah bla tbd tba lorem".split())
+# ---- End of fixed values ----
+
+_PLACE = r"[\w.\- ]{1,40}"
+PLACEHOLDER = re.compile(
+    rf"\{{\{{\s*{_PLACE}\}}\}}|[$#]\{{{_PLACE}\}}|\[\[\s*{_PLACE}\]\]|<<\s*{_PLACE}>>|<%=?[^%<>\n]{{1,60}}%>|\{{%[^%{{}}\n]{{1,60}}%\}}|\*\|{_PLACE}\|\*"
+    rf"|%[A-Z][A-Z0-9_.]{{1,40}}%|#[A-Z][A-Z0-9_.]{{1,40}}#|\$[A-Z][A-Z0-9_.]{{1,40}}\$|__[A-Z][A-Z0-9_.]*[A-Z0-9]__|@@{_PLACE}@@|«[a-z][a-z_.]{{1,30}}»"
+    r"|\{(?:\d{1,2}|[A-Za-z][\w.]{1,30})\}|\[object Object\]|\((?:[\w.]+ ){0,4}to be (?:added|completed|defined|filled in|confirmed)\)"
+    rf"|(?i:\[(?:insert|enter|add|fill in|todo|tbd|your|ihre?|votre|su)\b[^\[\]\n]{{0,40}}\]|\[{FIELDS}\])"
+    rf"|(?<!\S)%(?:\(\w{{1,30}}\))?[sd](?![\w%])|(?<!\S):[a-z]+_[a-z_]{{1,30}}\b|(?<!\S)\$[a-z][a-z_]{{2,30}}\b"
+    r"|(?<=[^\W_])[ :]+_{4,}|_{4,}(?=[ ,.;][^\W_]| - )|<(?!(?:" + "|".join(TAGS) + r")\b)[A-Za-z][\w. ]{1,40}>"
+)
+MARK = re.compile(r"[{$\[<*%#_@«(:]")  # every match of PLACEHOLDER holds one
+QUOTING = re.compile(rf"(?i)\b(?:{QUOTES})\b")
+_DONE = rf"(?:{FILLED})\b(?:\W+\w+){{0,2}}?\W+(?:goes |steht |stehen |va )?(?:{HERE}|{TO_COME})"
 FILLER = re.compile(
-    r"(?i)^\W*(?:(?:example |body )?(?:copy|content|text|description|image|picture))?\W*(?:"
-    r"(?:placeholder|dummy|filler|sample) (?:text|copy|content|description|paragraph)|(?:body )?copy (?:goes )?here|(?:content )?coming soon|to be (?:written|added|done|defined|announced)|tbd|tba|todo"
-    r"|write something|add your own|replace this|this is a test|please ignore|heading \d+|x+(?: x+)+|your \w+ here|(?:\w+ ){1,2}goes here|description goes here|insert (?:text|content)"
-    r"|texte? (?:provisoire|de remplissage|d'exemple|factice)|faux texte|à compléter|remplacer (?:ce|le)|ceci est un (?:faux )?(?:texte|test)|votre \w+ ici"
-    r"|texto (?:de relleno|de ejemplo|provisional|de prueba)|sustituya|reemplace|escriba aquí|contenido próximamente|(?:su|tu) \w+ aquí|esto es (?:un|una)"
-    r"|(?:dies ist ein )?(?:blindtext|beispieltext|platzhalter|fülltext|mustertext)|(?:bitte )?durch den echten|hier (?:steht|folgt|kommt)|ihre? \w+ hier|inhalt folgt|bitte ersetzen|er (?:dient|wird)"
-    r")"
+    rf"(?i)^\W*(?:(?:this|dies|hier|ceci|esto) (?:is|ist|steht|est|es) )?(?:(?:an?|the|eine?|der|un|une|el)\W+)?(?:(?:example|body|image|picture|page|product) )?(?:"
+    rf"(?:{FILLER_KIND})[ -]?(?:{FILLED})\b(?! of\b)|(?:{FILLER_ALONE})\b(?! of\b)|(?:{FILLED}) (?:{FILLER_KIND})\b|(?:your|ihre?|votre|su|tu|main|short|more)?\W*{_DONE}"
+    rf"|(?:{HERE}) (?:steht|folgt|kommt|könnte|votre|va)\b|(?:your|ihre?|votre|su|tu) \w+ (?:{HERE})|(?:\w+ ){{1,2}}goes (?:{HERE})|(?:{TO_COME})\W*$"
+    rf"|{REPLACE}\W+(?:(?:this|the|your|own|ce|cet?te|le|este|el|die|den|diesen|some|in)\W+)?(?:\w+\W+){{0,2}}?(?:{FILLED}|block\w*|bloque|bloc|something|{HERE})\b|(?:write|add) (?:something|your own)|(?:bitte )?(?:durch den echten|ersetzen)"
+    rf"|er (?:dient|wird)|(?:this is )?a test\W*$|this is (?:only )?a test\b|please ignore|tbd\b|tba\b|todo\b|heading \d+|x+(?: x+)+|(?:ceci est|esto es) un"
+    rf")"
 )
-STATUS = r"(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request timeout|conflict|gone|too many requests|internal server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out)"
 ERROR = re.compile(
-    r"(?i)^\W*(?:(?:http )?(?:error|erreur|fehler|errore?|status)\W{0,3}[45]\d\d\b|[45]\d\d\W{1,3}" + STATUS + r"|" + STATUS + r"\W*$"
-    r"|the requested (?:url|page|resource)|access (?:to .{1,40} )?(?:is |was )?denied|permission denied|accès refusé|acceso denegado|zugriff verweigert|you do not have permission"
-    r"|your session (?:has )?(?:expired|timed out)|votre session|(?:su|tu) sesión|ihre sitzung"
-    r"|oops|(?:sorry,? )?we (?:could not|couldn't|can't|cannot) find|page not found|seite nicht gefunden|página no encontrada|page (?:introuvable|non trouvée)"
-    r"|something went wrong|an? (?:unexpected |internal )?error (?:has )?occurred|es ist ein fehler|une erreur (?:est|s'est)|(?:se )?ha(?: ocurrido|y) un error"
-    r"|the (?:connection|request|server|page|service)\b.{0,60}\b(?:timed out|failed|unavailable|refused)|(?:this|the) (?:site|page|service) is (?:down|currently|temporarily|under|unavailable)"
-    r"|no se pudo cargar|(?:die|diese) (?:seite|angeforderte)\b.{0,50}\b(?:nicht|wartung|wartungs)|la page demandée|ce site est|este sitio"
-    r"|traceback \(most recent|file \".{1,200}\", line \d+|raise \w+|(?:[\w.]+\.)?\w*(?:error|exception): |at [\w$.]+\([\w.:]+\)"
-    r"|<error><code>|\{.{0,300}\"(?:status|code|error|errors|message)\"\s*:.{0,300}\}\W*$)"
-)
-SCRIPT_WORD = r"(?:java ?scripts?|js|(?:client-side )?script(?:s|ing)?|skripte?)"
-SCRIPT = re.compile(
-    r"(?i)\b(?:enable|activate|turn(?:ing)? on|switch(?:ing)? on|allow|aktivieren|einschalten|activez|activer|active|habilite|habilitar|autoriser|permita)\b.{0,40}\b" + SCRIPT_WORD + r"\b"
-    r"|\b" + SCRIPT_WORD + r"\b.{0,40}\b(?:must be (?:allowed|enabled|on)|(?:is|are) (?:required|disabled|switched off|turned off|blocked|off|not enabled|deaktiviert|erforderlich|désactivé|requis|necesario|desactivado)|aktivieren|zulassen)"
-    r"|\b(?:without|ohne|sans|sin) " + SCRIPT_WORD + r"\W*$|\b(?:browser|navigateur|navegador)\b.{0,30}\b(?:blocks?|blockiert|bloque|bloquea|does not (?:run|support))\b.{0,20}\b" + SCRIPT_WORD + r"\b|^\W*(?:loading|laden|chargement|cargando)(?:\.\.\.|…)\W*$|^\W*checking your browser"
+    rf"(?i)^\W*(?:(?:https?\W{{0,3}})?(?:{ERROR_WORD})\W{{0,3}}(?:code\W{{0,3}})?[45]\d\d\b|[45]\d\d\W{{1,3}}(?:{REASONS}|{ERROR_WORD})\b|(?:{REASONS})\W*$|(?:{EXCUSES})|(?:hmm\W+)?(?:{UNABLE})|(?:{CRASHES}))"
 )
-# What every match of PLACEHOLDER or SCRIPT holds.
-MARK = re.compile(r"[{$\[<*%#_@«(]")
-SCRIPT_PART = re.compile(r"(?i)s[ck]ript|js|loading|laden|chargement|cargando|checking your browser")
-# ---- End of fixed values ----
+STATED = re.compile(rf"(?i)^\W*(?:(?:sorry|unfortunately|leider|désolé|lo sentimos)\W+)?(?P<art>(?:{ARTICLES})\W+|l['’])?(?:requested |angeforderte |gewünschte )?(?:{THINGS})\b(?:\W+[^\W\d_]\w*['’]?){{0,7}}?\W+(?:{WRONG})\b")
+SCRIPT = re.compile(rf"(?i)\b(?:{SWITCH_ON})\b.{{0,40}}\b(?:{SCRIPTS})\b|\b(?:{SCRIPTS})\b.{{0,40}}?\b(?:{NEEDED_OR_OFF})\b|\b(?:without|ohne|sans|sin) (?:{SCRIPTS})\W*$|\b(?:browser|navigateur|navegador)\b.{{0,30}}\b(?:block\w*|bloque\w*|blockiert|does not (?:run|support))\b.{{0,20}}\b(?:{SCRIPTS})\b|^\W*(?:{BROWSER_CHECK})")
+SCRIPT_PART = re.compile(r"(?i)s[ck]ript|js|loading|laden|chargement|cargando|browser|verify|please wait")  # every match of SCRIPT holds one
+LATIN_END = ("us", "um", "is", "it", "at", "or", "ur", "em", "am", "ae", "que", "nt", "bus", "io", "i", "a", "e", "o")
 
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 ENTITY = re.compile(r"&(lt|gt|amp|quot|#39|nbsp);")
 ENTITIES = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "#39": "'", "nbsp": " "}
 TAG = re.compile(r"</?(?:" + "|".join(TAGS) + r")\b[^<>]{0,200}>", re.I)
-FIELD_TAG = re.compile(r"<(title|summary|caption|label|code|address)>")
+FIELD_TAG = re.compile(r"<(title|summary|caption|label|code|address)>", re.I)
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 WORD = re.compile(r"[^\W_]+")
 NAVIGATION = re.compile(r"^[^|:\d]{1,40}(?:\|[^|:\d]{1,40}){2,}$")
+CODE = re.compile(r"\w*\d[\w-]*")
+KINDS = ("unfilled", "filler", "error", "script", "rest")
+
+
+def latin(words: list[str]) -> bool:
+    """Whether words are filler Latin: six in ten of its vocabulary, or a quarter with nearly all others ending as Latin does."""
+    known = sum(w in LOREM for w in words)
+    return known >= 0.6 * len(words) or len(words) >= 5 and known >= 0.25 * len(words) and sum(w in LOREM or w.endswith(LATIN_END) for w in words) >= 0.9 * len(words)
+
+
+def line_evidence(line: str) -> tuple[int, int, int, int, int]:
+    """Unfilled values of a line, and its words of filler, of errors, of script notices, and others."""
+    unfilled = filler = error = script = rest = 0
+    scripts = SCRIPT_PART.search(line) is not None
+    for sentence in SENTENCE.split(line):
+        marks = PLACEHOLDER.findall(sentence) if MARK.search(sentence) else []
+        if marks and (" | " in line or not QUOTING.search(PLACEHOLDER.sub(" ", sentence))):
+            unfilled += len(marks)
+        words = WORD.findall(sentence.lower())
+        n = len(words)
+        if not n:
+            continue
+        stated = STATED.match(sentence) if n <= STATEMENT else None
+        if FILLER.match(sentence) or n >= 3 and latin(words) or n >= 5 and len(set(words)) == 1 or all(w in MASH for w in words):
+            filler += n
+        elif ERROR.match(sentence) or stated and (n <= HEADING or stated["art"]):
+            error += n
+        elif scripts and SCRIPT.search(sentence):
+            script += n
+        elif not NAVIGATION.match(line):
+            rest += n
+    return unfilled, filler, error, script, rest
+
+
+def signed(text: str) -> int:
+    """The number that Spark's xxhash64 gives a text."""
+    return int.from_bytes(xxhash.xxh64_digest(text, seed=42), "big", signed=True)
 
 
-def evidence(text: str) -> tuple[int, int, int, int, list[tuple[str, int]]]:
-    """Unfilled values, words of filler, of errors, of script notices, and the other lines with their words."""
-    text = ENTITY.sub(lambda m: ENTITIES[m.group(1)], INVISIBLE.sub("", text))
-    unfilled = filler = error = script = 0
-    rest: list[tuple[str, int]] = []
-    low = text.lower()
-    for name in FIELD_TAG.findall(low):  # a field in angle brackets that is also the name of a tag
-        unfilled += f"</{name}>" not in low
-    plain = TAG.sub("\n", text)
-    scripts = SCRIPT_PART.search(plain) is not None
-    for raw in plain.splitlines():
+def read_text(text: str) -> tuple[int, list[tuple[int, tuple[int, int, int, int, int]]]]:
+    """Hash of a text, and of each of its lines the hash of its normal form and its counts.
+
+    In the normal form letters are lower case, white space is reduced, and words with figures are all the same.
+    """
+    plain = ENTITY.sub(lambda m: ENTITIES[m.group(1)], INVISIBLE.sub("", text))
+    low = plain.lower()
+    lone = {name for name in (m.lower() for m in FIELD_TAG.findall(plain)) if f"</{name}>" not in low}
+    lines = []
+    for raw in TAG.sub(lambda m: m.group(0) if m.group(0)[1:-1].lower() in lone else "\n", plain).splitlines():
         line = raw.strip()
         if not line:
             continue
-        others = 0
-        hit = False
-        for sentence in SENTENCE.split(line):
-            marks = PLACEHOLDER.findall(sentence) if MARK.search(sentence) else []
-            if marks and (" | " in line or not QUOTING.search(PLACEHOLDER.sub(" ", sentence))):
-                unfilled += len(marks)
-            words = WORD.findall(sentence)
-            n = len(words)
-            if not n:
-                continue
-            lower = [w.lower() for w in words]
-            if FILLER.match(sentence) or sum(w in LOREM for w in lower) >= 0.6 * n and n >= 3 or all(w in MASH for w in lower) or n >= 5 and len(set(lower)) == 1:
-                filler, hit = filler + n, True
-            elif ERROR.match(sentence):
-                error, hit = error + n, True
-            elif scripts and SCRIPT.search(sentence):
-                script, hit = script + n, True
-            else:
-                others += n
-        if others and not NAVIGATION.match(line):
-            rest.append(("" if hit else line, others))
-    return unfilled, filler, error, script, rest
+        counts = line_evidence(line)
+        if lone:  # a field in angle brackets that is also the name of a tag
+            fields = sum(m.lower() in lone for m in FIELD_TAG.findall(line))
+            counts = (counts[0] + fields, *counts[1:])
+        lines.append((signed(" ".join(CODE.sub("0", line.lower()).split())), counts))
+    return signed(text), lines
+
 
+def read_lines(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """key, _host, _text (hash) and _lines (struct of hash and counts) of every text that isn't null or blank."""
+    kind = docs.schema[key].dataType.simpleString()
+    line = pa.struct([("hash", pa.int64()), *((k, pa.int32()) for k in KINDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [read_text(t) for t in batch.column(2).to_pylist()]
+            flat = [x for _, lines in read for x in lines]
+            columns = [pa.array([h for h, _ in flat], pa.int64()), *(pa.array([c[k] for _, c in flat], pa.int32()) for k in range(len(KINDS)))]
+            ends = [0]
+            for _, lines in read:
+                ends.append(ends[-1] + len(lines))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(line)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f for f, _ in read], pa.int64()), lists], names=[key, "_host", "_text", "_lines"])
 
-def normal_lines(text: Column) -> Column:
-    """Different lines of a text, lower-cased, with digits made equal and white space reduced."""
-    one = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[ \t\u00a0]+", " ")
-    return F.array_distinct(F.transform(F.split(one, r" ?[\r\n]+ ?"), lambda line: F.trim(line)))
+    some = docs.filter(F.col(text).isNotNull()).select(key, F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(text).alias("_text"))
+    counts = ", ".join(f"{k}: int" for k in KINDS)
+    return some.mapInArrow(run, f"`{key}` {kind}, _host string, _text long, _lines array<struct<hash: bigint, {counts}>>").filter(F.size("_lines") > 0)
 
 
-def recurrent_lines(docs: DataFrame, host: str = "source", text: str = "text", least: int = RECURRENT, share: float = RECURRENT_SHARE) -> DataFrame:
-    """host and hash of every normalised line that at least ``least`` different texts of the host, and that share of them, hold.
+def recurrent(lines: DataFrame, least: int = RECURRENT, share: float = RECURRENT_SHARE) -> DataFrame:
+    """_host and _hash of every line that at least ``least`` different texts of its host, and that share of them, hold.
 
     Copies of a text count once, so that its lines aren't taken for boilerplate however often it is copied.
     """
-    hashes = F.transform(F.filter(normal_lines(F.col(text)), lambda line: line != ""), lambda line: F.xxhash64(line))
-    texts = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(host), F.lit("")).alias("_host"), F.xxhash64(text).alias("_text"), hashes.alias("_lines")).distinct()
+    texts = lines.groupBy("_host", "_text").agg(F.first(F.array_distinct("_lines.hash")).alias("_h"))
     # A null among the lines of each text counts the texts of the host.
-    lines = texts.select("_host", F.explode(F.concat("_lines", F.array(F.lit(None).cast("long")))).alias("_hash"))
-    counts = lines.groupBy("_host", "_hash").agg(F.count("*").alias("_n")).filter((F.col("_n") >= least) | F.col("_hash").isNull())
+    each = texts.select("_host", F.explode(F.concat("_h", F.array(F.lit(None).cast("long")))).alias("_hash"))
+    counts = each.groupBy("_host", "_hash").agg(F.count("*").alias("_n")).filter((F.col("_n") >= least) | F.col("_hash").isNull())
     totals = counts.filter(F.col("_hash").isNull()).select("_host", F.col("_n").alias("_of"))
     return counts.filter(F.col("_hash").isNotNull()).join(totals, "_host").filter(F.col("_n") >= share * F.col("_of")).select("_host", "_hash")
 
 
+def recurrent_lines(docs: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
+    """_host and _hash of the recurrent lines of every host; documents without host form one."""
+    return recurrent(read_lines(docs.withColumn("_key", F.lit(0)), "_key", text, host))
+
+
 def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One row for each document with evidence: key, unfilled, filler, error, script, rest (words), excluded.
+    """One row for each document with evidence in what is left of it: key, unfilled, filler, error, script, rest (words), excluded.
 
-    ``excluded`` holds where a value was left unfilled, where filler makes up 60 % of what is left, or where
-    an error or a notice is left with at most 30 other words.  Null, empty and blank texts have no
-    evidence and no row.  Documents without host form one host.  Other columns are ignored.
+    The host's recurrent lines are taken off first, those with evidence too; a text of which nothing but navigation
+    is left has no content of its own, and is judged by the evidence of its recurrent lines, with no other words.  ``excluded`` holds where a value was left unfilled, where
+    filler makes up 60 % of what is left, or where an error or a notice is left with at most 30 other words.  Null,
+    empty and blank texts have no evidence and no row.  Documents without host form one host.  Other columns
+    are ignored.
     """
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [key, "_host", "unfilled", "filler", "error", "script", "_rest"]
-        line = pa.list_(pa.struct([("line", pa.string()), ("words", pa.int32())]))
-        for batch in batches:
-            at, rows = [], []
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                if t:
-                    found = evidence(t)
-                    if any(found[:4]):
-                        at.append(i)
-                        rows.append(found)
-            if at:
-                counts = [pa.array([r[k] for r in rows], pa.int32()) for k in range(4)]
-                rest = pa.array([[{"line": a, "words": n} for a, n in r[4]] for r in rows], line)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), *counts, rest], names=names)
-
-    held = docs.select(key, F.coalesce(F.col(host), F.lit("")).alias("_host"), F.col(text).alias("_text")).mapInArrow(
-        run, f"`{key}` {kind}, _host string, unfilled int, filler int, error int, script int, _rest array<struct<line: string, words: int>>"
-    )
-    lines = held.select("*", F.posexplode_outer("_rest").alias("_at", "_r")).drop("_rest")
-    lines = lines.withColumn("_hash", F.xxhash64(normal_lines(F.col("_r.line"))[0]))
-    common = recurrent_lines(docs, host, text).withColumn("_common", F.lit(True))
-    left = lines.join(common, ["_host", "_hash"], "left")
-    counts = ["unfilled", "filler", "error", "script"]
-    whole = left.groupBy(key, *counts).agg(F.coalesce(F.sum(F.when(F.col("_common").isNull(), F.col("_r.words"))), F.lit(0)).alias("rest"))
+    lines = cut(read_lines(docs, key, text, host))
+    common = recurrent(lines).withColumn("_common", F.lit(True))
+    shown = F.exists("_lines", lambda x: (x["unfilled"] > 0) | (x["filler"] > 0) | (x["error"] > 0) | (x["script"] > 0))
+    each = lines.filter(shown).select(key, "_host", F.explode("_lines").alias("_l")).select(key, "_host", F.col("_l.hash").alias("_hash"), "_l.*").drop("hash")
+    own = F.col("_common").isNull()
+    sums = [F.coalesce(F.sum(F.when(own, F.col(k))), F.lit(0)).alias(f"_{k}") for k in KINDS] + [F.sum(k).alias(k) for k in KINDS]
+    both = each.join(common, ["_host", "_hash"], "left").groupBy(key).agg(*sums)
+    left = sum((F.col(f"_{k}") for k in KINDS), F.lit(0)) > 0
+    judged = both.select(key, *[F.when(left, F.col(f"_{k}")).otherwise(F.lit(0) if k == "rest" else F.col(k)).alias(k) for k in KINDS])
     some = F.col("filler") + F.col("error") + F.col("script")
     page = (F.col("error") + F.col("script") > 0) & (F.col("rest") <= REST_WORDS)
     filled = (F.col("filler") > 0) & (F.col("filler") >= FILLER_SHARE * (some + F.col("rest")))
-    return whole.withColumn("excluded", (F.col("unfilled") > 0) | page | filled)
+    return judged.filter((F.col("unfilled") > 0) | (some > 0)).withColumn("excluded", (F.col("unfilled") > 0) | page | filled)
