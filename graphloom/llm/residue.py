@@ -73,11 +73,12 @@ PLACEHOLDER = re.compile(
     rf"|(?<!\S)%(?:\(\w{{1,30}}\))?[sd](?![\w%])|(?<!\S):[a-z]+_[a-z_]{{1,30}}\b|(?<!\S)\$[a-z][a-z_]{{2,30}}\b"
     r"|(?<=[^\W_])[ :]+_{4,}|_{4,}(?=[ ,.;][^\W_]| - )|<(?!(?:" + "|".join(TAGS) + r")\b)[A-Za-z][\w. ]{1,40}>"
 )
-MARK = re.compile(r"[{$\[<*%#_@«(:]")  # every match of PLACEHOLDER holds one
+MARK = re.compile(r"[{$\[<*%#@«]|__|\bto be |(?<!\S):[a-z]")  # every match of PLACEHOLDER holds one
 QUOTING = re.compile(rf"(?i)\b(?:{QUOTES})\b")
 _DONE = rf"(?:{FILLED})\b(?:\W+\w+){{0,2}}?\W+(?:goes |steht |stehen |va )?(?:{HERE}|{TO_COME})"
+# These are matched with lower-cased sentences.
 FILLER = re.compile(
-    rf"(?i)^\W*(?:(?:this|dies|hier|ceci|esto) (?:is|ist|steht|est|es) )?(?:(?:an?|the|eine?|der|un|une|el)\W+)?(?:(?:example|body|image|picture|page|product) )?(?:"
+    rf"^\W*(?:(?:this|dies|hier|ceci|esto) (?:is|ist|steht|est|es) )?(?:(?:an?|the|eine?|der|un|une|el)\W+)?(?:(?:example|body|image|picture|page|product) )?(?:"
     rf"(?:{FILLER_KIND})[ -]?(?:{FILLED})\b(?! of\b)|(?:{FILLER_ALONE})\b(?! of\b)|(?:{FILLED}) (?:{FILLER_KIND})\b|(?:your|ihre?|votre|su|tu|main|short|more)?\W*{_DONE}"
     rf"|(?:{HERE}) (?:steht|folgt|kommt|könnte|votre|va)\b|(?:your|ihre?|votre|su|tu) \w+ (?:{HERE})|(?:\w+ ){{1,2}}goes (?:{HERE})|(?:{TO_COME})\W*$"
     rf"|{REPLACE}\W+(?:(?:this|the|your|own|ce|cet?te|le|este|el|die|den|diesen|some|in)\W+)?(?:\w+\W+){{0,2}}?(?:{FILLED}|block\w*|bloque|bloc|something|{HERE})\b|(?:write|add) (?:something|your own)|(?:bitte )?(?:durch den echten|ersetzen)"
@@ -85,11 +86,12 @@ FILLER = re.compile(
     rf")"
 )
 ERROR = re.compile(
-    rf"(?i)^\W*(?:(?:https?\W{{0,3}})?(?:{ERROR_WORD})\W{{0,3}}(?:code\W{{0,3}})?[45]\d\d\b|[45]\d\d\W{{1,3}}(?:{REASONS}|{ERROR_WORD})\b|(?:{REASONS})\W*$|(?:{EXCUSES})|(?:hmm\W+)?(?:{UNABLE})|(?:{CRASHES}))"
+    rf"^\W*(?:(?:https?\W{{0,3}})?(?:{ERROR_WORD})\W{{0,3}}(?:code\W{{0,3}})?[45]\d\d\b|[45]\d\d\W{{1,3}}(?:{REASONS}|{ERROR_WORD})\b|(?:{REASONS})\W*$|(?:{EXCUSES})|(?:hmm\W+)?(?:{UNABLE})|(?:{CRASHES}))"
 )
-STATED = re.compile(rf"(?i)^\W*(?:(?:sorry|unfortunately|leider|désolé|lo sentimos)\W+)?(?P<art>(?:{ARTICLES})\W+|l['’])?(?:requested |angeforderte |gewünschte )?(?:{THINGS})\b(?:\W+[^\W\d_]\w*['’]?){{0,7}}?\W+(?:{WRONG})\b")
-SCRIPT = re.compile(rf"(?i)\b(?:{SWITCH_ON})\b.{{0,40}}\b(?:{SCRIPTS})\b|\b(?:{SCRIPTS})\b.{{0,40}}?\b(?:{NEEDED_OR_OFF})\b|\b(?:without|ohne|sans|sin) (?:{SCRIPTS})\W*$|\b(?:browser|navigateur|navegador)\b.{{0,30}}\b(?:block\w*|bloque\w*|blockiert|does not (?:run|support))\b.{{0,20}}\b(?:{SCRIPTS})\b|^\W*(?:{BROWSER_CHECK})")
-SCRIPT_PART = re.compile(r"(?i)s[ck]ript|js|loading|laden|chargement|cargando|browser|verify|please wait")  # every match of SCRIPT holds one
+STATED = re.compile(rf"^\W*(?:(?:sorry|unfortunately|leider|désolé|lo sentimos)\W+)?(?P<art>(?:{ARTICLES})\W+|l['’])?(?:requested |angeforderte |gewünschte )?(?:{THINGS})\b(?:\W+[^\W\d_]\w*['’]?){{0,7}}?\W+(?:{WRONG})\b")
+SCRIPT_WORD = re.compile(rf"\b(?:{SCRIPTS})\b")
+SCRIPT = re.compile(rf"\b(?:{SWITCH_ON})\b.{{0,40}}\b(?:{SCRIPTS})\b|\b(?:{SCRIPTS})\b.{{0,40}}?\b(?:{NEEDED_OR_OFF})\b|\b(?:without|ohne|sans|sin) (?:{SCRIPTS})\W*$|\b(?:browser|navigateur|navegador)\b.{{0,30}}\b(?:block\w*|bloque\w*|blockiert|does not (?:run|support))\b.{{0,20}}\b(?:{SCRIPTS})\b")
+WAITING = re.compile(rf"^\W*(?:{BROWSER_CHECK})")
 LATIN_END = ("us", "um", "is", "it", "at", "or", "ur", "em", "am", "ae", "que", "nt", "bus", "io", "i", "a", "e", "o")
 
 INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
@@ -100,7 +102,7 @@ FIELD_TAG = re.compile(r"<(title|summary|caption|label|code|address)>", re.I)
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 WORD = re.compile(r"[^\W_]+")
 NAVIGATION = re.compile(r"^[^|:\d]{1,40}(?:\|[^|:\d]{1,40}){2,}$")
-CODE = re.compile(r"\w*\d[\w-]*")
+DIGIT = re.compile(r"\d")
 KINDS = ("unfilled", "filler", "error", "script", "rest")
 
 
@@ -110,24 +112,27 @@ def latin(words: list[str]) -> bool:
     return known >= 0.6 * len(words) or len(words) >= 5 and known >= 0.25 * len(words) and sum(w in LOREM or w.endswith(LATIN_END) for w in words) >= 0.9 * len(words)
 
 
-def line_evidence(line: str) -> tuple[int, int, int, int, int]:
-    """Unfilled values of a line, and its words of filler, of errors, of script notices, and others."""
+def line_evidence(line: str, low: str) -> tuple[int, int, int, int, int]:
+    """Unfilled values of a line (``low`` is its lower case), and its words of filler, of errors, of script notices, and others."""
     unfilled = filler = error = script = rest = 0
-    scripts = SCRIPT_PART.search(line) is not None
-    for sentence in SENTENCE.split(line):
-        marks = PLACEHOLDER.findall(sentence) if MARK.search(sentence) else []
-        if marks and (" | " in line or not QUOTING.search(PLACEHOLDER.sub(" ", sentence))):
-            unfilled += len(marks)
-        words = WORD.findall(sentence.lower())
+    marked = MARK.search(line) is not None
+    scripts = "script" in low or "skript" in low or "js" in low  # as every SCRIPT_WORD holds
+    for k, lowered in enumerate(SENTENCE.split(low)):
+        if marked:
+            sentence = SENTENCE.split(line)[k]
+            marks = PLACEHOLDER.findall(sentence) if MARK.search(sentence) else []
+            if marks and (" | " in line or not QUOTING.search(PLACEHOLDER.sub(" ", sentence))):
+                unfilled += len(marks)
+        words = WORD.findall(lowered)
         n = len(words)
         if not n:
             continue
-        stated = STATED.match(sentence) if n <= STATEMENT else None
-        if FILLER.match(sentence) or n >= 3 and latin(words) or n >= 5 and len(set(words)) == 1 or all(w in MASH for w in words):
+        stated = STATED.match(lowered) if n <= STATEMENT else None
+        if FILLER.match(lowered) or n >= 3 and latin(words) or n >= 5 and len(set(words)) == 1 or words[0] in MASH and all(w in MASH for w in words):
             filler += n
-        elif ERROR.match(sentence) or stated and (n <= HEADING or stated["art"]):
+        elif ERROR.match(lowered) or stated and (n <= HEADING or stated["art"]):
             error += n
-        elif scripts and SCRIPT.search(sentence):
+        elif WAITING.match(lowered) or scripts and SCRIPT_WORD.search(lowered) and SCRIPT.search(lowered):
             script += n
         elif not NAVIGATION.match(line):
             rest += n
@@ -152,11 +157,13 @@ def read_text(text: str) -> tuple[int, list[tuple[int, tuple[int, int, int, int,
         line = raw.strip()
         if not line:
             continue
-        counts = line_evidence(line)
+        low_line = line.lower()
+        counts = line_evidence(line, low_line)
         if lone:  # a field in angle brackets that is also the name of a tag
             fields = sum(m.lower() in lone for m in FIELD_TAG.findall(line))
             counts = (counts[0] + fields, *counts[1:])
-        lines.append((signed(" ".join(CODE.sub("0", line.lower()).split())), counts))
+        words = low_line.split()
+        lines.append((signed(" ".join(["0" if DIGIT.search(w) else w for w in words] if DIGIT.search(low_line) else words)), counts))
     return signed(text), lines
 
 
