@@ -19,6 +19,7 @@ from graphloom.session import cut
 
 DIGIT = 16  # bits a pass; a group has at most 2**16 bins in one
 SMALL = 200_000  # prefixes that are broadcast at most
+SALTS = 32  # tasks that a prefix is dealt out over beyond that
 PERCENTILES = (0.25, 0.5, 0.9, 0.95, 0.99)
 _LOW = np.int64(0x7FFFFFFFFFFFFFFF)
 
@@ -116,23 +117,27 @@ def percentiles(rows: DataFrame, groups: Sequence[str], wanted: Sequence[float]
     return with_doubles(named, ["value"])
 
 
-def _select(rows: DataFrame, keys: Sequence[str], wanted: Sequence[float], bits: int, small: int = 0) -> DataFrame:
+def _select(rows: DataFrame, keys: Sequence[str], wanted: Sequence[float], bits: int) -> DataFrame:
     """Passes of the selection over ``rows`` (keys, that are never null, and ``_o``): keys, p, bin, _k, _total.
 
-    Prefixes that are followed are broadcast where they are counted to be at most ``small``.
+    A pass reads the rows once, keeps those under the prefixes that the last one found, and counts them before they
+    are shuffled.  Prefixes are broadcast where they are counted to be at most SMALL; beyond that they are joined
+    by a shuffle, each dealt out over SALTS tasks, as one prefix may hold any share of the rows.
     """
-    hist, targets = histogram(rows, keys, DIGIT), None
+    hist = histogram(rows, keys, DIGIT)
     found = cut(_wanted(hist, keys, None, wanted))
     for depth in range(2 * DIGIT, bits + 1, DIGIT):
-        prefix = F.shiftright("_o", 64 - depth + DIGIT)
         targets = found.withColumnRenamed("bin", "_prefix")
-        follow = targets.select(*keys, "_prefix").distinct()
-        if small and follow.count() <= small:
+        follow, on = targets.select(*keys, "_prefix").distinct(), [*keys, "_prefix"]
+        under = rows.withColumn("_prefix", F.shiftright("_o", 64 - depth + DIGIT))
+        if follow.count() <= SMALL:
             follow = F.broadcast(follow)  # two numbers a row, counted
-        rows = rows.withColumn("_prefix", prefix).join(follow, [*keys, "_prefix"], "left_semi")
-        hist = rows.groupBy(*keys, "_prefix", F.shiftright("_o", 64 - depth).alias("bin")).agg(F.count("*").alias("n"))
+        else:
+            follow = follow.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            under = under.withColumn("_salt", F.pmod(F.xxhash64("_o", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+            on = [*on, "_salt"]
+        hist = under.join(follow, on, "left_semi").groupBy(*keys, "_prefix", F.shiftright("_o", 64 - depth).alias("bin")).agg(F.count("*").alias("n"))
         found = cut(_wanted(hist, [*keys, "_prefix"], targets, wanted))
-        rows = rows.drop("_prefix")
     return found
 
 
@@ -171,7 +176,7 @@ def label_percentiles(points: DataFrame, wanted: Sequence[float] = PERCENTILES)
     entries = label_entries(F.col("labels"))
     groups = F.sort_array(F.transform(entries, lambda e: group(e["key"], e["value"])))
     rows = cut(once(points.select("point_id", groups.alias("_groups"), "value"), "point_id", ["_groups"], "value"))
-    found = _select(rows.select(F.explode("_groups").alias("_g"), "_o"), ["_g"], wanted, 64, SMALL)
+    found = _select(rows.select(F.explode("_groups").alias("_g"), "_o"), ["_g"], wanted, 64)
     each = points.select("metric", F.explode(entries).alias("_e")).select("metric", F.col("_e.key").alias("label_key"), F.col("_e.value").alias("label")).distinct()
     names = each.withColumn("_g", group(F.col("label_key"), F.col("label")))
     return with_doubles(found.join(names, "_g").select("metric", "label_key", "label", "p", F.col("_total").alias("n"), F.col("bin").alias("value")), ["value"])

@@ -85,3 +85,13 @@ def test_the_registered_query_has_every_label_key(spark, tmp_path):
     spark.createDataFrame([(1, "m", dict.fromkeys(("component", "endpoint", "type", "status", "zone"), "a"), 2.0)], schema).write.parquet(f"{tmp_path}/metric_points.parquet")
     first = next(q for n, q in queries.QUERIES.items() if n.startswith("p3_"))
     assert {r.label_key for r in first(spark, str(tmp_path)).collect()} == {"component", "endpoint", "type", "status", "zone"}
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_one_value_may_hold_half_of_the_rows(spark, monkeypatch, small):
+    monkeypatch.setattr(P, "SMALL", small)  # 0: prefixes are joined by a shuffle
+    rng = random.Random(5)
+    data = [(i, "hot" if i % 3 else "b", 0.0 if i % 2 else rng.uniform(1.0, 1.0625)) for i in range(6000)]
+    rows = P.once(spark.createDataFrame(data, "id long, g string, v double"), "id", ["g"], "v")
+    for r in P.percentiles(rows, ["g"], (0.3, 0.5, 0.7, 0.99)).collect():
+        assert r.value == exact([v for _, g, v in data if g == r.g], r.p)
