@@ -60,7 +60,16 @@ def x_clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query()
+BLANK = r"[\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+@query(rf"""WITH RECURSIVE c AS (
+ SELECT doc_id, text, 0 AS s, CASE WHEN length(text) <= 1000 THEN length(text) ELSE coalesce(nullif(length(regexp_extract(substr(text, 2, 1000), '^(?s:.*){BLANK}')), 0), 1000) END AS e FROM documents WHERE length(text) > 0
+ UNION ALL
+ SELECT doc_id, text, n, CASE WHEN length(text) <= n + 1000 THEN length(text) ELSE n + coalesce(nullif(length(regexp_extract(substr(text, n + 2, 1000), '^(?s:.*){BLANK}')), 0), 1000) END
+ FROM (SELECT doc_id, text, CASE WHEN e - 200 > s THEN e - 200 ELSE e END AS n FROM c WHERE e < length(text))),
+p AS (SELECT doc_id, regexp_replace(substr(text, s + 1, e - s), '^{BLANK}+|{BLANK}+$', '', 'g') AS chunk_text, s, e FROM c)
+SELECT doc_id, 'chunk_' || (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1) AS chunk_id, chunk_text, s::INT AS start_idx, e::INT AS end_idx FROM p WHERE chunk_text <> ''""")
 def x_chunks(spark, d):
     return T.chunks(table(spark, d, "documents"))
 

@@ -36,8 +36,9 @@ def sentence_count(text: Column) -> Column:
 def chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, chunk_id, chunk_text, start_idx, end_idx: word-boundary chunks with overlap.
 
-    A chunk that doesn't reach the end is cut back to its last white space.  The next begins ``overlap`` before
-    its end, or at its end where that wouldn't move on.  Offsets are those before stripping.
+    A chunk that doesn't reach the end is cut back to the last white space (of any kind) that it holds or that follows it.
+    The next begins ``overlap`` before its end, or at its end where that wouldn't move on.  Blank chunks are
+    left out and take no number; offsets are those before stripping.
     """
     import pandas as pd
 
@@ -52,10 +53,12 @@ def chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, text: str = "t
                 while start < len(t):
                     end = min(len(t), start + size)
                     if end < len(t):
-                        cut = max((t.rfind(c, start, end) for c in " \t\r\n"), default=-1)
-                        end = cut if cut > start else end
-                    out.append((k, f"chunk_{n}", t[start:end].strip(), start, end))
-                    n += 1
+                        at = next((i for i in range(end, start, -1) if t[i].isspace()), start)
+                        end = at if at > start else end
+                    piece = t[start:end].strip()
+                    if piece:
+                        out.append((k, f"chunk_{n}", piece, start, end))
+                        n += 1
                     if end == len(t):
                         break
                     start = end - overlap if end - overlap > start else end

@@ -49,10 +49,21 @@ def test_chunks_cover(spark, size, overlap):
     assert 0 not in got
     for i, rows in got.items():
         assert [r.chunk_id for r in rows] == [f"chunk_{k}" for k in range(len(rows))]
-        assert rows[0].start_idx == 0 and rows[-1].end_idx == len(texts[i]) and all(b.start_idx <= a.end_idx and b.start_idx > a.start_idx for a, b in zip(rows, rows[1:]))
+        # Blank chunks are left out, so only white space may lie between two chunks or after the last.
+        assert rows[0].start_idx == 0 and not texts[i][rows[-1].end_idx :].strip() and all(b.start_idx > a.start_idx and not texts[i][a.end_idx : b.start_idx].strip() for a, b in zip(rows, rows[1:]))
         assert all(0 < r.end_idx - r.start_idx <= size for r in rows)
 
 
+def test_chunks_end_at_any_white_space(spark):
+    texts = ["aa aa bbb cc", "ab   cd ef      gh", "ab\u2003cdef\x0bgh", " \n ", None]
+    got = {}
+    for r in T.chunks(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, chunk_id string"), 5, 0).collect():
+        got.setdefault(r.doc_id, []).append((r.chunk_id, r.chunk_text))
+    assert [t for _, t in got[0]] == ["aa aa", "bbb", "cc"] and [t for _, t in got[2]] == ["ab", "cdef", "gh"]
+    four = [(r.chunk_id, r.chunk_text) for r in T.chunks(spark.createDataFrame([(1, texts[1])], "doc_id int, text string"), 4, 0).collect()]
+    assert four == [("chunk_0", "ab"), ("chunk_1", "cd"), ("chunk_2", "ef"), ("chunk_3", "gh")] and set(got) == {0, 1, 2}
+
+
 def test_similarity_join_in_blocks(spark, monkeypatch):
     from graphloom.functions import vector
 
