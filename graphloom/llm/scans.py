@@ -1,10 +1,13 @@
 """Repair of texts from scanned pages: broken words, misread characters, running heads and page numbers.
 
-A lexicon of the whole corpus tells which spellings are words.  A text's lines lose running heads and page
-numbers.  Three passes then follow one another, in place of one decoding of the de-lined stream: words broken
-at line ends, by the lexicon and where that is undecided by the decoder; misread characters, one token and one
-word at a time; and, once paragraph boundaries are chosen among the line ends by dynamic programming,
-two neighbours put together or one token taken apart, without confusions.
+A lexicon of the whole corpus tells which spellings are words.  A text's lines lose running heads and page numbers.
+What is left is one stream of characters without line ends, and a lattice over it holds arcs for words as they stand,
+words that were split, run together, misread or broken by a hyphen; the best path through it gives the kinds of noise
+and the repaired words.  Words that allow no other reading are on every path, so the lattice is only laid out for the stretches
+between them.  Paragraph boundaries are then chosen among the line ends by dynamic programming.
+
+The lexicon's common words go to every task, its others only to the documents that ask for them: strings and words that
+confusions can turn into one another have a key in common, by which they are joined.
 """
 
 from __future__ import annotations
@@ -13,8 +16,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
+from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +28,15 @@ from graphloom.llm.chunking import latest
 from graphloom.session import cut
 
 KINDS = ("hyphenation", "misread", "page_furniture")
-#: A word of the lexicon is in at least so many documents, and in one of so many: there can't be more words
-#: than this number times the mean of different words in a document.
-LEAST, ONE_OF = 3, 20_000
+LEAST = 3  # documents that hold a word of the lexicon
+#: A word is common, and sent to every task, if it is in one of so many documents: there can't be more common
+#: words than this number times the mean of different words in a document, however large the corpus is.
+ONE_OF = 2_000
 RATIO = 20  # a word is taken for a misreading of one that is so many times as frequent
 FLUSH = 200_000  # words that a task counts before it hands them on
+PIECES = 3  # further pieces that a split word may have
+UNKNOWN = 20.0  # cost of a token that is no word
+SMALL = 100_000  # documents with words of their own that are broadcast at most
 
 # ---- Fixed values: confusions of characters, as read -> as printed ----
 SIGNS = {"0": "o", "1": "li", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "8": "b", "9": "g", "@": "a", "$": "s", "|": "li", "!": "li", "€": "e"}
@@ -54,8 +64,8 @@ def words_of(text: str) -> set[str]:
     return {w for w in (t.strip(EDGES) for t in set(text.split())) if w and len(w) <= 40 and "\x00" not in w}
 
 
-def lexicon(docs: DataFrame) -> dict[str, int]:
-    """Words with the number of documents that hold them.  Its size is bounded by the threshold, not by the corpus."""
+def lexicon(docs: DataFrame) -> DataFrame:
+    """word and n, the number of documents that hold it, for words of at least LEAST documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -74,68 +84,105 @@ def lexicon(docs: DataFrame) -> dict[str, int]:
         if counts:
             yield handed()
 
-    total = docs.count()
     words = docs.select("content").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in words.filter(F.col("n") >= max(LEAST, total / ONE_OF)).toLocalIterator()}
+    return words.filter(F.col("n") >= LEAST)
+
+
+_ALIKE = str.maketrans({"0": "o", "1": "i", "2": "z", "3": "c", "4": "a", "5": "s", "8": "ii", "9": "g", "@": "a", "$": "s", "|": "i", "!": "i", "€": "c", "j": "i", "l": "i", "y": "v", "f": "t", "e": "c", "w": "vv", "k": "ic", "d": "ci", "h": "ii", "b": "ii", "u": "ii", "m": "rri", "n": "ri"})
+
+
+def alike(s: str) -> list[str]:
+    """Keys of a string: whatever confusions of the tables make of it has one of them in common."""
+    key = re.sub("(?:r+i)+", "n", s.translate(_ALIKE))
+    parts = key.split("6")  # read for b or g; in more than two places it isn't read
+    if len(parts) > Decoder.LIMIT + 1:
+        return [key]
+    return ["".join(x + y for x, y in zip(parts, [*signs, ""])) for signs in product(("ii", "g"), repeat=len(parts) - 1)]
 
 
 class Decoder:
-    """Cheapest reading of a stretch of characters as words of the lexicon."""
+    """Readings of characters as words of the lexicon: the common words, and those of the text at hand."""
 
     LIMIT = 2  # confusions in a word
 
-    def __init__(self, words: dict[str, int]):
-        self.words = words
-        self.trie: dict = {}
-        top = max(words.values(), default=1)
-        self.top = top
-        for w, n in words.items():
-            if len(w) >= 2 and any(c.isalpha() for c in w) and not any(c in SIGNS for c in w):
-                node = self.trie
-                for c in w:
-                    node = node.setdefault(c, {})
-                node[""] = 1 + math.log(1 + top / n) / 2
+    def __init__(self, words: dict[str, int], top: int = 0):
+        self.common = words
+        self.top = top = top or max(words.values(), default=1)  # documents of the lexicon's most common word
+        self.often = min(words.values(), default=LEAST)  # only common words may have been split or run together
+        self.starts = self.beginnings(words)
         self.rules: dict[str, list[tuple[str, str, float]]] = {}
         for table, cost in ((SIGNS, 1.0), (LETTERS, 1.6)):
             for read, printed in table.items():
                 for p in printed:
                     self.rules.setdefault(read[0], []).append((read, p, cost))
-        self.known: dict[str, tuple | None] = {}
+        self._shared: tuple[dict[str, str | None], set[str]] = {}, set()
+        self.turn({})
+
+    def beginnings(self, words: dict[str, int]) -> dict[str, float]:
+        """Beginnings of words, with the weight of those that are words themselves and 0 for the others."""
+        out: dict[str, float] = {}
+        for w in words:
+            if _readable(w):
+                for i in range(1, len(w)):
+                    out.setdefault(w[:i], 0.0)
+                out[w] = self.weight(words[w])
+        return out
+
+    def turn(self, own: dict[str, int]) -> None:
+        """Go on to a text that has words of its own."""
+        self.own = own
+        self.more = self.beginnings(own)
+        self.known, self.sure = ({}, set()) if own else self._shared
 
-    def readings(self, s: str, start: int) -> list[tuple[int, float, int, str]]:
-        """Words that the characters from ``start`` on can be: end, cost, confusions, word.  \\x01 is a line end with hyphen, \\x02 white space."""
-        out, todo = [], [(start, self.trie, 0.0, 0, "")]
+    def n(self, word: str) -> int:
+        return self.common.get(word) or self.own.get(word, 0)
+
+    def weight(self, n: int) -> float:
+        return 1 + math.log(1 + self.top / n) / 2 if n else UNKNOWN
+
+    def readings(self, s: str, start: int, stop: int) -> list[tuple[int, float, int, int, str]]:
+        """Words that the characters from ``start`` on can be: end, cost, confusions, spaces in it, word.
+
+        \\x01 is a line end with a hyphen, \\x02 white space and \\x03 an end for all words.
+        """
+        out, todo = [], [(start, 0.0, 0, 0, "")]
+        starts, more, rules = self.starts, self.more, self.rules
         while todo:
-            i, node, cost, wrong, word = todo.pop()
-            if "" in node and i > start:
-                out.append((i, cost + node[""], wrong, word))
-            if i == len(s):
+            i, cost, wrong, gaps, word = todo.pop()
+            if i >= stop:
                 continue
             c = s[i]
-            if c == "\x01":
-                todo.append((i + 1, node, cost + 0.2, wrong, word))
+            if c < "\x04":
+                if c == "\x01":
+                    todo.append((i + 1, cost + 0.2, wrong, gaps, word))
+                elif c == "\x02" and word:
+                    todo.append((i + 1, cost + 2.5, wrong, gaps + 1, word))
                 continue
-            if c == "\x02":
-                if word:
-                    todo.append((i + 1, node, cost + 2.5, wrong, word))
-                continue
-            nxt = node.get(c)
-            if nxt is not None:
-                todo.append((i + 1, nxt, cost, wrong, word + c))
-            if wrong < self.LIMIT:
-                for read, printed, more in self.rules.get(c, ()):
-                    if s.startswith(read, i):
-                        at = node
-                        for p in printed:
-                            at = at.get(p)
-                            if at is None:
-                                break
-                        if at is not None:
-                            todo.append((i + len(read), at, cost + more, wrong + 1, word + printed))
+            after = word + c
+            weight = starts.get(after)
+            if more and not weight:
+                weight = more.get(after, weight)
+            if weight is not None:
+                todo.append((i + 1, cost, wrong, gaps, after))
+                if weight:
+                    out.append((i + 1, cost + weight, wrong, gaps, after))
+            if wrong < self.LIMIT and c in rules:
+                for read, printed, dear in rules[c]:
+                    if len(read) > 1 and not s.startswith(read, i):
+                        continue
+                    after = word + printed
+                    weight = starts.get(after)
+                    if more and not weight:
+                        weight = more.get(after, weight)
+                    if weight is not None:
+                        to = i + len(read)
+                        todo.append((to, cost + dear, wrong + 1, gaps, after))
+                        if weight and to <= stop:
+                            out.append((to, cost + dear + weight, wrong + 1, gaps, after))
         return out
 
     def decode(self, s: str) -> tuple[float, int, list[str]] | None:
-        """Cost, confusions and words of the best way through the whole stretch, or None."""
+        """Cost, confusions and words of the best way through characters without rules for its words, or None."""
         best: list[tuple[float, int, list[str]] | None] = [None] * (len(s) + 1)
         best[0] = (0.0, 0, [])
         for i in range(len(s)):
@@ -145,14 +192,26 @@ class Decoder:
             if s[i] in "\x01\x02" and i:
                 if best[i + 1] is None or cost < best[i + 1][0]:
                     best[i + 1] = (cost, wrong, words)
-            for end, more, bad, word in self.readings(s, i):
-                whole = cost + more + (5.0 if i and s[i - 1] not in "\x02" else 0.0)  # a space that was lost
-                if i and s[i - 1] not in "\x02" and (len(word) < 3 or len(words[-1]) < 3):
+            apart = i > 0 and s[i - 1] != "\x02"
+            for end, more, bad, _, word in self.readings(s, i, len(s)):
+                if apart and (len(word) < 3 or len(words[-1]) < 3):
                     continue
+                whole = cost + more + (5.0 if apart else 0.0)  # a space that was lost
                 if best[end] is None or whole < best[end][0]:
                     best[end] = (whole, wrong + bad, [*words, word])
         return best[len(s)]
 
+    def settled(self, token: str) -> bool:
+        """Whether a token (without edges) stands for itself wherever it is."""
+        low = token.lower()
+        n = self.n(low)
+        if n * RATIO > self.top or self.misread(token) is None and (n >= LEAST or not spelled(token)):
+            if len(self.sure) > 300_000:
+                self.sure.clear()
+            self.sure.add(token)
+            return True
+        return False
+
     def misread(self, token: str) -> str | None:
         """The word that a token (without edges) was misread from, or None where it stands as it is."""
         if token in self.known:
@@ -168,7 +227,7 @@ class Decoder:
         if not 2 <= letters or len(low) > 40 or len(low) < 3:
             return None
         signs = [c for c in low if not c.isalpha()]
-        own = self.words.get(low, 0)
+        own = self.n(low)
         if own * RATIO > self.top:
             return None
         if signs:
@@ -181,7 +240,7 @@ class Decoder:
         if got is None or got[1] == 0 or len(got[2]) != 1:
             return None
         word = got[2][0]
-        n = self.words[word]
+        n = self.n(word)
         strong = any(c in SIGNS for c in signs)
         if len(word) < 3 or n < (LEAST if strong else RATIO * max(1, own)) or strong and n < 2 * own:
             return None
@@ -190,6 +249,15 @@ class Decoder:
         return word
 
 
+def spelled(token: str) -> bool:
+    """Whether a token (without edges) can be words: letters, and at most one sign in six characters that is read for one."""
+    return token.isalpha() or 6 * sum(c in SIGNS for c in token) <= len(token) and all(c.isalpha() or c in SIGNS for c in token)
+
+
+def _readable(word: str) -> bool:
+    return len(word) >= 2 and any(c.isalpha() for c in word) and not any(c in SIGNS for c in word)
+
+
 _SAME = str.maketrans("015@2689eltfy!|", "oisazbbgciiivii")
 _PAIRS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("ri", "n"))
 
@@ -317,70 +385,195 @@ def restored(token: str, word: str) -> str:
     return token[:at] + cased + token[at + len(core) :]
 
 
-def broken_words(lines: list[str], decoder: Decoder, take: bool) -> int:
-    """Words broken over line ends.  With ``take`` they are joined in ``lines``, and hyphens that belong to a word stay."""
-    words, found = decoder.words, 0
-    for i in range(len(lines) - 1):
-        line = lines[i]
-        if not line or line[-1] not in HYPHENS or len(line) < 2 or not line[-2].isalpha() or not lines[i + 1]:
-            continue
-        left, right = line.split()[-1], lines[i + 1].split()[0]
-        a, b = left[:-1].lstrip(EDGES).lower(), right.rstrip(EDGES).lower()
-        if not a or not b or not (b[0].isalpha() or b[0] in SIGNS):
-            continue
-        b = b.split("/")[0]
-        whole, tied = words.get(a + b, 0), words.get(f"{a}-{b}", 0)
-        if line[-1] in SOFT or whole > tied:
-            broken = True
-        elif tied or b in JOINING:
-            broken = False
-        else:  # neither is known: two words of their own keep their hyphen
-            a_known, b_known = words.get(a.split("-")[-1], 0), words.get(b, 0)
-            got = decoder.decode(a + "\x01" + b) if len(a) + len(b) <= 40 else None
-            broken = got is not None and len(got[2]) == 1 or not (a_known and b_known)
-            if any(c.isdigit() for c in a + b) and got is None:
-                broken = False
-        found += broken
-        if take:
-            head = line[: len(line) - len(left)]
-            rest = lines[i + 1][len(right) :].lstrip()
-            lines[i], lines[i + 1] = head + (left[:-1] if broken else left[:-1] + "-") + right, rest
-    return found
-
-
-def resegment(tokens: list[str], decoder: Decoder) -> list[str]:
-    """Tokens of a paragraph with words put together that were split, and apart that were run together.
-
-    Two neighbours of which one is no word become one if the decoder reads them as one word; a token that is no word
-    becomes several if it reads as words of three letters or more.  Capitalised unknown tokens are names and stay whole.
-    """
-    words, out, i = decoder.words, [], 0
-    common = max(LEAST, decoder.top // 2000)
-    plain = [t.strip(EDGES) for t in tokens]
-    while i < len(tokens):
-        a = plain[i].lower()
-        known = words.get(a, 0) >= LEAST or not a.isalpha()
-        if i + 1 < len(tokens) and a.isalpha() and plain[i + 1].isalpha() and tokens[i].endswith(plain[i]) and tokens[i + 1].startswith(plain[i + 1]):
-            b = plain[i + 1].lower()
-            if (not known or not words.get(b, 0) >= LEAST) and plain[i + 1].islower() and words.get(a + b, 0) >= common:
-                got = decoder.decode(a + "\x02" + b)
-                if got and got[2] == [a + b]:
-                    out.append(tokens[i] + tokens[i + 1])
-                    i += 2
+class Arc(NamedTuple):
+    """A way on in the lattice: up to which position, its cost, the tokens that come out, and the kinds of noise that it shows."""
+
+    end: int
+    cost: float
+    tokens: list[str]
+    kinds: tuple[str, ...] = ()
+
+
+class Lattice:
+    """The stream of a text's tokens.  ``lines`` are lists of tokens; the last of a line may end in a hyphen."""
+
+    def __init__(self, lines: list[list[str]], decoder: Decoder):
+        self.d = decoder
+        self.tokens = [t for line in lines for t in line]
+        self.line = [i for i, line in enumerate(lines) for _ in line]
+        self.core = [t.strip(EDGES) for t in self.tokens]
+        last = len(self.tokens) - 1
+        ends = {k for k in range(last) if self.line[k + 1] != self.line[k]}
+        self.broken = {k for k in ends if self.breaks(k)}
+
+    def breaks(self, k: int) -> bool:
+        """Whether a token ends its line with a hyphen and goes on in the next."""
+        t = self.tokens[k]
+        if t[-1] not in HYPHENS or len(t) < 2 or not t[-2].isalpha():
+            return False
+        a, b = self.halves(k)
+        return bool(a and b and (b[0].isalpha() or b[0] in SIGNS))
+
+    def halves(self, k: int) -> tuple[str, str]:
+        return self.tokens[k][:-1].lstrip(EDGES).lower(), self.tokens[k + 1].rstrip(EDGES).lower().split("/")[0]
+
+    def doubtful(self, k: int, core: str) -> bool:
+        """Whether a token that isn't settled has other readings than itself here."""
+        if core.islower() or self.d.misread(core) is not None:
+            return True
+        # Capitalised unknown tokens are names, but for the first part of a word.
+        return k + 1 < len(self.core) and self.open(k) and self.core[k + 1].islower() and self.d.n(core.lower() + self.core[k + 1]) >= self.d.often
+
+    def open(self, k: int) -> bool:
+        """Whether no sign stands between a token and the next."""
+        return self.tokens[k].endswith(self.core[k]) and self.tokens[k + 1].startswith(self.core[k + 1])
+
+    def stretches(self) -> Iterator[tuple[int, int]]:
+        """Tokens with more than one reading, with their neighbours: from, to."""
+        held: list[int] | None = None
+        loose = {c for c in set(self.core) - self.d.sure if not self.d.settled(c)}
+        for k, core in enumerate(self.core):
+            if k in self.broken or core in loose and self.doubtful(k, core):
+                low, high = max(0, k - 1), min(len(self.tokens), k + 2)
+                if held and low < held[1]:
+                    held[1] = high
+                else:
+                    if held:
+                        yield held[0], held[1]
+                    held = [low, high]
+        if held:
+            yield held[0], held[1]
+
+    def best_path(self, low: int, high: int) -> list[tuple[int, int, Arc]]:
+        """Arcs of the best way from token ``low`` to ``high``, each with its first token and the one after its last."""
+        d = self.d
+        s, start, end = "", [], []
+        for k in range(low, high):
+            broken = k in self.broken and k + 1 < high
+            core = self.core[k].lower()
+            start.append(len(s))
+            s += self.halves(k)[0] if broken else core
+            end.append(len(s))
+            if k + 1 < high:
+                s += "\x01" if broken else "\x02" if self.open(k) else "\x03"
+        place = {p: k for k, p in enumerate(start)}
+        token_at = {p: k for k, p in enumerate(end)}
+        best: dict[int, tuple[float, int, Arc | None]] = {0: (0.0, -1, None)}
+        for i in range(len(s) + 1):
+            if i not in best:
+                continue
+            cost = best[i][0]
+            if i in token_at and i < len(s):
+                ways = [Arc(i + 1, 0.0, [])]
+            elif i in place:
+                ways = self.arcs(s, low, place[i], start, end, token_at)
+            elif i < len(s):
+                ways = self.parts(s, i, end, cost)
+            else:
+                break
+            for arc in ways:
+                if arc.end not in best or cost + arc.cost < best[arc.end][0]:
+                    best[arc.end] = (cost + arc.cost, i, arc)
+        path, i = [], len(s)
+        while i > 0:
+            _, before, arc = best[i]
+            path.append((before, i, arc))
+            i = before
+        out: list[tuple[int, int, Arc]] = []
+        for a, b, arc in reversed(path):
+            if not arc.tokens:
+                continue
+            first = max(k for k, p in enumerate(start) if p <= a)
+            last = min(k for k, p in enumerate(end) if p >= b)
+            if out and out[-1][1] == low + first + 1:  # further words of one token
+                f, t, whole = out.pop()
+                arc = Arc(arc.end, 0.0, [*whole.tokens, *arc.tokens], (*whole.kinds, *arc.kinds))
+                out.append((f, t, arc))
+            else:
+                out.append((low + first, low + last + 1, arc))
+        return out
+
+    def arcs(self, s: str, low: int, at: int, start: list[int], end: list[int], token_at: dict[int, int]) -> list[Arc]:
+        """Ways on from the beginning of a token."""
+        d, k = self.d, low + at
+        if k in self.broken and at + 1 < len(start):
+            return self.hyphen_arcs(s, k, start[at], end[at], end[at + 1])
+        token, core = self.tokens[k], self.core[k]
+        lower = core.lower()
+        n = d.n(lower)
+        out = [Arc(end[at], d.weight(n), [token])]
+        word = d.misread(core)
+        if word is not None:
+            out.append(Arc(end[at], d.weight(d.n(word)) + 0.5, [restored(token, word)], ("misread",)))
+        if not spelled(core):
+            return out
+        last, strange = at, n < LEAST  # tokens that a split word may go on with, as many as PIECES
+        while last + 1 < len(start) and last < at + PIECES and s[end[last]] == "\x02" and low + last + 1 not in self.broken and self.core[low + last + 1].islower() and self.core[low + last + 1].isalpha():
+            last += 1
+            strange = strange or d.n(self.core[low + last]) < LEAST
+        if last > at and strange:
+            for to, cost, wrong, gaps, word in d.readings(s, start[at], end[last]):
+                if not gaps or to not in token_at or d.n(word) < d.often or wrong and (wrong > 1 or len(word) < 7 or d.n(word) < RATIO * LEAST):
+                    continue
+                rest = range(k + 1, low + token_at[to] + 1)
+                if all(d.n(self.core[j].lower()) >= LEAST for j in (k, *rest)):
                     continue
-        if not known and len(a) >= 6 and plain[i].islower():
-            got = decoder.decode(a)
-            if got and len(got[2]) > 1 and got[1] == 0 and all(len(w) >= 3 and words[w] >= common for w in got[2]):
-                out.append(tokens[i].replace(plain[i], " ".join(got[2])))
-                i += 1
+                whole = "".join(self.core[j] for j in (k, *rest))
+                text = self.tokens[k][: self.tokens[k].find(core)] + whole + self.tokens[rest[-1]][len(self.core[rest[-1]]) :]
+                out.append(Arc(to, cost, [restored(text, word) if wrong else text], ("misread",) if wrong else ()))
+        return out + (self.parts(s, start[at], end, 0.0) if n < LEAST and len(core) >= 6 and core.islower() else [])
+
+    def parts(self, s: str, i: int, end: list[int], cost: float) -> list[Arc]:
+        """Words that a token without a space holds, from a position in it on."""
+        stop = min(e for e in end if e > i)
+        begin = next(p for p in range(i, -1, -1) if p == 0 or s[p - 1] < "\x04")
+        out = []
+        for to, more, wrong, _, word in self.d.readings(s, i, stop):
+            n = self.d.n(word)
+            if len(word) < 3 or n < self.d.often or len(word) == 3 and n * RATIO < self.d.top or i == begin and to == stop or wrong and (wrong > 1 or len(word) < 7 or n < RATIO * LEAST):
                 continue
-        out.append(tokens[i])
-        i += 1
-    return out
+            out.append(Arc(to, more + (5.0 if i > begin else 0.0), [word], ("misread",) if wrong else ()))
+        return out
 
+    def hyphen_arcs(self, s: str, k: int, start: int, mid: int, stop: int) -> list[Arc]:
+        """Ways on over a line end with a hyphen: the halves of one word, a word with its own hyphen, or two words."""
+        d = self.d
+        a, b = self.halves(k)
+        left, right = self.tokens[k], self.tokens[k + 1]
+        whole, tied = d.n(a + b), d.n(f"{a}-{b}")
+        soft = left[-1] in SOFT
+
+        def joined(cost: float) -> Arc:
+            token = left[:-1] + right
+            word = d.misread(token.strip(EDGES))
+            return Arc(stop, cost, [restored(token, word)] if word is not None else [token], ("hyphenation", "misread") if word is not None else ("hyphenation",))
+
+        def kept(cost: float) -> Arc:
+            token = left[:-1] + "-" + right
+            word = d.misread(token.strip(EDGES))
+            return Arc(stop, cost, [restored(token, word)] if word is not None else [token], ("misread",) if word is not None else ())
+
+        if soft:
+            return [joined(d.weight(whole))]
+        out = []
+        if whole:
+            out.append(joined(d.weight(whole)))
+        if tied:
+            out.append(kept(d.weight(tied) - 1e-9))
+        if not out and b in JOINING:
+            out.append(kept(0.0))
+        if not out:
+            # Neither is known: two words of their own keep their hyphen, unless they read as one word.
+            known = d.n(a.split("-")[-1]) and d.n(b)
+            got = d.decode(a + "\x01" + b) if len(a) + len(b) <= 40 else None
+            one = got is not None and len(got[2]) == 1
+            figures = any(c.isdigit() for c in a + b) and got is None
+            out.append(joined(got[0]) if one else kept(UNKNOWN) if known or figures else joined(UNKNOWN))
+        return out
 
-def read_page(text: str, decoder: Decoder) -> tuple[list[str], str]:
-    """Kinds of noise in a text, and the text repaired; unchanged if it has none."""
+
+def body(text: str) -> tuple[list[list[str]], list[bool], set[int]]:
+    """Tokens of the lines that stay, whether a blank line is before each, and the positions of running heads and page numbers."""
     raw = [x.strip() for x in LINES.split(text)]
     gone = furniture(raw) if len(raw) > 2 else set()
     kept, blank, gap = [], [], False
@@ -392,46 +585,112 @@ def read_page(text: str, decoder: Decoder) -> tuple[list[str], str]:
             continue
         near = range(max(0, i - 3), i)
         blank.append(gap and not any(j in gone for j in near))
-        kept.append(x)
+        kept.append(x.split())
         gap = False
-    lines = list(kept)
-    hyphens = broken_words(lines, decoder, True) if len(lines) > 1 else 0
-    kinds = (["hyphenation"] if hyphens else []) + ([] if not gone else ["page_furniture"])
-    wrong: dict[str, str] = {}
-    for t in {t for x in lines for t in x.split()}:
-        word = decoder.misread(t.strip(EDGES))
-        if word is not None:
-            wrong[t] = restored(t, word)
-    if wrong:
-        kinds.append("misread")
+    return kept, blank, gone
+
+
+def read_page(text: str, decoder: Decoder) -> tuple[list[str], str]:
+    """Kinds of noise in a text, and the text repaired.
+
+    A text without noise keeps its lines; words in it that were split or run together are mended in their place.
+    """
+    kept, blank, gone = body(text)
+    lattice = Lattice(kept, decoder)
+    edits = [(a, b, arc) for low, high in lattice.stretches() for a, b, arc in lattice.best_path(low, high) if arc.tokens != lattice.tokens[a:b]]
+    seen = {kind for *_, arc in edits for kind in arc.kinds} | ({"page_furniture"} if gone else set())
+    kinds = [k for k in ("hyphenation", "page_furniture", "misread") if k in seen]
     if not kinds:
-        return [], text
-    pairs = [(x, b) for x, b in zip(lines, blank) if x]
-    whole = paragraphs([x for x, _ in pairs], [b for _, b in pairs])
-    return kinds, "\n\n".join(" ".join(resegment([wrong.get(t, t) for t in p.split()], decoder)) for p in whole)
+        return [], mended(text, lattice, edits) if edits else text
+    out: list[list[str]] = [[] for _ in kept]
+    at = 0
+    for a, b, arc in [*edits, (len(lattice.tokens), 0, Arc(0, 0.0, []))]:
+        for k in range(at, a):
+            out[lattice.line[k]].append(lattice.tokens[k])
+        if arc.tokens:
+            out[lattice.line[a]] += arc.tokens
+        at = b
+    pairs = [(" ".join(x), b) for x, b in zip(out, blank) if x]
+    return kinds, "\n\n".join(paragraphs([x for x, _ in pairs], [b for _, b in pairs]))
+
+
+def mended(text: str, lattice: Lattice, edits: list[tuple[int, int, Arc]]) -> str:
+    """A text with words put together or apart where they stand; white space elsewhere stays."""
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    if len(spans) != len(lattice.tokens):
+        return text
+    out, at = [], 0
+    for a, b, arc in edits:
+        if not lattice.broken.isdisjoint(range(a, b)):
+            continue
+        out += [text[at : spans[a][0]], " ".join(arc.tokens)]
+        at = spans[b - 1][1]
+    return "".join(out) + text[at:]
+
 
+def asked(text: str, decoder: Decoder) -> set[str]:
+    """Strings of a text that aren't common words and whose standing in the lexicon matters."""
+    some = {t.strip(EDGES).lower() for t in set(text.split())}
+    if BREAK.search(text):
+        lattice = Lattice(body(text)[0], decoder)
+        for k in lattice.broken:
+            a, b = lattice.halves(k)
+            some |= {a + b, f"{a}-{b}", a.split("-")[-1], b}
+    return {x for x in some if x not in decoder.common and 3 <= len(x) <= 40 and sum(map(str.isalpha, x)) >= 2 and sum(map(str.isdigit, x)) <= max(1, len(x) // 3)}
+
+
+def own_words(once: DataFrame, rare: DataFrame, words: Broadcast) -> DataFrame:
+    """doc_id and own: the rare words (word, n) of the lexicon that strings of a document are, or can be confused with."""
+    kind = once.schema["doc_id"].dataType.simpleString()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder.__new__(Decoder)
+        decoder.common = words.value
+        for batch in batches:
+            at, keys = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = {k for x in asked(text, decoder) for k in alike(x)} if text else ()
+                at += [i] * len(found)
+                keys += found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string())], names=["doc_id", "key"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [alike(w)[0] for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string())], names=["word", "n", "key"])
 
-_decoders: dict[int, Decoder] = {}
+    strings = once.mapInArrow(ask, f"doc_id {kind}, key string")
+    held = rare.mapInArrow(keyed, "word string, n long, key string")
+    return strings.join(held, "key").groupBy("doc_id").agg(F.collect_set(F.struct("word", "n")).alias("own"))  # no more than a text's strings call for
 
 
 def repair(docs: DataFrame) -> DataFrame:
     """doc_id, noise (kinds in the text) and repaired text, one row for each document.
 
     ``docs`` has doc_id, content and ingested_at; other columns are ignored.  A document taken in again counts once,
-    by its latest row.  Null, empty and blank contents have no noise and stay, as all contents without noise do.
+    by its latest row.  Null, empty and blank contents have no noise and stay, as all contents without noise do
+    but for words in them that were split or run together.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     once = cut(latest(docs.select("doc_id", "content", "ingested_at").filter(F.col("doc_id").isNotNull()), "doc_id", "ingested_at", ["content"]).select("doc_id", "content"))
-    words = once.sparkSession.sparkContext.broadcast(lexicon(once))
+    known = cut(lexicon(once))
+    bar = max(LEAST, -(-once.count() // ONE_OF))
+    words = once.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in known.filter(F.col("n") >= bar).toLocalIterator()})
+    rare, top = known.filter(F.col("n") < bar), known.agg(F.max("n")).first()[0] or 1
+    texts = once.withColumn("own", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
+    if bar > LEAST:
+        own = cut(own_words(once, rare, words))
+        texts = once.join(F.broadcast(own) if own.count() <= SMALL else own, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(words.value)
+        decoder = Decoder(words.value, top)
         for batch in batches:
-            kinds, texts = [], []
-            for text in batch.column(1).to_pylist():
+            kinds, fixed = [], []
+            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                decoder.turn({x["word"]: x["n"] for x in own or ()})
                 k, t = read_page(text, decoder) if text else ([], text)
                 kinds.append(k)
-                texts.append(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], names=["doc_id", "noise", "repaired"])
+                fixed.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(fixed, pa.string())], names=["doc_id", "noise", "repaired"])
 
-    return once.mapInArrow(run, f"doc_id {kind}, noise array<string>, repaired string")
+    return texts.mapInArrow(run, f"doc_id {kind}, noise array<string>, repaired string")

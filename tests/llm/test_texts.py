@@ -116,7 +116,9 @@ def page(*lines):
     return "\n".join(lines)
 
 
-def test_scans(spark):
+@pytest.mark.parametrize("one_of", [2000, 1])
+def test_scans(spark, monkeypatch, one_of):
+    monkeypatch.setattr(scans, "ONE_OF", one_of)  # 1: all words are looked up by the join
     base = "the narrow carriage and the marine glacier annotated every early photograph while the costly ministry financed the quarry of a cross-border archive and compared the hollow furnace with its catalogue"
     clean = [base + f" in year{i} of the seminar." for i in range(30)]
     noisy = {
@@ -137,11 +139,46 @@ def test_scans(spark):
     assert len(got) == len(rows)
     for k, (text, kinds, repaired) in noisy.items():
         assert set(got[k].noise) == kinds, k
+        if one_of == 1 and k == "split":
+            continue  # none of its words is common
         assert got[k].repaired == (repaired if repaired else text if not kinds else got[k].repaired)
     assert "Page" not in got["pages"].repaired and all(not got[f"c{i}"].noise for i in range(30))
     assert scans.repair(docs.limit(0)).count() == 0
 
 
+def test_scans_are_decoded_jointly(spark):
+    base = "the narrow carriage and the marine glacier annotated every early photograph while the costly ministry financed the quarry of a border archive and compared the hollow furnace with its catalogue"
+    clean = [base + f" in year{i} of the seminar." for i in range(70)]
+    noisy = {
+        "alone": ("The mar ine glacier of  thehollow archive\nand its furnace.", set(), "The marine glacier of  the hollow archive\nand its furnace."),
+        "three": ("The pho togr aph of the archive.", set(), "The photograph of the archive."),
+        "split and misread": ("The rnini stry of the archive compared thc furnace.", {"misread"}, "The ministry of the archive compared the furnace."),
+        "broken and misread": (page("The narrow carriage and the marine gla-", "c1er annotated every photograph."), {"hyphenation", "misread"}, "The narrow carriage and the marine glacier annotated every photograph."),
+        "together and misread": ("The archive of thecatal0gue and the furnace.", {"misread"}, "The archive of the catalogue and the furnace."),
+        "name": ("The archive of Zoquemor and Mar Ine compared it.", set(), None),
+    }
+    docs = spark.createDataFrame([(f"c{i}", t, T0) for i, t in enumerate(clean)] + [(k, v[0], T0) for k, v in noisy.items()], "doc_id string, content string, ingested_at timestamp")
+    got = {r.doc_id: r for r in scans.repair(docs).collect()}
+    for k, (text, kinds, repaired) in noisy.items():
+        assert (set(got[k].noise), got[k].repaired) == (kinds, repaired or text), k
+    assert all(not got[f"c{i}"].noise and got[f"c{i}"].repaired == t for i, t in enumerate(clean))
+
+
+def test_strings_have_a_key_in_common_with_what_they_are_misread_from():
+    rng = random.Random(4)
+    tables = [(a, b) for table in (scans.SIGNS, scans.LETTERS) for a, bs in table.items() for b in bs]
+    for _ in range(3000):
+        word = "".join(rng.choice("abcdefghijklmnoprstuvwyz") for _ in range(rng.randint(3, 12)))
+        read = word
+        for _ in range(rng.randint(1, 2)):
+            a, b = rng.choice(tables)
+            at = [i for i in range(len(read)) if read.startswith(b, i)]
+            if at:
+                i = rng.choice(at)
+                read = read[:i] + a + read[i + len(b) :]
+        assert set(scans.alike(word)) & set(scans.alike(read)), (word, read)
+
+
 def test_residue_reads_every_text(spark):
     texts = [
         "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
