@@ -16,7 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
+from itertools import product, zip_longest
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -93,11 +93,9 @@ _ALIKE = str.maketrans({"0": "o", "1": "i", "2": "z", "3": "c", "4": "a", "5": "
 
 def alike(s: str) -> list[str]:
     """Keys of a string: whatever confusions of the tables make of it has one of them in common."""
-    key = re.sub("(?:r+i)+", "n", s.translate(_ALIKE))
-    parts = key.split("6")  # read for b or g; in more than two places it isn't read
-    if len(parts) > Decoder.LIMIT + 1:
-        return [key]
-    return ["".join(x + y for x, y in zip(parts, [*signs, ""])) for signs in product(("ii", "g"), repeat=len(parts) - 1)]
+    parts = s.translate(_ALIKE).split("6")  # read for b or g; in more than two places it isn't read
+    signs = [()] if len(parts) > Decoder.LIMIT + 1 else product(("ii", "g"), repeat=len(parts) - 1)
+    return sorted({re.sub("(?:r+i)+", "n", "".join(x + y for x, y in zip_longest(parts, some or ["6"] * (len(parts) - 1), fillvalue=""))) for some in signs})
 
 
 class Decoder:
