@@ -36,7 +36,7 @@ RATIO = 20  # a word is taken for a misreading of one that is so many times as f
 FLUSH = 200_000  # words that a task counts before it hands them on
 PIECES = 3  # further pieces that a split word may have
 UNKNOWN = 20.0  # cost of a token that is no word
-SMALL = 100_000  # documents with words of their own that are broadcast at most
+SMALL = 10_000  # documents with words of their own that are broadcast at most
 
 # ---- Fixed values: confusions of characters, as read -> as printed ----
 SIGNS = {"0": "o", "1": "li", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "8": "b", "9": "g", "@": "a", "$": "s", "|": "li", "!": "li", "€": "e"}
@@ -54,6 +54,7 @@ EDGES = ".,;:!?\"'()[]{}|/*“”„«»’…–—<>#=_+~"
 BREAK = re.compile(rf"[{HYPHENS}][ \t]*[\r\n\x0b\x0c]\s*")
 LINES = re.compile(r"\r\n|[\n\r\x0b\x0c]")
 NUMBER = re.compile(rf"(?i)^(?:(?P<word>(?:{PAGE_WORDS})\.?) ?(?P<a>\d{{1,5}})(?: ?(?:of|/|von|de|sur) ?\d+)?|(?P<left>[-–—\[(*]? ?)(?P<b>\d{{1,5}})(?P<right> ?[-–—\])*]?)|(?P<c>\d{{1,5}}) ?(?:[|·•/]|\s{{2,}}) ?(?P<head>\S.{{0,80}})|(?P<e>[ivxlc]{{1,8}})|(?P<head2>\S.{{0,80}}?) ?(?:[|·•/] ?|\s{{2,}})(?P<d>\d{{1,5}}))$")
+FIGURE = re.compile(r"\d")
 HEX = re.compile(r"\d.*\d.*\d|[A-Z].*\d|\d.*[A-Z].*[A-Z]")
 SOFT = {"¬", "­"}
 
@@ -113,7 +114,8 @@ class Decoder:
             for read, printed in table.items():
                 for p in printed:
                     self.rules.setdefault(read[0], []).append((read, p, cost))
-        self._shared: tuple[dict[str, str | None], set[str]] = {}, set()
+        self.known: dict[str, str | None] = {}
+        self.sure: set[str] = set()
         self.turn({})
 
     def beginnings(self, words: dict[str, int]) -> dict[str, float]:
@@ -127,10 +129,12 @@ class Decoder:
         return out
 
     def turn(self, own: dict[str, int]) -> None:
-        """Go on to a text that has words of its own."""
+        """Go on to a text that has words of its own.
+
+        They follow from the text's strings, so that what is known of a string holds in all texts.
+        """
         self.own = own
         self.more = self.beginnings(own)
-        self.known, self.sure = ({}, set()) if own else self._shared
 
     def n(self, word: str) -> int:
         return self.common.get(word) or self.own.get(word, 0)
@@ -260,12 +264,27 @@ _SAME = str.maketrans("015@2689eltfy!|", "oisazbbgciiivii")
 _PAIRS = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("ri", "n"))
 
 
+class _Folded(dict):
+    """Letters with those made equal that are often confused; all else is left out."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = _SAME.get(code, code)
+        self[code] = c if 97 <= c <= 122 or 0xE0 <= c <= 0xFF else None
+        return self[code]
+
+
+_FOLDED = _Folded()
+ALONE = re.compile(r"\b\d+\b")
+
+
 def fold(line: str) -> str:
     """A line's letters with those made equal that are often confused; figures that stand alone are left out."""
-    low = re.sub(r"\b\d+\b", "", line.lower())
+    low = line.lower()
+    if FIGURE.search(low):
+        low = ALONE.sub("", low)
     for read, printed in _PAIRS:
         low = low.replace(read, printed)
-    return re.sub(r"[^a-zà-ÿ]", "", low.translate(_SAME))
+    return low.translate(_FOLDED)
 
 
 def roman(figures: str) -> int:
@@ -289,7 +308,7 @@ def furniture(lines: list[str]) -> set[int]:
     place = {i: k for k, i in enumerate(text)}
     shapes: dict[tuple, list[tuple[int, int]]] = {}
     for i in text:
-        if len(lines[i]) <= 100 and (m := NUMBER.match(lines[i])):
+        if len(lines[i]) <= 100 and (FIGURE.search(lines[i]) or len(lines[i]) <= 8) and (m := NUMBER.match(lines[i])):
             g = m.groupdict()
             n = next((int(g[x]) for x in "abcd" if g[x]), 0) or roman(g["e"].lower())
             head = g["head"] or g["head2"] or ""
@@ -634,7 +653,7 @@ def asked(text: str, decoder: Decoder) -> set[str]:
         for k in lattice.broken:
             a, b = lattice.halves(k)
             some |= {a + b, f"{a}-{b}", a.split("-")[-1], b}
-    return {x for x in some if x not in decoder.common and 3 <= len(x) <= 40 and sum(map(str.isalpha, x)) >= 2 and sum(map(str.isdigit, x)) <= max(1, len(x) // 3)}
+    return {x for x in some.difference(decoder.common) if 3 <= len(x) <= 40 and sum(map(str.isalpha, x)) >= 2 and sum(map(str.isdigit, x)) <= max(1, len(x) // 3)}
 
 
 def own_words(once: DataFrame, rare: DataFrame, words: Broadcast) -> DataFrame:
