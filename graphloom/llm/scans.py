@@ -253,7 +253,7 @@ class Decoder:
 
 def spelled(token: str) -> bool:
     """Whether a token (without edges) can be words: letters, and at most one sign in six characters that is read for one."""
-    return token.isalpha() or 6 * sum(c in SIGNS for c in token) <= len(token) and all(c.isalpha() or c in SIGNS for c in token)
+    return token.isalpha() or len(token) >= 6 and 6 * sum(c in SIGNS for c in token) <= len(token) and all(c.isalpha() or c in SIGNS for c in token)
 
 
 def _readable(word: str) -> bool:
@@ -347,12 +347,12 @@ def furniture(lines: list[str]) -> set[int]:
                     gone.add(i)
     numbers = set(gone)
     beside: Counter[str] = Counter()
-    for i in text:
-        k = place[i]
-        if i not in numbers and any(j in numbers for j in text[max(0, k - 1) : k + 2]):
-            beside[folded.get(i, "")] += 1
+    for i in {text[j] for k in map(place.get, numbers) for j in (k - 1, k + 1) if 0 <= j < len(text)} - numbers:
+        beside[folded.get(i, "")] += 1
     known = {fold(NUMBER.match(lines[i]).groupdict()["head"] or NUMBER.match(lines[i]).groupdict()["head2"] or "") for i in numbers} - {""}
     repeated = {h for h, n in heads.items() if n >= 2 and len(h) >= 4}
+    if not known and not repeated:
+        return gone
     cutting = Counter(h for i, h in folded.items() if i not in numbers and h in repeated and inside(i))
     for i, h in folded.items():
         if i in gone:
