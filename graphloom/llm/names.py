@@ -24,6 +24,7 @@ TYPES = ("PERSON", "ORGANIZATION")
 FUZZY_FROM, TWO_EDITS_FROM = 4, 8  # least letters of a token for one edit, and for two
 SHORT, SHORT_TIMES = 4, 10  # tokens this short take a neighbour that is so many times as frequent only
 PREFIX = 4
+PARTNERS = 4  # different tokens beside a word of organisations that may be abbreviated
 SHARD = 4000  # tokens of one trie and of one set of queries; larger shards are split both ways
 
 # ---- Fixed values: word lists ----
@@ -239,18 +240,28 @@ def standard_tokens(words: DataFrame) -> DataFrame:
             return best.select("type", "token", F.col("one").alias("standard"))
 
 
-def expand_words(words: DataFrame) -> DataFrame:
+def expand_words(words: DataFrame, names: DataFrame) -> DataFrame:
     """token, full: short tokens of organisations with the most frequent word that they abbreviate.
 
-    An abbreviation has the word's first letter and its letters in the word's order; the word is at least
-    two letters longer, stands beside many different tokens and is at least three times as frequent.
+    An abbreviation of two to six letters has the word's first letter and its letters in the word's order; the word
+    is longer, stands beside at least PARTNERS different tokens and is at least three times as frequent.  Both have
+    the abbreviation's first three letters (or its two) as a key: the word has a key for each such choice of its letters.
     """
     named = words.filter(F.col("type") == "ORGANIZATION")
-    top = named.agg(F.max("n")).first()[0] or 0
-    common = named.filter(F.col("n") >= max(3, top // 50)).select(F.col("token").alias("full"), F.col("n").alias("m"), F.substring("token", 1, 1).alias("_i"))
-    short = named.filter((F.length("token") <= 6) & (F.length("token") >= 2)).select("token", "n", F.substring("token", 1, 1).alias("_i"))
+    own = names.filter(F.col("type") == "ORGANIZATION").select(F.array_distinct("tokens").alias("_all"))
+    beside = own.select(F.explode("_all").alias("full"), "_all").select("full", F.explode("_all").alias("_t")).filter("full <> _t").distinct()  # names are short
+    generic = beside.groupBy("full").agg(F.count("*").alias("_deg")).filter(F.col("_deg") >= PARTNERS).drop("_deg")
+
+    def at(word: str, i: Column | int) -> Column:
+        return F.substr(word, F.lit(i) if isinstance(i, int) else i, F.lit(1))
+
+    places = F.sequence(F.lit(2), F.length("full"))
+    two = F.transform(places, lambda i: F.concat(at("full", 1), at("full", i)))
+    three = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: F.concat(at("full", 1), at("full", i), at("full", j)))))
+    common = named.select(F.col("token").alias("full"), F.col("n").alias("m")).filter((F.length("full") >= 3) & (F.col("m") >= 3)).join(generic, "full", "left_semi").withColumn("_key", F.explode(F.array_distinct(F.concat(two, three))))
+    short = named.filter((F.length("token") <= 6) & (F.length("token") >= 2)).select("token", "n", F.substring("token", 1, 3).alias("_key"))
     fits = (F.length("full") >= F.length("token") + 1) & (F.col("m") >= 3 * F.col("n")) & F.expr("rlike(full, concat('^', regexp_replace(token, '(.)', '$1.*')))")
-    return short.join(common, "_i").filter(fits).groupBy("token").agg(F.max_by("full", "m").alias("full"))
+    return short.join(common, "_key").filter(fits).groupBy("token").agg(F.max_by("full", F.struct("m", "full")).alias("full"))
 
 
 def read_names(results: DataFrame) -> DataFrame:
@@ -291,10 +302,14 @@ def person_keys(people: DataFrame) -> DataFrame:
     loose = open_.join(hits, "text", "left")
     own = F.when(F.length("g") > 2, F.coalesce(F.get("_formals", F.lit(0)), F.col("g")))
     resolved = loose.select("text", "surname", F.when(F.col("_k") == 1, F.col("formal")).when(F.col("_k").isNull(), own).alias("formal"))
-    # Initials beside a surname whose only given names are unlisted ones.
-    unlisted = resolved.filter("formal IS NOT NULL").select("surname", "formal").distinct()
-    last = resolved.filter("formal IS NULL").join(named.select("text", "g", "_formals"), "text").drop("formal").join(hits.select("text", "_k"), "text", "left_anti")
-    more = last.join(unlisted, "surname").filter(fits).groupBy("text", "surname").agg(F.count_distinct("formal").alias("_k"), F.min("formal").alias("formal")).filter("_k = 1").drop("_k")
+    # Initials beside a surname whose only given names are unlisted ones: different short forms meet different names of one letter.
+    unlisted = resolved.filter("formal IS NOT NULL").select("surname", "formal", F.substring("formal", 1, 1).alias("_i")).distinct()
+    last = resolved.filter("formal IS NULL").join(named.select("text", "g", "_formals"), "text").drop("formal").join(hits.select("text"), "text", "left_anti")
+    forms = last.select("surname", "g", "_formals").distinct()
+    nick = forms.filter(F.size("_formals") > 0).select("surname", "g", F.explode("_formals").alias("formal")).join(unlisted.drop("_i"), ["surname", "formal"])
+    brief = forms.filter(F.size("_formals") == 0).withColumn("_i", F.substring("g", 1, 1)).join(unlisted, ["surname", "_i"]).filter(short)
+    only = nick.select("surname", "g", "formal").union(brief.select("surname", "g", "formal")).groupBy("surname", "g").agg(F.count_distinct("formal").alias("_k"), F.min("formal").alias("formal")).filter("_k = 1").drop("_k")
+    more = last.join(only, ["surname", "g"])
     keyed = full.filter(listed).select("text", "surname", "formal").union(resolved.filter("formal IS NOT NULL")).union(more.select("text", "surname", "formal"))
     single = people.filter(F.size("tokens") == 1).select("text", F.get("tokens", F.lit(0)).alias("surname"), F.lit("").alias("formal"))
     return keyed.union(single).select("text", F.concat_ws(" ", "surname", "formal").alias("key"))
@@ -312,7 +327,7 @@ def linked_names(results: DataFrame) -> DataFrame:
     words = cut(words)
     standard = cut(standard_tokens(words))
     placed = names.select("type", "text", F.posexplode("tokens").alias("at", "token")).join(standard, ["type", "token"], "left").withColumn("token", F.coalesce("standard", "token")).drop("standard")
-    brief = expand_words(words).withColumn("type", F.lit("ORGANIZATION"))
+    brief = expand_words(words, names).withColumn("type", F.lit("ORGANIZATION"))
     placed = placed.join(brief, ["type", "token"], "left").withColumn("token", F.coalesce("full", "token"))
     again = placed.groupBy("type", "text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("tokens"))  # a name's own tokens
     again = cut(again)
