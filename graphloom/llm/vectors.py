@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from graphloom.session import cut
 
 WIDTH, PROJECTED, SEED = 64, 8, 20240717
-SAMPLE = 20_000  # rows that the tree of blocks is fitted on
+SAMPLE = 100_000  # rows that the tree of blocks is fitted on, and at most twice as many
+PER_LEAF = 8  # rows of the sample that a leaf needs at least
 BLOCK, CELL = 32_768, 512  # rows of a block and of a cell inside it
 CHUNK = 65_536  # queries that visit a block at once
-CONFIDENCE = 0.999
+CONFIDENCE = 0.9  # of the stopping test; what it costs in recall was measured (README)
 
 
 def chi_square(confidence: float, m: int) -> float:
@@ -166,22 +167,24 @@ def project(df: DataFrame, key: str, embedding: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, u binary, p binary").groupBy("id").agg(F.min(F.struct("u", "p")).alias("_v")).select("id", "_v.u", "_v.p")
 
 
-def nearest(df: DataFrame, key: str = "id", embedding: str = "embedding", k: int = 5, least: float | None = None) -> DataFrame:
+def nearest(df: DataFrame, key: str = "id", embedding: str = "embedding", k: int = 5, least: float | None = None, confidence: float = CONFIDENCE) -> DataFrame:
     """id, other, similarity, place: the k most similar other vectors of every usable vector.
 
     Usable are vectors of 64 finite values that aren't all zero; similarity is the cosine.  With ``least``
     only neighbours of at least that similarity are wanted.  Repeated keys count once, and other columns are
     ignored.  Vectors that are equal are neighbours of one another; ties in similarity go to the smaller key.
-    A collection of one vector, or none, gives no row.
+    A collection of one vector, or none, gives no row.  ``confidence`` is that of the stopping test: a neighbour
+    is missed with at most that much less than certainty, and the fewer cells are verified the lower it is.
     """
-    chi = chi_square(CONFIDENCE, PROJECTED)
+    chi = chi_square(confidence, PROJECTED)
     farthest = 4.0 if least is None else max(0.0, 2 - 2 * least) + 1e-5
     kind = df.schema[key].dataType.simpleString()
     base = cut(project(df, key, embedding))
     n = base.count()
     every = max(1, n // SAMPLE)
     sample = base.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("p").limit(2 * SAMPLE).toArrow()  # the bound of the fit
-    tree = BlockTree(matrix(sample.column("p"), PROJECTED), max(0, min(math.ceil(math.log2(max(1, n / BLOCK))), 11)))
+    wanted, fitted = math.ceil(math.log2(max(1, n / BLOCK))), int(math.log2(max(1, sample.num_rows / PER_LEAF)))
+    tree = BlockTree(matrix(sample.column("p"), PROJECTED), max(0, min(wanted, fitted)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,7 +207,7 @@ def nearest(df: DataFrame, key: str = "id", embedding: str = "embedding", k: int
     per = placed.mapInArrow(boxes, "leaf int, c long, d int, lo float, hi float").groupBy("leaf", "d").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     leaves = 1 << tree.depth
     count, low, high = np.zeros(leaves, np.int64), np.full((leaves, PROJECTED), np.inf, np.float32), np.full((leaves, PROJECTED), -np.inf, np.float32)
-    for r in per.collect():  # as many rows as the tree has leaves (2048 at most), times 8
+    for r in per.collect():  # as many rows as the tree has leaves (by its sample 16,384 at most), times 8
         count[r["leaf"]], low[r["leaf"], r["d"]], high[r["leaf"], r["d"]] = r["c"], r["lo"], r["hi"]
     # A leaf that holds too much, as by many equal vectors, is dealt out over several blocks of the same box.
     parts = np.maximum(1, -(-count // (2 * BLOCK)))
@@ -246,11 +249,11 @@ def nearest(df: DataFrame, key: str = "id", embedding: str = "embedding", k: int
             go = box_distance(p[start : start + 8192], low, high) <= r2[start : start + 8192, None] * chi + 1e-6
             go[:, own] = False
             visits += [np.flatnonzero(g).astype(np.int32) for g in go]
-        return pa.table({"id": ids, "u": table["u"], "p": table["p"], "r2": pa.array(r2), "near": named(best, who, ids), "visits": pa.array(visits, pa.list_(pa.int32()))})
+        return pa.table({"id": ids, "u": table["u"], "r2": pa.array(r2), "near": named(best, who, ids), "visits": pa.array(visits, pa.list_(pa.int32()))})
 
-    own = placed.groupBy("blk").applyInArrow(within, f"id {kind}, u binary, p binary, r2 float, near {found}, visits array<int>")
+    own = placed.groupBy("blk").applyInArrow(within, f"id {kind}, u binary, r2 float, near {found}, visits array<int>")
     own = cut(own)
-    calls = own.select("id", "u", "p", "r2", F.explode("visits").alias("blk"))
+    calls = own.select("id", "u", "r2", F.explode("visits").alias("blk"))  # the projection is made again where it is needed
     sizes = calls.groupBy("blk").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # a row a block
     queries = calls.join(F.broadcast(sizes), "blk").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
     data = placed.select(*[F.col(c).alias(c) for c in ("id", "u", "p", "blk")]).join(F.broadcast(sizes), "blk").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
@@ -259,7 +262,8 @@ def nearest(df: DataFrame, key: str = "id", embedding: str = "embedding", k: int
     def across(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, names = one(left["id"]), one(right["d_id"])
         a, b = codes(ids, names)
-        best, who = search(matrix(left["u"], WIDTH), matrix(left["p"], PROJECTED), left["r2"].to_numpy(), a, matrix(right["d_u"], WIDTH), matrix(right["d_p"], PROJECTED), b, k, chi)
+        u = matrix(left["u"], WIDTH)
+        best, who = search(u, u @ projection(), left["r2"].to_numpy(), a, matrix(right["d_u"], WIDTH), matrix(right["d_p"], PROJECTED), b, k, chi)
         return pa.table({"id": ids, "near": named(best, who, names)})
 
     far = queries.groupBy("blk", "chunk").cogroup(data.groupBy("d_blk", "d_chunk")).applyInArrow(across, f"id {kind}, near {found}")
