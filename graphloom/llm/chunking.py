@@ -104,12 +104,15 @@ def split_texts(docs: DataFrame, configs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "content", "config_id", "ingested_at").filter(F.col("doc_id").isNotNull())
     cuts = cut_lengths(latest(rows, "doc_id", "ingested_at", ["content", "config_id"]), configs)
-    ends = cuts.filter(F.size("_lengths") > 0).withColumn("_ends", F.expr("aggregate(_lengths, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"))
-    stretches = ends.withColumn("_at", F.explode(F.sequence(F.lit(0), F.size("_lengths") - 1, F.lit(STRETCH)))).select(
-        "doc_id", "_overlap", "_at",
-        F.expr(f"slice(_ends, _at + 1, {STRETCH} + 1)").alias("_ends"),
-        F.greatest(F.lit(0), F.expr("_ends[_at]") - F.col("_overlap")).alias("_from"),
-        F.expr(f"substring(content, greatest(0, _ends[_at] - _overlap) + 1, _ends[least(_at + {STRETCH}, size(_ends) - 1)] - greatest(0, _ends[_at] - _overlap))").alias("_text"),
+    # Ends are running sums: of the stretches first, then inside each, so that the work grows with the pieces of a text.
+    sums = f"transform(sequence(0, size(_lengths) - 1, {STRETCH}), i -> aggregate(slice(_lengths, i + 1, {STRETCH}), 0, (a, x) -> a + x))"
+    running = "aggregate({}, array({}), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    some = cuts.filter(F.size("_lengths") > 0).withColumn("_sums", F.expr(sums)).withColumn("_starts", F.expr(running.format("_sums", "0")))
+    stretches = some.withColumn("_b", F.explode(F.sequence(F.lit(0), F.size("_sums") - 1))).select(
+        "doc_id", "_overlap", (F.col("_b") * STRETCH).alias("_at"),
+        F.expr(running.format(f"slice(_lengths, _b * {STRETCH} + 1, {STRETCH})", "_starts[_b]")).alias("_ends"),
+        F.greatest(F.lit(0), F.expr("_starts[_b]") - F.col("_overlap")).alias("_from"),
+        F.expr("substring(content, greatest(0, _starts[_b] - _overlap) + 1, _starts[_b + 1] - greatest(0, _starts[_b] - _overlap))").alias("_text"),
     )
     each = stretches.withColumn("_i", F.explode(F.sequence(F.lit(0), F.size("_ends") - 2)))
     start, end = F.greatest(F.lit(0), F.expr("_ends[_i]") - F.col("_overlap")), F.expr("_ends[_i + 1]")
