@@ -92,12 +92,14 @@ def fill(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
 
     An item over the capacity gives full parts and a last part with the rest; all others stay whole.
     Items without content (size 0, null or negative) take no room and are dealt out over the containers.
-    Repeated keys are items of their own.  ``sizes`` is read several times and must not change between.
+    Repeated keys are items of their own.  Items of one size are ranked by partition, then by key: how full the
+    containers are doesn't depend on the layout of ``sizes``, but which of them an item gets does.
     """
     n = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
     last = F.greatest(F.lit(0), F.ceil(n / F.lit(capacity)) - 1).cast("int")
     items = sizes.select(F.col(key).alias("_key"), n.alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("part_no"))
     items = items.select("_key", "part_no", F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("part_no").cast("long") * capacity).cast("int").alias("_size"), F.spark_partition_id().alias("_at"))
+    items = cut(items)  # read several times, in one layout
     # The rank of an item among its size: those of earlier partitions, then those before it in its own.
     per = items.groupBy("_at", "_size").agg(F.count("*").alias("_c")).withColumn("_before", F.sum("_c").over(Window.partitionBy("_size").orderBy("_at")) - F.col("_c"))
     per = cut(per)
@@ -127,4 +129,4 @@ def fill(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
 
 def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """``fill`` with the tokens of each text as its size."""
-    return fill(cut(count_tokens(docs, key, text, path=path)), key, "n_tokens", capacity)
+    return fill(count_tokens(docs, key, text, path=path), key, "n_tokens", capacity)
