@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import cut
+
 
 @dataclass(frozen=True)
 class PropertyGraph:
@@ -147,6 +149,19 @@ def community_statistics(entities: DataFrame, relationships: DataFrame, membersh
     return out.withColumn("density", F.coalesce(F.try_divide(F.col("internal_edges").cast("double"), n * (n - 1)), F.lit(0.0))).withColumn("avg_degree", F.try_divide(2.0 * F.col("internal_edges"), n))
 
 
+def community_objects(entities: DataFrame, relationships: DataFrame, membership: DataFrame, least: int = 3) -> DataFrame:
+    """comm_id, community, size, density, avg_degree, node_types, edge_types (maps of counts) of communities of at least ``least`` members.
+
+    Ids are comm_0, comm_1, ... from the largest on, ties by community.
+    """
+    stats = community_statistics(entities, relationships, membership, ()).filter(F.col("node_count") >= least)
+    types = lambda rows, name: rows.groupBy("community", "type").agg(F.count("*").alias("n")).groupBy("community").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias(name))  # noqa: E731  an entry a type
+    nodes = types(membership.join(entities.select("id", "type"), "id").select("community", "type"), "node_types")
+    edges = types(induced(relationships, membership).select("community", "type"), "edge_types")
+    placed = stats.withColumn("comm_id", F.concat(F.lit("comm_"), (F.row_number().over(Window.orderBy(F.desc("node_count"), "community")) - 1).cast("string")))  # a row a community
+    return placed.join(nodes, "community", "left").join(edges, "community", "left").select("comm_id", "community", F.col("node_count").alias("size"), "density", "avg_degree", "node_types", "edge_types")
+
+
 def community_center(relationships: DataFrame, membership: DataFrame, k: int = 1) -> DataFrame:
     """community, id, degree of the nodes with the most links inside; ties to the smaller id."""
     ends = induced(relationships, membership).select("community", F.explode(F.array("src", "dst")).alias("id"))
@@ -156,12 +171,22 @@ def community_center(relationships: DataFrame, membership: DataFrame, k: int = 1
 
 
 def shared_neighbours(edges: DataFrame, least: float) -> DataFrame:
-    """x, y, similarity: pairs of nodes by the Jaccard similarity of their neighbours."""
+    """x, y, similarity: pairs of nodes by the Jaccard similarity of their neighbours, at least ``least`` (above 0).
+
+    Prefix filter: neighbours are ranked from the rarest on, and two sets that are alike enough share one of the first
+    d - ceil(least * d) + 1 of each.  So a hub links nodes only where it is among their rarest neighbours; then sizes are compared,
+    and the pairs left are counted exactly.
+    """
     e = both_ways(edges)
     d = degrees(edges)
-    common = e.select(F.col("src").alias("x"), "dst").join(e.select(F.col("src").alias("y"), "dst"), "dst").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("c"))
-    sized = common.join(d.select(F.col("id").alias("x"), F.col("degree").alias("dx")), "x").join(d.select(F.col("id").alias("y"), F.col("degree").alias("dy")), "y")
-    return sized.withColumn("similarity", F.col("c") / (F.col("dx") + F.col("dy") - F.col("c"))).filter(F.col("similarity") >= least).select("x", "y", "similarity")
+    sized = e.join(d.select(F.col("id").alias("dst"), F.col("degree").alias("rare")), "dst").join(d.select(F.col("id").alias("src"), "degree"), "src")
+    place = F.row_number().over(Window.partitionBy("src").orderBy("rare", "dst"))
+    first = sized.withColumn("_at", place).filter(F.col("_at") <= F.col("degree") - F.ceil(F.round(F.col("degree") * least, 9)) + 1)
+    x = first.select(F.col("src").alias("x"), F.col("degree").alias("dx"), "dst")
+    y = first.select(F.col("src").alias("y"), F.col("degree").alias("dy"), "dst")
+    pairs = x.join(y, "dst").filter((F.col("x") < F.col("y")) & (F.least("dx", "dy") >= F.greatest("dx", "dy") * least - 1e-9)).select("x", "y", "dx", "dy").distinct()
+    common = pairs.join(e.select(F.col("src").alias("x"), "dst"), "x").join(e.select(F.col("src").alias("y"), "dst"), ["y", "dst"]).groupBy("x", "y", "dx", "dy").agg(F.count("*").alias("c"))
+    return common.withColumn("similarity", F.col("c") / (F.col("dx") + F.col("dy") - F.col("c"))).filter(F.col("similarity") >= least).select("x", "y", "similarity")
 
 
 def compress(relationships: DataFrame, level: float, components) -> tuple[DataFrame, DataFrame]:
@@ -178,23 +203,57 @@ def compress(relationships: DataFrame, level: float, components) -> tuple[DataFr
     return drop_weakest(merged, level), groups
 
 
+def kth_least(rows: DataFrame, value: str, k: int) -> float:
+    """The k-th least of a finite double column without nulls: rows are counted by bins, then inside the bin that holds it."""
+    low, high = (float(v) for v in rows.agg(F.min(value), F.max(value)).first())
+    while True:
+        # Bins of equal width between the bounds; the one with the wanted rank becomes the new bounds.
+        width = (high - low) / 4096
+        if width <= 0 or low + width == low:
+            return low
+        at = F.least(F.floor((F.col(value) - low) / width), F.lit(4095))
+        inside = rows.filter((F.col(value) >= low) & (F.col(value) <= high))
+        bins = {r[0]: (r[1], r[2], r[3]) for r in inside.groupBy(at.alias("b")).agg(F.count("*"), F.min(value), F.max(value)).collect()}  # 4096 rows at most
+        for b in sorted(bins):
+            n, least, most = bins[b]
+            if k <= n:
+                low, high = least, most
+                break
+            k -= n
+        if low == high:
+            return low
+
+
 def drop_weakest(edges: DataFrame, level: float) -> DataFrame:
-    """All but the int(m * level) edges of least confidence: the k-th least is found by a histogram, not by a global sort."""
+    """All but the int(m * level) edges of least confidence, ties by ids: the k-th least is found by counting, not by a sort.
+
+    Edges with the k-th confidence are ranked by their hash ranges, so that many ties aren't one task.
+    """
     m = edges.count()
     k = int(m * level)
     if not k:
         return edges
-    c = F.coalesce("confidence", F.lit(0.0))
-    # Rows below the k-th confidence go; of those equal to it, as many as are left, by their ids.
-    steps = edges.groupBy(c.alias("c")).agg(F.count("*").alias("n"))
-    run = steps.withColumn("to", F.sum("n").over(Window.orderBy("c"))) if steps.count() <= 100_000 else None
-    if run is None:
-        border = edges.select(c.alias("c")).orderBy("c").limit(k).agg(F.max("c")).first()[0]
-    else:
-        border = run.filter(F.col("to") >= k).agg(F.min("c")).first()[0]
-    below = edges.filter(c < border).count()
-    ties = edges.filter(c == border).orderBy("src", "dst", "type").limit(k - below).select("src", "dst", "type")
-    return edges.filter(c >= border).join(ties, ["src", "dst", "type"], "left_anti")
+    c = F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))
+    edges = edges.withColumn("_c", c)
+    border = kth_least(edges.select("_c"), "_c", k)
+    ties = edges.filter(F.col("_c") == border)
+    more = k - edges.filter(F.col("_c") < border).count()
+    # As many ties as are left go, by their ids: sorted in ranges, and counted before each range.
+    ids = ties.select("src", "dst", "type").repartitionByRange("src", "dst", "type").withColumn("_p", F.spark_partition_id())
+    ids = cut(ids)
+    counts = sorted((r[0], r[1]) for r in ids.groupBy("_p").agg(F.count("*")).collect())  # a row a partition
+    whole, split = [], None
+    for p, n in counts:
+        if n <= more:
+            whole.append(p)
+            more -= n
+        else:
+            split = p
+            break
+    gone = ids.filter(F.col("_p").isin(whole)) if whole else ids.limit(0)
+    if split is not None and more:
+        gone = gone.unionByName(ids.filter(F.col("_p") == split).orderBy("src", "dst", "type").limit(more))  # one range
+    return edges.filter(F.col("_c") >= border).drop("_c").join(gone.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti")
 
 
 def rename_ids(edges: DataFrame, groups: DataFrame, ends: tuple[str, ...] = ("src", "dst")) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     Every round links neighbours to the smallest id seen, so the rounds grow with the logarithm of the longest path, and
     no neighbourhood is ever collected.
     """
+
+    def mark(x: DataFrame) -> tuple:
+        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first())
+
     e = cut(edges.select("a", "b").filter("a <> b").distinct())
+    before = mark(e)
     while True:
         ways = both_ways(e)
         low = ways.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("m", "src").alias("m"))
@@ -24,50 +35,64 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"))
         least = down.groupBy("src").agg(F.min("dst").alias("m"))
         small = down.join(least, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("a"), F.col("m").alias("b")), F.struct(F.col("src").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        new = cut(small)
-        before, after = (x.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first() for x in (e, new))
-        e = new
+        e = cut(small)
+        after = mark(e)
         if before == after:
             break
+        before = after
     stars = e.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 0.0) -> DataFrame:
-    """id, rank on a simple undirected graph, uniform start; stops early where the total change is below tolerance * n."""
-    ways = cut(both_ways(edges))
-    deg = ways.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d"))
+def placed(rows: DataFrame, by: str) -> DataFrame:
+    """Rows kept on disk where rounds look for them, so that a round only shuffles what changes; lost ones are made again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).persist(StorageLevel.DISK_ONLY)
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """id, rank on a simple undirected graph, uniform start; ends with the first round whose total change is below tolerance * n."""
+    ways = both_ways(edges)
+    deg = cut(ways.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")))
     n = deg.count()
     if not n:
         return deg.select("id", F.lit(0.0).alias("rank"))
-    out = cut(ways.join(deg.withColumnRenamed("id", "src"), "src"))
+    out = placed(ways.join(deg.withColumnRenamed("id", "src"), "src"), "src")
     rank = deg.select("id", F.lit(1.0 / n).alias("rank"))
-    for i in range(rounds):
+    for _ in range(rounds):
         # Every node of this graph has an edge, so each gets a sum and none dangles.
         given = out.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("s"))
         new = given.select("id", ((1 - damping) / n + damping * F.col("s")).alias("rank"))
-        if tolerance or i % 4 == 3 or i == rounds - 1:
-            new = cut(new)
-        if tolerance:
-            change = new.join(rank.withColumnRenamed("rank", "r"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("r")))).first()[0]
-            if change < n * tolerance:
-                return new
-        rank = new
+        both = cut(new.join(rank.withColumnRenamed("rank", "was"), "id"))
+        change = both.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
+        rank = both.select("id", "rank")
+        if change < n * tolerance:
+            break
+    out.unpersist()
     return rank
 
 
-def eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """id, centrality of length one: power iteration on the adjacency matrix plus the identity."""
-    ways = cut(both_ways(edges))
-    x = ways.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0))
-    for i in range(rounds):
-        moved = ways.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("s"))
-        new = moved.join(x, "id").select("id", (F.col("s") + F.col("x")).alias("x"))
-        if i % 5 == 4 or i == rounds - 1:
-            new = cut(new)
-            top = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-            new = new.select("id", (F.col("x") / top).alias("x"))
-        x = new
+def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """id, centrality of length one: power iteration on the adjacency matrix plus the identity.
+
+    Every fifth round is compared with the fifth before; the iteration ends where the total change is below tolerance * n.
+    """
+    both = both_ways(edges)
+    # With a loop at each node, a round is one join and one sum.
+    ways = placed(both.union(both.select("src", F.col("src").alias("dst")).distinct()), "src")
+    x = ways.filter("src = dst").select(F.col("src").alias("id"), F.lit(1.0).alias("x"))
+    n = x.count()
+    last = None
+    for i in range(1, rounds + 1):
+        x = ways.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x"))
+        if i % 5 and i < rounds:
+            continue
+        top = cut(x)
+        size = top.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        x = top.select("id", (F.col("x") / size).alias("x"))
+        if last is not None and (x.join(last.withColumnRenamed("x", "was"), "id").agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0] or 0.0) < n * tolerance:
+            break
+        last = x
+    ways.unpersist()
     return x.select("id", F.col("x").alias("centrality"))
 
 
@@ -195,49 +220,152 @@ def random_walks(edges: DataFrame, starts: DataFrame, steps: int = 20, seed: int
     return out
 
 
-def spectral_communities(edges: DataFrame, weight: str | None = None, most_nodes: int = 3000, n_clusters: int | None = None, faithful: bool = False) -> DataFrame:
-    """id, community by eigenvectors of the normalised Laplacian and k-means, for graphs of at most ``most_nodes`` nodes.
+POWERS = 6  # products with the matrix between two orthonormalisations
+
 
-    Larger graphs get ``label_propagation``: a dense matrix doesn't scale.  The number of clusters is the largest drop
-    of the eigenvalues, within 2 and the root of n (``faithful``: the smallest drop).
+def leading_vectors(entries: DataFrame, k: int, shift: float = 0.0, rounds: int = 30, tolerance: float = 1e-4, seed: int = 42) -> tuple[DataFrame, list[float]]:
+    """id, x0 ... (k columns) and the k eigenvalues of greatest size of a symmetric matrix plus ``shift`` times the identity.
+
+    ``entries`` are src, dst, w, each in both orientations.  Orthogonal iteration: the matrix meets the vectors by a join,
+    and only the k x k products of the vectors reach the driver.  A pair of start vectors more than wanted speeds it up.
     """
-    if degrees(edges).count() > most_nodes:
-        return label_propagation(edges)
-    import numpy as np
-
-    rows = edges.select("a", "b", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")).toPandas()
-    ids = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()])) if len(rows) else np.array([])
-    kind = edges.schema["a"].dataType.simpleString()
-    if len(ids) < 2:
-        return edges.sparkSession.createDataFrame([], f"id {kind}, community int")
-    m = np.zeros((len(ids), len(ids)))
-    a, b = np.searchsorted(ids, rows["a"]), np.searchsorted(ids, rows["b"])
-    m[a, b] = m[b, a] = rows["w"]
-    k = n_clusters or estimate_clusters(m, faithful)
-    scale = 1 / np.sqrt(np.maximum(m.sum(axis=1), 1e-12))
-    _, vectors = np.linalg.eigh(m * scale[:, None] * scale[None, :])
-    x = vectors[:, -k:]
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(42)
-    centres = x[[int(rng.integers(len(x)))]]
+    ids = cut(entries.select(F.col("src").alias("id")).distinct())
+    n = ids.count()
+    same = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(float(shift)).alias("w"))
+    m = placed(entries.select("src", "dst", "w").union(same) if shift else entries, "src")
+    cols = [f"x{i}" for i in range(min(k + 2, n))]
+
+    def product(x: DataFrame, to: str = "x") -> DataFrame:
+        sums = [F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in cols]
+        moved = m.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(*sums)
+        return moved.select("id", *[F.col(f"s{c}").alias(to + c[1:]) for c in cols])
+
+    def whitening(g: np.ndarray) -> np.ndarray:
+        values, vectors = np.linalg.eigh(g)
+        return vectors / np.sqrt(np.maximum(values, values.max() * 1e-13))
+
+    x = ids.select("id", *[(F.xxhash64(F.lit(seed), F.lit(c), "id") / float(2**63)).alias(c) for c in cols])
+    before = None
+    for _ in range(rounds):
+        for _ in range(POWERS):
+            x = product(x)
+        x = cut(x)
+        basis = whitening(products(x, cols, cols))
+        both = cut(product(x, "y").join(x, "id"))
+        # The matrix seen from the basis, and the best vectors that it holds.
+        values, turn = np.linalg.eigh(basis.T @ products(both, cols, [f"y{c[1:]}" for c in cols]) @ basis)
+        order = np.argsort(-np.abs(values))
+        values, x = values[order], combined(both.select("id", *cols), cols, basis @ turn[:, order])
+        if before is not None and np.abs(values[:k] - before[:k]).max() <= tolerance * max(1.0, np.abs(values).max()):
+            break
+        before = values
+    x = cut(x.select("id", *cols[:k]))
+    m.unpersist()
+    return x, [float(v) - shift for v in values[:k]]
+
+
+def as_matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1) if batch.num_rows else np.zeros((0, len(names)))
+
+
+def products(rows: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+    """Matrix of the sums of products of each left with each right column; a matrix a partition reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((len(left), len(right)))
+        for b in batches:
+            g += as_matrix(b, left).T @ as_matrix(b, right)
+        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], names=["g"])
+
+    parts = rows.select(*dict.fromkeys([*left, *right])).mapInArrow(run, "g binary").collect()
+    return sum((np.frombuffer(r["g"]).reshape(len(left), len(right)) for r in parts), np.zeros((len(left), len(right))))
+
+
+def combined(rows: DataFrame, cols: list[str], by: np.ndarray) -> DataFrame:
+    """id and the combinations of the columns that the columns of a matrix name."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = as_matrix(b, cols) @ by
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(y[:, j]) for j in range(y.shape[1]))], names=["id", *cols])
+
+    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} double" for c in cols))
+
+
+def estimate_clusters(values: list[float], nodes: int, faithful: bool = False) -> int:
+    """Number of clusters by the largest drop between eigenvalues by size (``faithful``: the smallest), within 2 and the root of the nodes."""
+    drops = np.diff(np.sort(np.abs(values))[::-1])
+    elbow = int(drops.argmax() if faithful else drops.argmin()) + 1 if len(drops) else 2
+    return max(2, min(elbow, math.isqrt(nodes)))
+
+
+def nearest_centres(x: DataFrame, k: int, rounds: int = 50, seed: int = 42) -> DataFrame:
+    """id, community: k-means on the columns of ``x`` besides id, from the farthest points.
+
+    The driver holds k rows of centres, and gets k rows of sums from each partition.
+    """
+    cols = [c for c in x.columns if c != "id"]
+    kind = x.schema["id"].dataType.simpleString()
+    point = F.array(*cols)
+    centres = np.array([x.agg(F.min_by(point, F.struct(F.xxhash64(F.lit(seed), "id"), "id"))).first()[0]])
+
+    def away(y: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return ((y[:, None] - centres[None]) ** 2).sum(axis=2)
+
     while len(centres) < k:
-        centres = np.vstack([centres, x[((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).argmax()]])
-    for _ in range(50):
-        own = ((x[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        new = np.array([x[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(k)])
-        if np.allclose(new, centres):
+
+        def far(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.round(away(as_matrix(b, cols), centres).min(axis=1), 9))], names=["id", "far"])
+
+        best = x.mapInArrow(far, f"id {kind}, far double").agg(F.max_by("id", F.struct("far", "id")).alias("id"))
+        centres = np.vstack([centres, x.join(F.broadcast(best), "id", "left_semi").select(point.alias("p")).first()["p"]])  # one row
+    for _ in range(rounds):
+
+        def sums(batches: Iterator[pa.RecordBatch], centres: np.ndarray = centres) -> Iterator[pa.RecordBatch]:
+            held = np.zeros((len(centres), len(cols) + 1))
+            for b in batches:
+                y = as_matrix(b, cols)
+                np.add.at(held, away(y, centres).argmin(axis=1), np.hstack([y, np.ones((len(y), 1))]))
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["g"])
+
+        total = sum(np.frombuffer(r["g"]).reshape(len(centres), -1) for r in x.mapInArrow(sums, "g binary").collect())
+        moved = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), centres)
+        if np.allclose(moved, centres):
             break
-        centres = new
-    return edges.sparkSession.createDataFrame([(i.item() if hasattr(i, "item") else i, int(c)) for i, c in zip(ids, own)], f"id {kind}, community int")
+        centres = moved
 
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(away(as_matrix(b, cols), centres).argmin(axis=1), pa.int32())], names=["id", "community"])
 
-def estimate_clusters(matrix, faithful: bool = False) -> int:
-    import numpy as np
+    return x.mapInArrow(own, f"id {kind}, community int")
 
-    values = np.sort(np.abs(np.linalg.eigvalsh(matrix)))[::-1]
-    drops = np.diff(values)
-    elbow = int(drops.argmax() if faithful else drops.argmin()) + 1
-    return max(2, min(elbow, int(np.sqrt(len(matrix)))))
+
+def spectral_communities(edges: DataFrame, weight: str | None = None, n_clusters: int | None = None, faithful: bool = False, most_clusters: int = 12, least_size: int = 1) -> DataFrame:
+    """id, community by the leading eigenvectors of the normalised adjacency matrix and k-means, at every size.
+
+    Both are rounds of joins and aggregates (see ``leading_vectors``).  Without ``n_clusters``, their number is where
+    the leading most_clusters + 1 eigenvalues of the adjacency matrix drop most, at most the root of n (``faithful``: where they drop
+    least).  Communities of fewer than ``least_size`` nodes are left out.  A graph of fewer than two nodes has no rows.
+    """
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    ways = cut(edges.select(F.explode(ends).alias("_e"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w")).select("_e.src", "_e.dst", "w"))
+    total = ways.groupBy("src").agg(F.sum("w").alias("d"))
+    n = total.count()
+    if n < 2:
+        return total.select(F.col("src").alias("id"), F.lit(0).alias("community")).limit(0)
+    k = n_clusters or estimate_clusters(leading_vectors(ways, min(most_clusters + 1, n))[1], n, faithful)
+    k = min(k, n)
+    scaled = ways.join(total, "src").join(total.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.greatest(F.col("d") * F.col("e"), F.lit(1e-12)))).alias("w"))
+    x, _ = leading_vectors(scaled, k, shift=1.0)
+    cols = [c for c in x.columns if c != "id"]
+    length = F.sqrt(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0)))
+    found = nearest_centres(cut(x.select("id", *[(F.col(c) / F.greatest(length, F.lit(1e-12))).alias(c) for c in cols])), k)
+    if least_size <= 1:
+        return found
+    return found.join(found.groupBy("community").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least_size).select("community"), "community", "left_semi").select("id", "community")
 
 
 def node_metrics(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -268,24 +396,30 @@ def graph_metrics(edges: DataFrame) -> DataFrame:
 
 
 def community_metrics(edges: DataFrame, membership: DataFrame) -> DataFrame:
-    """community, size, density, avg_clustering, diameter (infinite where it falls apart), on each community's own edges; ``size`` counts its members."""
+    """community, size, density, avg_clustering, diameter, hubs, on each community's own edges.
+
+    ``size`` counts the members, the diameter is infinite where the community falls apart, and ``hubs`` are the three
+    members with the most links in it, ties to the smaller id.
+    """
     a, b = membership.select(F.col("id").alias("a"), "community"), membership.select(F.col("id").alias("b"), "community")
     inner = cut(edges.join(a, "a").join(b, ["b", "community"]).select("community", "a", "b"))
     size = membership.groupBy("community").agg(F.count("*").alias("size"))
     # Ids are tagged with their community, so that one pass over the union of all induced graphs serves them all.
     tag = lambda c: F.struct(F.col("community"), F.col(c).alias("id"))
     tagged = cut(inner.select(tag("a").alias("a"), tag("b").alias("b")))
-    nodes = degrees(tagged).select("id.community", "degree")
+    nodes = cut(degrees(tagged).select("id.community", "id.id", "degree"))
+    first = Window.partitionBy("community").orderBy(F.desc("degree"), "id")
+    top = nodes.withColumn("_k", F.row_number().over(first)).filter("_k <= 3").groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "id"))), lambda x: x["id"]).alias("hubs"))  # three each
     from graphloom.operators.graph import clustering
 
     local = clustering(tagged).groupBy("id.community").agg(F.avg("clustering").alias("avg_clustering"))
     shape = nodes.groupBy("community").agg(F.count("*").alias("n"), (F.sum("degree") / 2).alias("m"))
     far = all_distances(tagged).groupBy("id.community").agg(F.max("dist").alias("far"), F.count("*").alias("reached"))
-    j = size.join(shape, "community", "left").join(local, "community", "left").join(far, "community", "left")
+    j = size.join(shape, "community", "left").join(local, "community", "left").join(far, "community", "left").join(top, "community", "left")
     whole = F.col("reached") == F.col("n") * F.col("n")
     return j.select(
         "community", "size", F.coalesce(F.try_divide(2.0 * F.col("m"), F.col("n") * (F.col("n") - 1)), F.lit(0.0)).alias("density"),
-        F.coalesce("avg_clustering", F.lit(0.0)).alias("avg_clustering"), F.when(whole, F.col("far").cast("double")).otherwise(F.lit(float("inf"))).alias("diameter"),
+        F.coalesce("avg_clustering", F.lit(0.0)).alias("avg_clustering"), F.when(whole, F.col("far").cast("double")).otherwise(F.lit(float("inf"))).alias("diameter"), "hubs",
     )
 
 

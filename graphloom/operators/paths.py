@@ -46,10 +46,14 @@ def cheapest_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = MAX_NOD
     back.  A start has no path to itself.
     """
     edges = cut(edges.select("src", "dst", "cost"))
+    # With targets, a node is only of use while one of them is within the hops that are left.
+    reach = None if targets is None else hops_to(edges, targets, max_nodes - 2)
     levels = [starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("cost"))]
-    for _ in range(1, max_nodes):
+    for hop in range(1, max_nodes):
         step = levels[-1].join(edges.select(F.col("src").alias("id"), "dst", F.col("cost").alias("c")), "id")
         least = step.groupBy("start", F.col("dst").alias("id")).agg(F.min(F.col("cost") + F.col("c")).alias("cost")).filter("start <> id")
+        if reach is not None:
+            least = least.join(reach.filter(F.col("togo") < max_nodes - hop).select("id"), "id", "left_semi")
         if len(levels) > 1:
             known = levels[1]
             for x in levels[2:]:
@@ -78,6 +82,16 @@ def cheapest_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = MAX_NOD
     return done.select("start", "id", "cost", "hops", "nodes")
 
 
+def hops_to(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """id, togo: nodes from which one of the targets is at most ``most`` edges away, with the least number of edges."""
+    found = front = cut(targets.select("id").distinct().withColumn("togo", F.lit(0)))
+    for d in range(1, most + 1):
+        step = front.select(F.col("id").alias("dst")).join(edges, "dst").select(F.col("src").alias("id")).distinct()
+        front = cut(step.join(found.select("id"), "id", "left_anti").withColumn("togo", F.lit(d)))
+        found = found.unionByName(front)
+    return found
+
+
 def simple_paths(edges: DataFrame, start: str, end: str, max_edges: int = 5) -> DataFrame:
     """nodes, cost, hops of every simple path between two nodes.  Only nodes that can still reach the end in time are walked."""
     ways = cut(edges.select("src", "dst", "cost"))

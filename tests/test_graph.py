@@ -184,3 +184,70 @@ def test_path_queries_use_the_whole_graph(spark, tmp_path):
     assert sorted(r.path for r in run("y_spec_path_whole")) == sorted(walk(["nation_1"], 4)) != []
     # nation_9 is reached through a part, as region_0 is used; the only supplier of nation_1 is used then.
     assert [r.id for r in sorted(run("path_multi_target"), key=lambda r: r.place)] == ["region_0", "nation_9"]
+
+
+def test_spectral_communities_find_dense_groups(spark):
+    rng = random.Random(3)
+    groups = [range(i * 12, i * 12 + 12) for i in range(4)]
+    pairs = {(a, b) for g in groups for a in g for b in g if a < b and rng.random() < 0.8} | {(5, 17), (18, 30), (31, 40)}
+    df = spark.createDataFrame([(a, b, "x") for a, b in sorted(pairs)], "a int, b int, id string")
+    got = as_dict(I.spectral_communities(df))
+    assert len(got) == 48 and len({frozenset(v for v in got if got[v] == c) for c in set(got.values())} & {frozenset(g) for g in groups}) == 4
+    weighted = df.withColumn("w", (df.a * 0 + 1).cast("double"))
+    assert set(as_dict(I.spectral_communities(weighted, "w", n_clusters=4, least_size=13))) == set()
+    two = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert len(as_dict(I.spectral_communities(two))) == 2
+
+
+def test_leading_vectors_equal_a_dense_solver(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    m = rng.integers(0, 2, (14, 14))
+    m = np.triu(m, 1) + np.triu(m, 1).T
+    entries = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "src int, dst int, w double")
+    x, values = I.leading_vectors(entries, 3, tolerance=1e-9, rounds=60)
+    want = sorted(np.linalg.eigvalsh(m), key=lambda v: -abs(v))[:3]
+    assert values == pytest.approx(want, abs=1e-4)
+    top = np.array([r.x0 for r in x.orderBy("id").collect()])
+    assert np.linalg.norm(m @ top - values[0] * top) == pytest.approx(0, abs=1e-3)
+
+
+def test_shared_neighbours_equal_brute_force(spark):
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(90)} | {(0, i) for i in range(1, 25)}  # a hub
+    adj = brute(25, pairs)
+    df = spark.createDataFrame(sorted(pairs), "a int, b int")
+    for least in (0.2, 0.5, 1.0):
+        want = {(x, y) for x in adj for y in adj if x < y and adj[x] and adj[y] and len(adj[x] & adj[y]) >= least * len(adj[x] | adj[y])}
+        got = {(r.x, r.y): r.similarity for r in G.shared_neighbours(df, least).collect()}
+        assert set(got) == want and all(s == pytest.approx(len(adj[x] & adj[y]) / len(adj[x] | adj[y])) for (x, y), s in got.items())
+
+
+@pytest.mark.parametrize("level", [0.0, 0.3, 0.75, 1.0])
+def test_drop_weakest_equals_a_sort(spark, level):
+    rng = random.Random(6)
+    rows = [(f"a{i}", f"b{rng.randint(0, 9)}", "t", rng.choice([None, 0.5, 0.5, 1e-300, rng.random(), rng.random() * 1e9])) for i in range(300)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "src string, dst string, type string, confidence double, _c int").drop("_c")
+    want = sorted(rows, key=lambda r: (r[3] or 0.0, r[0], r[1], r[2]))[int(300 * level) :]
+    assert sorted(tuple(r) for r in G.drop_weakest(df, level).collect()) == sorted(want, key=lambda r: (r[0], r[1], r[2]))
+
+
+def test_paths_to_targets_are_those_to_all(spark):
+    rng = random.Random(8)
+    rows = [(f"n{a}", f"n{b}", "r", rng.random()) for a, b in {tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)}]
+    c = P.costed(spark.createDataFrame(rows, "src string, dst string, type string, confidence double"))
+    starts = spark.createDataFrame([("n0",), ("n7",)], "id string")
+    ends = spark.createDataFrame([("n3",), ("n9",), ("n0",), ("zz",)], "id string")
+    every = {tuple(r[:4]): r.nodes for r in P.cheapest_paths(c, starts).collect()}
+    some = {tuple(r[:4]): r.nodes for r in P.cheapest_paths(c, starts, targets=ends).collect()}
+    assert some == {k: v for k, v in every.items() if k[1] in ("n3", "n9", "n0")} and some
+
+
+def test_iterations_end_by_their_tolerance(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame(sorted({tuple(sorted(rng.sample(range(20), 2))) for _ in range(50)}), "a int, b int")
+    a, b = as_dict(I.pagerank(df, rounds=100, tolerance=0.0)), as_dict(I.pagerank(df))
+    assert sum(abs(a[v] - b[v]) for v in a) < 20 * 1e-5
+    a, b = as_dict(I.eigenvector(df, 80, 0.0)), as_dict(I.eigenvector(df, tolerance=1e-9))
+    assert all(a[v] == pytest.approx(b[v], abs=1e-6) for v in a)
