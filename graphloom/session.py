@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             named = f"file://{own}"
         spark.sparkContext.setCheckpointDir(named)
+        # Files of a cut go when no frame needs them any more.
+        spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return named or current
 
 

@@ -1,7 +1,7 @@
 """Document sources: a directory of files becomes documents(doc_id, content, metadata, source_path, error).
 
 Readers are registered by suffix.  Files are read as binary rows and parsed in Arrow batches; a file that fails
-gives a row with its error.  PDF needs an optional library; DOCX and CSV need none.
+gives a row with its error.  No format needs a library.
 """
 
 from __future__ import annotations
@@ -48,15 +48,14 @@ def read_docx(data: bytes) -> tuple[str, dict[str, str]]:
 
 @reader(".pdf")
 def read_pdf(data: bytes) -> tuple[str, dict[str, str]]:
-    """Pages joined by line feeds, empty ones skipped."""
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("reading PDF needs the library pypdf") from e
-    pdf = PdfReader(io.BytesIO(data))
-    pages = [p.extract_text() or "" for p in pdf.pages]
-    info = {k.strip("/").lower(): str(v) for k, v in (pdf.metadata or {}).items() if k in ("/Title", "/Author", "/Subject", "/Creator")}
-    return "\n".join(p for p in pages if p.strip()), {**info, "num_pages": str(len(pages))}
+    """Pages joined by line feeds, empty ones skipped, and the document's properties."""
+    from graphloom.sources.pdf import Pdf
+
+    pdf = Pdf(data)
+    pages = [pdf.page_text(p) for p in pdf.pages()]
+    if not pages:
+        raise ValueError("no pages")
+    return "\n".join(p for p in pages if p.strip()), {**pdf.properties(), "num_pages": str(len(pages))}
 
 
 @reader(".csv")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.upserts import latest_by_key
@@ -34,3 +34,11 @@ def cached_embeddings(texts: DataFrame, cache: DataFrame, text: str = "text") ->
     """Texts with their cached vectors by md5, and whether they were found; the rest must be generated."""
     keyed = texts.withColumn("cache_id", F.md5(text))
     return keyed.join(cache.select(F.col("id").alias("cache_id"), "embedding"), "cache_id", "left").withColumn("hit", F.col("embedding").isNotNull())
+
+
+def accessed(cache: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """The cache after the entries ``ids`` (id) were looked up: their access_count goes up by one and last_accessed is ``now``."""
+    hit = F.col("_hit").isNotNull()
+    seen = cache.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
+    count = (F.coalesce("access_count", F.lit(0)) + hit.cast("int")).cast(cache.schema["access_count"].dataType)
+    return seen.withColumn("access_count", count).withColumn("last_accessed", F.when(hit, now).otherwise(F.col("last_accessed"))).select(*cache.columns)
