@@ -14,9 +14,10 @@ def statistics(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 
 def operation_metrics(ops: DataFrame) -> DataFrame:
-    """total, success_rate, error_rate, avg_time; 0 when there are none."""
+    """total, success_rate, error_rate, avg_time, and retry_rate where the log has ``retries``; 0 when there are none."""
     rate = lambda c: F.coalesce(F.try_divide(F.count_if(c).cast("double"), F.count("*")), F.lit(0.0))
-    return ops.agg(F.count("*").alias("total"), rate(F.col("success")).alias("success_rate"), rate(~F.col("success")).alias("error_rate"), F.coalesce(F.avg("duration"), F.lit(0.0)).alias("avg_time"))
+    more = [rate(F.col("retries") > 0).alias("retry_rate")] if "retries" in ops.columns else []
+    return ops.agg(F.count("*").alias("total"), rate(F.col("success")).alias("success_rate"), rate(~F.col("success")).alias("error_rate"), F.coalesce(F.avg("duration"), F.lit(0.0)).alias("avg_time"), *more)
 
 
 def errors_per_minute(errors: DataFrame, ts: str = "ts") -> DataFrame:
@@ -91,27 +92,35 @@ def health(cpu: Column, memory: Column, disk: Column, error_rate: Column) -> Col
     return F.struct(F.when(error_rate > 0.1, "unhealthy").when(F.size(issues) > 0, "warning").otherwise("healthy").alias("status"), issues.alias("issues"))
 
 
+def graph_health(connectivity: Column, missing: Column) -> Column:
+    """Struct of status and issues of the graph: less than 80 % of the nodes connected, or rows that lack a required value."""
+    issues = F.array_compact(F.array(F.when(connectivity < 0.8, F.lit("low_connectivity")), F.when(missing > 0, F.lit("missing_values"))))
+    return F.struct(F.when(F.size(issues) > 0, "degraded").otherwise("healthy").alias("status"), issues.alias("issues"))
+
+
 def severity(category: Column) -> Column:
     return F.when(category.isin("database", "system"), "critical").when(category.isin("validation", "processing"), "error").when(category == "network", "warning").otherwise("info")
 
 
 def breaker_states(log: DataFrame, key: str = "circuit", failures: int = 5, window: int = 10, reset_seconds: float = 60.0) -> DataFrame:
-    """key, ts, success, state after each call of a circuit breaker.
+    """key, t (microseconds), success, state after each call of a circuit breaker.
 
     Five failures among the last ten that lie within ten seconds open it; a call a minute later half-opens it; a success closes
-    and clears it.  A circuit's calls must be walked in order: one circuit is one task, its state a few numbers.
+    and clears it.  A success with fewer than five failures in the 70 seconds before it finds the circuit closed, or open for
+    a minute or more, and clears it either way: what was before no longer matters.  Logs are cut at such successes, and the
+    pieces are walked apart, each in order; its state is a few numbers.
     """
 
     def run(batches):
         import pyarrow as pa
 
-        circuit, state, held, opened = None, "closed", [], 0.0
+        at, state, held, opened = None, "closed", [], 0.0
         for batch in batches:
-            keys, times, oks = (c.to_pylist() for c in batch.columns)
+            keys, pieces, times, oks = (c.to_pylist() for c in batch.columns)
             out = []
-            for k, t, ok in zip(keys, times, oks):
-                if k != circuit:
-                    circuit, state, held, opened = k, "closed", [], 0.0
+            for k, piece, t, ok in zip(keys, pieces, times, oks):
+                if (k, piece) != at:
+                    at, state, held, opened = (k, piece), "closed", [], 0.0
                 s = t / 1e6
                 if state == "open" and s - opened >= reset_seconds:
                     state = "half_open"
@@ -123,11 +132,22 @@ def breaker_states(log: DataFrame, key: str = "circuit", failures: int = 5, wind
                         if sum(s - x <= window for x in held) >= failures:
                             state, opened = "open", s
                 out.append(state)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[key, "t", "success", "state"])
-
-    rows = log.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "success").repartition(key).sortWithinPartitions(key, "t", "success")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(out, pa.string())], names=[key, "t", "success", "state"])
+
+    look = int((reset_seconds + window) * 1_000_000)
+    rows = log.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "success").withColumn("_span", F.floor(F.col("t") / look))
+    # A row sees its own span and the one before, so that no window holds more than two spans of a circuit.
+    both = rows.withColumn("_at", F.explode(F.array(F.col("_span"), F.col("_span") + 1)))
+    near = Window.partitionBy(key, "_at").orderBy("t").rangeBetween(-look, 0)
+    free = both.withColumn("_new", F.coalesce("success", F.lit(False)) & (F.count_if(~F.coalesce("success", F.lit(False))).over(near) < failures)).filter("_at = _span").drop("_at")
+    # Pieces are numbered inside each span, and counted before it.
+    order = Window.partitionBy(key, "_span").orderBy("t", "success").rowsBetween(Window.unboundedPreceding, 0)
+    own = free.withColumn("_own", F.sum(F.col("_new").cast("int")).over(order))
+    before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    per = own.groupBy(key, "_span").agg(F.max("_own").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # a row a span
+    placed = own.join(per, [key, "_span"]).select(key, (F.col("_base") + F.col("_own")).alias("_piece"), "t", "success").repartition(key, "_piece").sortWithinPartitions(key, "_piece", "t", "success")
     kind = log.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, t long, success boolean, state string")
+    return placed.mapInArrow(run, f"`{key}` {kind}, t long, success boolean, state string")
 
 
 def lru_victim(entries: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.vector import cosine, literal, mean_vector
-from graphloom.operators.graph import both_ways, simple, undirected
+from graphloom.operators.graph import PropertyGraph, both_ways, community_center, simple, undirected
 from graphloom.operators.iterative import ego_distances, ego_edges
 from graphloom.session import cut
 
@@ -70,40 +72,86 @@ def ranked(subgraph_nodes: DataFrame, scores: DataFrame, k: int = 10) -> DataFra
     return rank.withColumn("score", 0.7 * F.col("relevance") + 0.3 * (1 - overlap)).select("subgraph", "score").orderBy(F.desc("score"), "subgraph").limit(k)
 
 
-def best_first(relationships: DataFrame, vectors: DataFrame, centers: list, query: list[float], max_subgraphs: int = 5, depth: int = 3) -> tuple[list, DataFrame]:
+def best_first(relationships: DataFrame, vectors: DataFrame, centers: list, query: list[float], max_subgraphs: int = 5, depth: int = 3, branch: int = 5) -> tuple[list, DataFrame]:
     """Visit order and nodes (center, id, dist): the node most like the query is taken from the queue, its ego subgraph kept, its neighbours queued.
 
-    The queue holds ids of at most ``max_subgraphs`` neighbourhoods' best nodes, ``max_subgraphs`` of each, so it stays small.
+    Of each node taken, the ``branch`` best neighbours that weren't taken are queued, so the queue holds at most
+    max_subgraphs * branch ids and the centres.  Neighbours are fetched for all queued nodes at once.
     """
     edges = cut(simple(relationships))
     scored = cut(vectors.select("id", cosine(F.col("embedding"), literal(query)).alias("s")))
+    ways = both_ways(edges)
+    best = Window.partitionBy("src").orderBy(F.desc("s"), "id")
     queue = {r["id"]: r["s"] for r in scored.filter(F.col("id").isin(*centers)).collect()}
+    near: dict = {}
     done: list = []
     while queue and len(done) < max_subgraphs:
         node = min(queue, key=lambda i: (-queue[i], i))
+        if node not in near:
+            wanted = [i for i in queue if i not in near]
+            # No more than max_subgraphs nodes are taken ever, so the branch best others are among these.
+            rows = ways.filter(F.col("src").isin(*wanted)).select("src", F.col("dst").alias("id")).join(scored, "id").withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= branch + max_subgraphs)
+            near.update({i: [] for i in wanted})
+            for r in rows.orderBy("src", "_k").collect():
+                near[r["src"]].append((r["id"], r["s"]))
         queue.pop(node)
         done.append(node)
-        near = both_ways(edges).filter(F.col("src") == node).select(F.col("dst").alias("id")).join(scored, "id").filter(~F.col("id").isin(*done))
-        for r in near.orderBy(F.desc("s"), "id").limit(max_subgraphs).collect():
-            queue.setdefault(r["id"], r["s"])
+        for i, s in [x for x in near[node] if x[0] not in done][:branch]:
+            queue.setdefault(i, s)
     kind = relationships.schema["src"].dataType.simpleString()
     picked = relationships.sparkSession.createDataFrame([(d,) for d in done], f"id {kind}")
     return done, ego_distances(edges, picked, depth)
 
 
-def staged(relationships: DataFrame, vectors: DataFrame, membership: DataFrame, query: list[float], depth: int = 2, least: float = 0.7, k: int = 10, community_least: float = 0.3) -> dict[str, DataFrame]:
-    """Five stages: communities, ego subgraphs of their most similar nodes, context, refinement, ranking."""
+def expanded(nodes: DataFrame, context: DataFrame, relationships: DataFrame) -> DataFrame:
+    """subgraph, id: nodes of subgraphs and, of the context nodes (id), those that have an edge with one of theirs."""
+    ways = undirected(relationships.select("src", "dst"))
+    more = nodes.join(ways.select(F.col("src").alias("id"), "dst"), "id").join(context.select(F.col("id").alias("dst")), "dst", "left_semi").select("subgraph", F.col("dst").alias("id"))
+    return nodes.select("subgraph", "id").union(more).distinct()
+
+
+def staged(
+    relationships: DataFrame, vectors: DataFrame, membership: DataFrame, query: list[float], depth: int = 2, least: float = 0.7, k: int = 10, community_least: float = 0.3, max_subgraphs: int = 100
+) -> dict[str, DataFrame]:
+    """Five stages: communities, subgraphs, context, refinement and ranking, each as a table.
+
+    Communities like the query are chosen; best-first subgraphs are taken among their nodes; the 50 nodes outside with most
+    links to them are merged into the subgraphs that they touch; those with a mean similarity of ``least`` stay and are ranked.
+    """
     chosen = cut(communities_for(vectors, membership, query, least=community_least))
-    members = membership.join(chosen, "community", "left_semi")
+    members = cut(membership.join(chosen, "community", "left_semi"))
     inside = relationships.join(members.select(F.col("id").alias("src")), "src", "left_semi").join(members.select(F.col("id").alias("dst")), "dst", "left_semi")
-    starts = cut(top_similar(vectors.join(members, "id", "left_semi"), "id", query, k))
-    egos = cut(ego_distances(simple(inside), starts, depth))
+    own = vectors.join(members, "id", "left_semi")
+    centers = community_center(inside, members).select("id")  # one for each of at most five communities
+    order, egos = best_first(inside, own, [r["id"] for r in centers.collect()], query, max_subgraphs, depth)
+    egos = cut(egos)
     context = cut(connected_outside(relationships, egos.select("id").distinct()))
-    nodes = egos.select(F.col("center").alias("subgraph"), "id")
+    nodes = cut(expanded(egos.select(F.col("center").alias("subgraph"), "id"), context, relationships))
     rel = cut(relevance(nodes, vectors, query))
     kept = rel.filter(F.col("relevance") >= least)
-    scores = kept.withColumn("seq", F.row_number().over(Window.orderBy(F.desc("relevance"), "subgraph")))  # at most k rows
-    return {"communities": chosen, "subgraphs": egos, "edges": ego_edges(relationships, egos, depth), "context": context, "relevance": rel, "ranked": ranked(nodes, scores, k)}
+    scores = kept.withColumn("seq", F.row_number().over(Window.orderBy(F.desc("relevance"), "subgraph")))  # at most max_subgraphs rows
+    return {"communities": chosen, "subgraphs": egos, "nodes": nodes, "edges": ego_edges(relationships, egos, depth), "context": context, "relevance": rel, "ranked": ranked(nodes, scores, k)}
+
+
+def query_graph(graph: PropertyGraph, vectors: DataFrame, membership: DataFrame, query: str, encode: Callable[[str], list[float]], cache: DataFrame | None = None, **stages) -> dict[str, object]:
+    """A question answered by the graph: its vector from the cache (by md5) or the encoder, then ``staged``, then a confidence.
+
+    Gives the stages' tables, ``hit`` (whether the vector was cached), ``cached`` (the row for the cache, where it wasn't)
+    and ``confidence``, the mean of size and density of the subgraphs.
+    """
+    spark = vectors.sparkSession
+    asked = spark.createDataFrame([(query,)], "text string").withColumn("id", F.md5("text"))
+    held = asked.join(cache.select("id", "embedding"), "id").first() if cache is not None else None
+    vector = [float(x) for x in (held["embedding"] if held else encode(query))]
+    out: dict[str, object] = dict(staged(graph.relationships, vectors, membership, vector, **stages))
+    size = out["nodes"].groupBy("subgraph").agg(F.count("*").alias("n_nodes"))
+    a, b = (out["nodes"].select("subgraph", F.col("id").alias(c)) for c in ("src", "dst"))
+    links = graph.relationships.select("src", "dst").join(a, "src").join(b, ["subgraph", "dst"]).groupBy("subgraph").agg(F.count("*").alias("n_edges"))
+    sized = size.join(links, "subgraph", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0))).join(out["ranked"].select("subgraph"), "subgraph", "left_semi")
+    out |= {"hit": held is not None, "confidence": subgraph_confidence(sized)}
+    if held is None:
+        out["cached"] = asked.select("id", F.lit(vector).cast("array<float>").alias("embedding"), F.current_timestamp().alias("created_at"))
+    return out
 
 
 def stage_rates(communities: Column, subgraphs: Column, expansion: Column, share: Column, final: Column) -> Column:

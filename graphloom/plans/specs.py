@@ -22,14 +22,17 @@ def query_kind(spec: dict[str, Any]) -> str:
     return "entity_search"
 
 
-def compile_spec(graph: PropertyGraph, spec: dict[str, Any]) -> DataFrame:
-    """A DataFrame for a query of any of the five kinds.  ``filters``, ``sort`` and ``limit`` hold for all."""
+def compile_spec(graph: PropertyGraph, spec: dict[str, Any], interactive: bool = False) -> DataFrame:
+    """A DataFrame for a query of any of the five kinds.  ``filters``, ``sort`` and ``limit`` hold for all.
+
+    An ``interactive`` query that names no limit gets that of ``with_limit``.
+    """
     out = {"path_finding": _paths, "pattern_matching": _pattern, "aggregation": _aggregate, "subgraph": _subgraph, "entity_search": _entities}[query_kind(spec)](graph, spec)
     if spec.get("filters") and query_kind(spec) != "aggregation":
         out = out.filter(condition(spec["filters"]))
     if spec.get("sort"):
         out = out.orderBy(*[F.desc(s[1:]) if s.startswith("-") else F.asc(s) for s in ([spec["sort"]] if isinstance(spec["sort"], str) else spec["sort"])])
-    return out.limit(spec["limit"]) if spec.get("limit") else out
+    return out.limit(spec["limit"]) if spec.get("limit") else with_limit(out) if interactive else out
 
 
 def with_limit(df: DataFrame, limit: int = LIMIT) -> DataFrame:
