@@ -13,6 +13,7 @@ from graphloom.functions import text as T
 from graphloom.functions import vector as V
 from graphloom.operators import events as E
 from graphloom.operators import graph as G
+from graphloom.operators import ingest as N
 from graphloom.operators import iterative as I
 from graphloom.operators import paths as P
 from graphloom.operators import retrieval as R
@@ -138,7 +139,8 @@ def x_query_parameters(spark, d):
     return q.groupBy("name", "value").agg(F.count("*").alias("n"))
 
 
-@query()
+# The five texts of QTEXT have these parts: a pattern, a condition and two items; a pattern and two items; an item; an item; none.
+@query("SELECT DISTINCT query_id, [1, 1, 0, 0, 0][query_id % 5 + 1]::INT AS patterns, [1, 0, 0, 0, 0][query_id % 5 + 1]::INT AS conditions, [2, 2, 1, 1, 0][query_id % 5 + 1]::INT AS items FROM query_stats")
 def x_query_components(spark, d):
     c = _query_strings(spark, d).select("query_id", T.query_components(F.col("q")).alias("c"))
     return c.select("query_id", F.size("c.patterns").alias("patterns"), F.size("c.conditions").alias("conditions"), F.size("c.items").alias("items"))
@@ -160,9 +162,10 @@ def s_row_text(spark, d):
     return p.select("p_partkey", D.row_text(p).alias("line"))
 
 
-@query("SELECT count(*) AS num_rows, 6 AS num_columns FROM part")
+@query("SELECT count(*) AS num_rows, 6 AS num_columns, 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' AS columns, 'bigint,string,string,string,int,double' AS data_types FROM part")
 def s_profile(spark, d):
-    return D.profile(table(spark, d, "part")).select("num_rows", "num_columns")
+    p = D.profile(table(spark, d, "part"))
+    return p.select("num_rows", "num_columns", F.array_join("columns", ",").alias("columns"), F.array_join(F.transform("columns", lambda c: F.element_at("data_types", c)), ",").alias("data_types"))
 
 
 @query(r"""SELECT CASE lower(regexp_extract(source_path, '(\.[^./\\]+)$', 1)) WHEN '.csv' THEN 'csv' WHEN '.docx' THEN 'docx' WHEN '.pdf' THEN 'pdf' END AS reader, count(*) AS n FROM source_documents GROUP BY 1""")
@@ -182,8 +185,18 @@ def s_embedding_upsert(spark, d):
 
 @query("""WITH n AS (SELECT DISTINCT doc_id FROM extraction_results), c AS (SELECT DISTINCT doc_id FROM source_documents) SELECT c.doc_id IS NOT NULL AS hit, count(*) AS n FROM n LEFT JOIN c USING (doc_id) GROUP BY 1""")
 def j_cache_probe(spark, d):
-    wanted, held = table(spark, d, "extraction_results").select("doc_id").distinct(), table(spark, d, "source_documents").select("doc_id", F.lit(True).alias("h")).distinct()
-    return wanted.join(held, "doc_id", "left").groupBy(F.col("h").isNotNull().alias("hit")).agg(F.count("*").alias("n"))
+    """Texts (here ids of documents) looked up in a cache that is keyed by their md5."""
+    wanted = table(spark, d, "extraction_results").select(F.col("doc_id").alias("text")).distinct()
+    held = table(spark, d, "source_documents").select(F.md5("doc_id").alias("id"), F.array(F.lit(1.0)).alias("embedding")).distinct()
+    return K.cached_embeddings(wanted, held).groupBy("hit").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT id, coalesce(access_count, 0) AS n, last_accessed FROM embedding_cache WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_accessed DESC NULLS LAST) = 1)
+SELECT id, n + (n >= 3)::INT AS access_count, CASE WHEN n >= 3 THEN TIMESTAMP '2030-01-01' ELSE last_accessed END AS last_accessed FROM c""")
+def s_cache_access(spark, d):
+    """The cache after its often used entries were looked up once more."""
+    c = U.latest_by_key(table(spark, d, "embedding_cache").filter("id IS NOT NULL"), "id", "last_accessed")
+    return K.accessed(c, c.filter("access_count >= 3").select("id"), F.lit("2030-01-01").cast("timestamp_ntz")).select("id", "access_count", "last_accessed")
 
 
 @query("SELECT doc_id, count(*) AS n FROM source_documents GROUP BY 1 HAVING count(*) > 1")
@@ -242,7 +255,7 @@ MEN = "men AS (SELECT 'part_' || l_partkey AS entity_id, 'order_' || l_orderkey
 def f_document_entities(spark, d):
     m = U.upsert_mentions(X.mention_calls(spark, d))
     e = X.entities(spark, d).select(F.col("id").alias("entity_id"), "text", "type")
-    return m.join(e, "entity_id").select("doc_id", "text", "type", "mention_count", F.array_join(F.array_sort("chunks"), ",").alias("chunks"))
+    return m.join(e, "entity_id").select("doc_id", "text", "type", "mention_count", F.array_join("chunks", ",").alias("chunks"))
 
 
 @query(with_(REL) + "SELECT type, count(*) AS n FROM rel WHERE src IN (SELECT 'supplier_' || s_suppkey FROM supplier WHERE s_acctbal > 0) AND dst NOT IN ('nation_1', 'nation_2') GROUP BY 1")
@@ -392,10 +405,20 @@ INNER = "inr AS (SELECT a.community, r.* FROM rel r JOIN mem a ON a.id = r.src J
 
 
 @query(with_(ENT, REL, SUPPLY_GROUPS, INNER) + """, n AS (SELECT community, count(*) AS node_count, count(*) FILTER (type = 'SUPPLIER') AS supplier_count, count(*) FILTER (type = 'CUSTOMER') AS customer_count FROM mem LEFT JOIN ent USING (id) GROUP BY 1)
-SELECT n.*, coalesce(e, 0) AS internal_edges, round(coalesce(e, 0) / (node_count * (node_count - 1)), 8) AS density FROM n LEFT JOIN (SELECT community, count(*) AS e FROM inr GROUP BY 1) USING (community)""")
+SELECT n.*, coalesce(e, 0) AS internal_edges, round(coalesce(e, 0) / (node_count * (node_count - 1)), 8) AS density, round(2 * coalesce(e, 0) / node_count, 8) AS avg_degree FROM n LEFT JOIN (SELECT community, count(*) AS e FROM inr GROUP BY 1) USING (community)""")
 def a_community_statistics(spark, d):
     s = G.community_statistics(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d), ("SUPPLIER", "CUSTOMER"))
-    return s.drop("avg_degree").withColumn("density", F.round("density", 8))
+    return s.withColumn("density", F.round("density", 8)).withColumn("avg_degree", F.round("avg_degree", 8))
+
+
+@query(with_(ENT, REL, SUPPLY_GROUPS, INNER) + """, n AS (SELECT community, count(*) AS size FROM mem GROUP BY 1 HAVING count(*) >= 3), e AS (SELECT community, count(*) AS e FROM inr GROUP BY 1),
+nt AS (SELECT community, string_agg(type || ':' || n, ',' ORDER BY type) AS node_types FROM (SELECT community, type, count(*) AS n FROM mem JOIN ent USING (id) GROUP BY ALL) GROUP BY 1),
+et AS (SELECT community, string_agg(type || ':' || n, ',' ORDER BY type) AS edge_types FROM (SELECT community, type, count(*) AS n FROM inr GROUP BY ALL) GROUP BY 1)
+SELECT 'comm_' || (row_number() OVER (ORDER BY size DESC, n.community) - 1) AS comm_id, n.community, size, round(coalesce(e, 0) / (size * (size - 1)), 8) AS density, round(2 * coalesce(e, 0) / size, 8) AS avg_degree, node_types, edge_types FROM n LEFT JOIN e USING (community) LEFT JOIN nt USING (community) LEFT JOIN et USING (community)""")
+def a_community_objects(spark, d):
+    c = G.community_objects(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d))
+    flat = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias(m)
+    return c.select("comm_id", "community", "size", F.round("density", 8).alias("density"), F.round("avg_degree", 8).alias("avg_degree"), flat("node_types"), flat("edge_types"))
 
 
 @query(with_(REL, SUPPLY_GROUPS, INNER) + """, e AS (SELECT community, src AS id FROM inr UNION ALL SELECT community, dst FROM inr), g AS (SELECT community, id, count(*) AS degree FROM e GROUP BY ALL)
@@ -420,10 +443,10 @@ def a_global_statistics(spark, d):
     return S.global_statistics(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d)).withColumn("avg_size", F.round("avg_size", 6))
 
 
-@query(with_(OPS) + "SELECT count(*) AS total, round(avg(success::INT), 6) AS success_rate, round(avg((NOT success)::INT), 6) AS error_rate, round(avg(duration), 6) AS avg_time FROM ops")
+@query(with_(OPS) + "SELECT count(*) AS total, round(avg(success::INT), 6) AS success_rate, round(avg((NOT success)::INT), 6) AS error_rate, round(avg(duration), 6) AS avg_time, round(avg((user_id % 3 > 0)::INT), 6) AS retry_rate FROM ops")
 def a_operation_metrics(spark, d):
-    m = E.operation_metrics(X.operations(spark, d))
-    return m.select("total", *[F.round(c, 6).alias(c) for c in ("success_rate", "error_rate", "avg_time")])
+    m = E.operation_metrics(X.operations(spark, d).withColumn("retries", F.col("user_id") % 3))
+    return m.select("total", *[F.round(c, 6).alias(c) for c in ("success_rate", "error_rate", "avg_time", "retry_rate")])
 
 
 @query(with_(OPS) + "SELECT op_type, count(duration) AS n, round(avg(duration), 6) AS mean, min(duration) AS low, max(duration) AS high, round(stddev_pop(duration), 6) AS std FROM ops GROUP BY 1")
@@ -489,7 +512,7 @@ def u_entities_by_id(spark, d):
 
 @query(with_(MEN) + "SELECT entity_id, doc_id, array_to_string(chunks, ',') AS chunks, mention_count FROM men")
 def u_mentions(spark, d):
-    return U.upsert_mentions(X.mention_calls(spark, d)).select("entity_id", "doc_id", F.array_join(F.array_sort("chunks"), ",").alias("chunks"), "mention_count")
+    return U.upsert_mentions(X.mention_calls(spark, d)).select("entity_id", "doc_id", F.array_join("chunks", ",").alias("chunks"), "mention_count")
 
 
 @query(with_(PS) + "SELECT src, dst, type, confidence, occurrence_count FROM ps")
@@ -506,6 +529,65 @@ def u_update_delete(spark, d):
     return U.delete(changed, c.filter("c_nationkey = 7").select("id"), none)[0].drop("c_nationkey")
 
 
+@query(with_(ENT, REL) + ", gone AS (SELECT 'supplier_' || s_suppkey AS id FROM supplier WHERE s_nationkey IN (3, 4)) SELECT 'node' AS kind, type, count(*) AS n FROM ent WHERE id NOT IN (SELECT id FROM gone) GROUP BY ALL UNION ALL SELECT 'edge', type, count(*) FROM rel WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) GROUP BY ALL")
+def u_delete_cascade(spark, d):
+    gone = table(spark, d, "supplier").filter("s_nationkey IN (3, 4)").select(X.ident("supplier", "s_suppkey").alias("id"))
+    left, edges = U.delete(X.entities(spark, d), gone, X.relationships(spark, d), cascade=True)
+    return left.groupBy(F.lit("node").alias("kind"), "type").agg(F.count("*").alias("n")).union(edges.groupBy(F.lit("edge").alias("kind"), "type").agg(F.count("*").alias("n")))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_name, c_mktsegment, CASE c_custkey % 5 WHEN 0 THEN 'update' WHEN 1 THEN 'delete' WHEN 2 THEN 'create' WHEN 3 THEN 'merge' ELSE 'fly' END AS op FROM customer)
+SELECT 'c' || c_custkey AS id, CASE WHEN op IN ('update', 'merge') THEN 'changed' ELSE c_name END AS name, c_mktsegment AS segment FROM c WHERE op <> 'delete' UNION ALL SELECT 'n' || c_custkey, c_name, NULL FROM c WHERE op = 'create'""")
+def u_operations(spark, d):
+    """A batch of operations of all kinds; creates of ids that are there fail and leave them as they are."""
+    c = table(spark, d, "customer")
+    rows = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    kind = F.element_at(F.array(*map(F.lit, ("update", "delete", "create", "merge", "fly"))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    named = lambda prefix, value: (F.concat(F.lit(prefix), F.col("c_custkey").cast("string")).alias("id"), F.create_map(F.lit("name"), value).alias("data"))
+    ops = c.select((F.col("c_custkey") * 2).alias("seq"), kind.alias("operation"), *named("c", F.lit("changed")))
+    more = c.filter("c_custkey % 5 = 2").select((F.col("c_custkey") * 2 + 1).alias("seq"), F.lit("create").alias("operation"), *named("n", F.col("c_name")))
+    return N.apply_operations(rows, spark.createDataFrame([], "src string, dst string"), ops.union(more))[0]
+
+
+CHUNKS = rf"""c AS (
+ SELECT doc_id, text, 0 AS s, CASE WHEN length(text) <= 1000 THEN length(text) ELSE coalesce(nullif(length(regexp_extract(substr(text, 2, 1000), '^(?s:.*){BLANK}')), 0), 1000) END AS e FROM documents WHERE length(regexp_replace(text, '{BLANK}', '', 'g')) > 0
+ UNION ALL
+ SELECT doc_id, text, n, CASE WHEN length(text) <= n + 1000 THEN length(text) ELSE n + coalesce(nullif(length(regexp_extract(substr(text, n + 2, 1000), '^(?s:.*){BLANK}')), 0), 1000) END
+ FROM (SELECT doc_id, text, CASE WHEN e - 200 > s THEN e - 200 ELSE e END AS n FROM c WHERE e < length(text))),
+k AS (SELECT doc_id, s, regexp_replace(substr(text, s + 1, e - s), '^{BLANK}+|{BLANK}+$', '', 'g') AS t FROM c),
+w AS (SELECT doc_id, s, regexp_extract(t, '[A-Za-z]+') AS a, regexp_extract(t, '^(?s:.*)([^A-Za-z]|^)([A-Za-z]+)', 2) AS z FROM k WHERE t <> '')"""
+INGEST = f"WITH RECURSIVE {CHUNKS}, x AS (SELECT doc_id, s, unnest(list_distinct([struct_pack(type := 'FIRST', text := a), struct_pack(type := 'LAST', text := z)])) AS e FROM w), m AS (SELECT doc_id, s, e.type AS type, e.text AS text FROM x WHERE e.text <> '') "
+
+
+def _ingested(spark, d):
+    """The documents taken in with an extractor that names the first and the last word of each chunk."""
+
+    def extractor(t):
+        first, last = F.regexp_extract(t, "[A-Za-z]+", 0), F.regexp_extract(t, r"(?s)^.*(?:[^A-Za-z]|^)([A-Za-z]+)", 1)
+        return F.concat(F.lit("Entities:\nFIRST: "), first, F.lit("\nLAST: "), last, F.lit("\n\nRelationships:\n"), first, F.lit(" - precedes - "), last)
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("error"), F.col("ingested_at").cast("timestamp").alias("ts"))
+    return N.ingest(docs, extractor)
+
+
+@query(INGEST + "SELECT type, text, md5(type || '#' || text) AS id, count(*) AS occurrence_count FROM m GROUP BY ALL")
+def u_ingest_entities(spark, d):
+    return _ingested(spark, d)["entities"].select("type", "text", "id", "occurrence_count")
+
+
+@query(INGEST + """, e AS (SELECT DISTINCT type, text FROM m), r AS (SELECT a, z FROM w WHERE a <> '' AND z <> '')
+SELECT md5(x.type || '#' || x.text) AS src, md5(y.type || '#' || y.text) AS dst, 'precedes' AS type, 0.8::DOUBLE AS confidence, count(*) AS occurrence_count FROM r JOIN e x ON x.text = a JOIN e y ON y.text = z GROUP BY ALL""")
+def u_ingest_relationships(spark, d):
+    return _ingested(spark, d)["relationships"].drop("created_at")
+
+
+@query(INGEST + """, n AS (SELECT doc_id, count(*) AS chunk_count FROM w GROUP BY 1)
+SELECT d.doc_id::VARCHAR AS doc_id, n.doc_id IS NOT NULL AS success, CASE WHEN n.doc_id IS NULL THEN 'no content' END AS error, coalesce(chunk_count, 0) AS chunk_count, 3 * coalesce(chunk_count, 0) AS entity_count, coalesce(chunk_count, 0) AS relationship_count FROM documents d LEFT JOIN n USING (doc_id)""")
+def u_ingest_status(spark, d):
+    """The line that opens the relationships is read as an entity without text too; it counts here, and is refused by validation."""
+    return _ingested(spark, d)["status"].drop("confidence")
+
+
 @query("SELECT sum(coalesce(len(entities), 0))::BIGINT AS entity_count, sum(coalesce(len(relationships), 0))::BIGINT AS relationship_count, sum(ceil(coalesce(len(entities), 0) / 1000))::BIGINT AS batch_count FROM extraction_results")
 def u_ingest_metrics(spark, d):
     return U.ingest_metrics(table(spark, d, "extraction_results"))
@@ -548,10 +630,10 @@ def t_lru_victim(spark, d):
 
 
 @query("""WITH f AS (SELECT doc_id AS key, max(ingested_at) AS mtime, max(length(coalesce(content, ''))) AS size FROM source_documents GROUP BY 1), r AS (SELECT *, sum(size) OVER (ORDER BY mtime, key) - size AS gone FROM f)
-SELECT count(*) AS n, max(key) AS last FROM r WHERE gone < (SELECT sum(size) FROM f) - 1000000""")
+SELECT key, mtime, size FROM r WHERE gone < (SELECT sum(size) FROM f) - 1000000""")
 def t_evicted(spark, d):
     f = table(spark, d, "source_documents").groupBy(F.col("doc_id").alias("key")).agg(F.max("ingested_at").alias("mtime"), F.max(F.length(F.coalesce("content", F.lit("")))).alias("size"))
-    return E.evicted(f, 1_000_000).agg(F.count("*").alias("n"), F.max("key").alias("last"))
+    return E.evicted(f, 1_000_000)
 
 
 @query(with_(SIM) + """, n AS (SELECT src, list(dst ORDER BY dst) AS l FROM sw GROUP BY 1)
@@ -626,14 +708,20 @@ def g_components_of_all(spark, d):
     return I.components(G.simple(X.relationships(spark, d))).groupBy("component").agg(F.count("*").alias("n"))
 
 
-@query(with_(REL, "s AS MATERIALIZED (SELECT DISTINCT src, dst FROM ways)", "g AS MATERIALIZED (SELECT src AS id, count(*) AS d FROM s GROUP BY 1)", rounds(20, "SELECT id, 1.0 / (SELECT count(*) FROM g) AS r FROM g", "SELECT s.dst AS id, 0.15 / (SELECT count(*) FROM g) + 0.85 * sum(p.r / g.d) AS r FROM s JOIN {last} p ON p.id = s.src JOIN g ON g.id = s.src GROUP BY 1")) + "SELECT id, round(r, 9) AS rank FROM r20")
+RANKS = ("s AS MATERIALIZED (SELECT DISTINCT src, dst FROM {w})", "g AS MATERIALIZED (SELECT src AS id, count(*) AS d FROM s GROUP BY 1)", rounds(60, "SELECT id, 1.0 / (SELECT count(*) FROM g) AS r FROM g", "SELECT s.dst AS id, 0.15 / (SELECT count(*) FROM g) + 0.85 * sum(p.r / g.d) AS r FROM s JOIN {last} p ON p.id = s.src JOIN g ON g.id = s.src GROUP BY 1"))
+# The first round whose total change is below a millionth for each node.
+LAST_RANK = "chg AS (" + " UNION ALL ".join(f"SELECT {i} AS i, (SELECT sum(abs(x.r - y.r)) FROM r{i} x JOIN r{i - 1} y USING (id)) AS c" for i in range(1, 61)) + "), stop AS (SELECT min(i) AS i FROM chg WHERE c < 1e-6 * (SELECT count(*) FROM g)), pr AS (" + " UNION ALL ".join(f"SELECT id, r FROM r{i}, stop WHERE stop.i = {i}" for i in range(1, 61)) + ")"
+
+
+@query(with_(REL, RANKS[0].replace("{w}", "ways"), *RANKS[1:], LAST_RANK) + "SELECT id, round(r, 9) AS rank FROM pr")
 def g_pagerank(spark, d):
     return I.pagerank(G.simple(X.relationships(spark, d))).withColumn("rank", F.round("rank", 9))
 
 
-@query(with_(SIM, rounds(30, "SELECT id, 1.0::DOUBLE AS x FROM sd", "SELECT l.id, (sum(m.x) + l.x) / 4 AS x FROM {last} l JOIN sw ON sw.dst = l.id JOIN {last} m ON m.id = sw.src GROUP BY l.id, l.x")) + "SELECT id, round(x / (SELECT sqrt(sum(x * x)) FROM r30), 6) AS centrality FROM r30")
+@query(with_(SIM, rounds(200, "SELECT id, 1.0::DOUBLE AS x FROM sd", "SELECT l.id, (sum(m.x) + l.x) / 4 AS x FROM {last} l JOIN sw ON sw.dst = l.id JOIN {last} m ON m.id = sw.src GROUP BY l.id, l.x")) + "SELECT id, round(x / (SELECT sqrt(sum(x * x)) FROM r200), 6) AS centrality FROM r200")
 def g_eigenvector(spark, d):
-    return I.eigenvector(X.sim_edges(spark, d)).withColumn("centrality", F.round("centrality", 6))
+    """To convergence: six digits stand where the whole change of a round is below 1e-9 for each node."""
+    return I.eigenvector(X.sim_edges(spark, d), 200, 1e-9).withColumn("centrality", F.round("centrality", 6))
 
 
 @query(with_(SIM, rounds(14, "SELECT id, d AS c FROM sd", "SELECT id, max(least(c, k)) AS c FROM (SELECT sw.src AS id, least(m.c, l.c) AS c, row_number() OVER (PARTITION BY sw.src ORDER BY least(m.c, l.c) DESC) AS k FROM sw JOIN {last} l ON l.id = sw.src JOIN {last} m ON m.id = sw.dst) GROUP BY 1")) + "SELECT id, c::INT AS core FROM r14")
@@ -641,7 +729,7 @@ def g_core_numbers(spark, d):
     return I.core_numbers(X.sim_edges(spark, d))
 
 
-@query()
+@query(with_(REL, "s AS MATERIALIZED (SELECT DISTINCT src, dst FROM ways)", rounds(14, "SELECT src AS id, count(*) AS c FROM s GROUP BY 1", "SELECT id, max(least(c, k)) AS c FROM (SELECT s.src AS id, least(m.c, l.c) AS c, row_number() OVER (PARTITION BY s.src ORDER BY least(m.c, l.c) DESC) AS k FROM s JOIN {last} l ON l.id = s.src JOIN {last} m ON m.id = s.dst) GROUP BY 1")) + "SELECT id, c::INT AS core FROM r14")
 def g_core_numbers_of_all(spark, d):
     return I.core_numbers(G.simple(X.relationships(spark, d)))
 
@@ -651,21 +739,24 @@ def g_label_propagation(spark, d):
     return I.label_propagation(X.sim_edges(spark, d))
 
 
-@query()
+DIST = "WITH RECURSIVE " + SIM + ", walk(source, id, dist) AS (SELECT id, id, 0 FROM sd UNION SELECT w.source, sw.dst, w.dist + 1 FROM walk w JOIN sw ON sw.src = w.id WHERE w.dist < 16), dist AS MATERIALIZED (SELECT source, id, min(dist) AS dist FROM walk GROUP BY ALL) "
+# Shortest paths from each source level by level, and for each node the share of those of all pairs that pass it.
+SIGMA = ", l0 AS (SELECT id AS source, id, 1.0::DOUBLE AS sigma FROM sd)" + "".join(f", l{k} AS MATERIALIZED (SELECT l.source, sw.dst AS id, sum(sigma) AS sigma FROM l{k - 1} l JOIN sw ON sw.src = l.id JOIN dist ON dist.source = l.source AND dist.id = sw.dst AND dist.dist = {k} GROUP BY ALL)" for k in range(1, 17)) + ", sg AS MATERIALIZED (SELECT source, id, dist, sigma FROM (" + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(17)) + ") JOIN dist USING (source, id))"
+BETWEEN = SIGMA + ", bt AS MATERIALIZED (SELECT sd.id, coalesce(b, 0) / (((SELECT count(*) FROM sd) - 1) * ((SELECT count(*) FROM sd) - 2)) AS b FROM sd LEFT JOIN (SELECT x.id, sum(x.sigma * y.sigma / z.sigma) AS b FROM sg x JOIN sg y ON y.source = x.id AND y.dist > 0 JOIN sg z ON z.source = x.source AND z.id = y.id AND z.dist = x.dist + y.dist WHERE x.dist > 0 GROUP BY 1) USING (id))"
+
+
+@query(DIST + BETWEEN + " SELECT id, round(b, 9) AS betweenness FROM bt")
 def g_betweenness(spark, d):
     return I.betweenness(X.sim_edges(spark, d)).withColumn("betweenness", F.round("betweenness", 9))
 
 
-@query()
+@query(DIST + BETWEEN + " SELECT id FROM bt WHERE b >= (SELECT quantile_cont(b, 0.9) FROM bt)")
 def g_bridges(spark, d):
     """Nodes whose betweenness is at least the 90th percentile."""
     b = I.betweenness(X.sim_edges(spark, d))
     return b.join(F.broadcast(b.agg(F.percentile("betweenness", F.lit(0.9)).alias("p"))), F.lit(True)).filter("betweenness >= p").select("id")  # one row
 
 
-DIST = "WITH RECURSIVE " + SIM + ", walk(source, id, dist) AS (SELECT id, id, 0 FROM sd UNION SELECT w.source, sw.dst, w.dist + 1 FROM walk w JOIN sw ON sw.src = w.id WHERE w.dist < 16), dist AS (SELECT source, id, min(dist) AS dist FROM walk GROUP BY ALL) "
-
-
 @query(DIST + "SELECT round(avg(dist), 6) AS avg_path_length, max(dist) AS diameter FROM dist WHERE dist > 0")
 def g_path_lengths(spark, d):
     """Over all reachable pairs; the largest component holds them all here."""
@@ -684,15 +775,16 @@ def g_clique_communities(spark, d):
 
 @query()
 def g_spectral(spark, d):
-    return I.spectral_communities(X.sim_edges(spark, d))
+    """Communities of three nodes or more; the test compares the vectors and groups with a dense solver."""
+    return I.spectral_communities(X.sim_edges(spark, d), least_size=3)
 
 
 @query(with_(REL) + """, c AS (SELECT 'nation_' || n_nationkey AS id FROM nation), s AS (SELECT DISTINCT src, dst FROM ways), h1 AS (SELECT c.id AS center, dst AS id FROM c JOIN s ON s.src = c.id),
 h2 AS (SELECT DISTINCT h1.center, s.dst AS id FROM h1 JOIN s ON s.src = h1.id), a AS (SELECT id AS center, id, 0 AS dist FROM c UNION ALL SELECT center, id, 1 FROM h1 UNION ALL SELECT center, id, 2 FROM h2), b AS (SELECT center, id, min(dist) AS dist FROM a GROUP BY ALL)
-SELECT center, dist, count(*) AS n FROM b GROUP BY ALL""")
+SELECT center, id, dist FROM b""")
 def g_ego_networks(spark, d):
     centers = table(spark, d, "nation").select(X.ident("nation", "n_nationkey").alias("id"))
-    return I.ego_distances(G.simple(X.relationships(spark, d)), centers, 2).groupBy("center", "dist").agg(F.count("*").alias("n"))
+    return I.ego_distances(G.simple(X.relationships(spark, d)), centers, 2)
 
 
 @query(with_(REL) + """, s AS (SELECT DISTINCT src, dst FROM ways), a AS (SELECT 'region_0' AS id, 0 AS dist UNION ALL SELECT dst, 1 FROM s WHERE src = 'region_0' UNION ALL SELECT t.dst, 2 FROM s JOIN s t ON t.src = s.dst WHERE s.src = 'region_0'), b AS (SELECT id, min(dist) AS dist FROM a GROUP BY 1)
@@ -702,7 +794,9 @@ def g_ego_edges(spark, d):
     return specs.compile_spec(X.graph(spark, d), spec)
 
 
-@query()
+@query(with_(SIM, "nb AS (SELECT src, list(dst) AS l FROM sw GROUP BY 1)", "al AS MATERIALIZED (SELECT x.src AS a, y.src AS b FROM nb x JOIN nb y ON x.src <> y.src WHERE len(list_intersect(x.l, y.l)) / len(list_distinct(list_concat(x.l, y.l))) >= 0.75)", rounds(12, "SELECT DISTINCT a AS id, a AS c FROM al", "SELECT l.id, least(l.c, min(m.c)) AS c FROM {last} l JOIN al ON al.a = l.id JOIN {last} m ON m.id = al.b GROUP BY l.id, l.c"))
++ """, mg AS (SELECT DISTINCT coalesce(x.c, a) AS src, coalesce(y.c, b) AS dst FROM sim LEFT JOIN r12 x ON x.id = a LEFT JOIN r12 y ON y.id = b WHERE coalesce(x.c, a) <> coalesce(y.c, b))
+SELECT (SELECT count(*) - floor(count(*) * 0.5)::BIGINT FROM mg) AS edges_left, (SELECT count(*) FROM r12) AS merged_nodes, (SELECT count(DISTINCT c) FROM r12) AS groups, (SELECT count(*) FROM sim) AS edges_before""")
 def g_compression(spark, d):
     edges = X.similar(spark, d).select("src", "dst", F.lit("similar").alias("type"), F.col("sim").alias("confidence"))
     left, groups = G.compress(edges, 0.5, I.components)
@@ -736,10 +830,10 @@ def g_importance_ranking(spark, d):
 @query(DIST + ", " + TRI + """, t AS (SELECT id, count(*) AS t FROM (SELECT unnest([x, y, z]) AS id FROM tri) GROUP BY 1), cl AS (SELECT avg(CASE WHEN d < 2 THEN 0 ELSE 2 * coalesce(t, 0) / (d * (d - 1)) END) AS c FROM sd LEFT JOIN t USING (id)),
 comp AS (SELECT source, min(id) AS c, count(*) AS n FROM dist GROUP BY 1), top AS (SELECT c FROM comp ORDER BY n DESC, c DESC LIMIT 1)
 SELECT (SELECT count(*) FROM sd) AS n_nodes, (SELECT count(*) FROM sim) AS n_edges, round((SELECT 2 * count(*) FROM sim) / ((SELECT count(*) FROM sd) * ((SELECT count(*) FROM sd) - 1)), 9) AS density, round((SELECT c FROM cl), 9) AS avg_clustering,
- (SELECT count(DISTINCT c) FROM comp) AS n_components, (SELECT max(n) FROM comp) AS largest, (SELECT max(dist) FROM dist JOIN comp USING (source) WHERE c = (SELECT c FROM top)) AS diameter""")
+ (SELECT count(DISTINCT c) FROM comp) AS n_components, (SELECT max(n) FROM comp) AS largest, (SELECT max(dist) FROM dist JOIN comp USING (source) WHERE c = (SELECT c FROM top)) AS diameter, (SELECT round(avg(dist), 6) FROM dist JOIN comp USING (source) WHERE dist > 0 AND c = (SELECT c FROM top)) AS avg_path_length, (SELECT round(corr(x.d, y.d), 6) FROM sw JOIN sd x ON x.id = src JOIN sd y ON y.id = dst) AS assortativity""")
 def g_metrics(spark, d):
     m = I.graph_metrics(X.sim_edges(spark, d))
-    return m.select("n_nodes", "n_edges", F.round("density", 9).alias("density"), F.round("avg_clustering", 9).alias("avg_clustering"), "n_components", "largest", "diameter")
+    return m.select("n_nodes", "n_edges", F.round("density", 9).alias("density"), F.round("avg_clustering", 9).alias("avg_clustering"), "n_components", "largest", "diameter", F.round("avg_path_length", 6).alias("avg_path_length"), F.round("assortativity", 6).alias("assortativity"))
 
 
 @query()
@@ -748,13 +842,22 @@ def g_node_metrics(spark, d):
     return I.node_metrics(e, table(spark, d, "embeddings").filter("label = 3").select(F.col("vec_id").alias("id")))
 
 
-@query()
+@query("WITH RECURSIVE " + SIM + """, c AS MATERIALIZED (SELECT a, b, x.label AS l FROM sim JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b AND y.label = x.label), w AS MATERIALIZED (SELECT l, a AS src, b AS dst FROM c UNION ALL SELECT l, b, a FROM c), g AS MATERIALIZED (SELECT l, src AS id, count(*) AS d FROM w GROUP BY ALL),
+t AS (SELECT l, id, count(*) AS t FROM (SELECT e.l, unnest([e.a, e.b, f.b]) AS id FROM c e JOIN c f ON e.b = f.a AND e.l = f.l JOIN c h ON h.a = e.a AND h.b = f.b AND h.l = e.l) GROUP BY ALL), cl AS (SELECT l, avg(CASE WHEN d < 2 THEN 0 ELSE 2 * coalesce(t, 0) / (d * (d - 1)) END) AS c FROM g LEFT JOIN t USING (l, id) GROUP BY 1),
+walk(l, source, id, dist) AS (SELECT l, id, id, 0 FROM g UNION SELECT k.l, k.source, w.dst, k.dist + 1 FROM walk k JOIN w ON w.src = k.id AND w.l = k.l WHERE k.dist < 24), dist AS (SELECT l, source, id, min(dist) AS dist FROM walk GROUP BY ALL), far AS (SELECT l, max(dist) AS far, count(*) AS reached FROM dist GROUP BY 1),
+n AS (SELECT l, count(*) AS n, sum(d) / 2 AS m FROM g GROUP BY 1), h AS (SELECT l, string_agg(id, ',' ORDER BY k) AS hubs FROM (SELECT l, id, row_number() OVER (PARTITION BY l ORDER BY d DESC, id) AS k FROM g) WHERE k <= 3 GROUP BY 1)
+SELECT label AS community, size, round(coalesce(2 * m / (n * (n - 1)), 0), 9) AS density, round(coalesce(c, 0), 9) AS avg_clustering, CASE WHEN reached = n * n THEN far::DOUBLE ELSE 'inf'::DOUBLE END AS diameter, hubs
+FROM (SELECT label, count(*) AS size FROM embeddings GROUP BY 1) LEFT JOIN n ON n.l = label LEFT JOIN cl ON cl.l = label LEFT JOIN far ON far.l = label LEFT JOIN h ON h.l = label""")
 def g_community_shapes(spark, d):
     m = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("community"))
-    return I.community_metrics(X.sim_edges(spark, d), m)
+    c = I.community_metrics(X.sim_edges(spark, d), m)
+    return c.select("community", "size", F.round("density", 9).alias("density"), F.round("avg_clustering", 9).alias("avg_clustering"), "diameter", F.array_join(F.transform("hubs", lambda x: x.cast("string")), ",").alias("hubs"))
 
 
-@query()
+@query(DIST + BETWEEN + """, tr AS MATERIALIZED (SELECT e.a AS x, e.b AS y, f.b AS z FROM sim e JOIN sim f ON e.b = f.a JOIN sim g ON g.a = e.a AND g.b = f.b),
+q AS MATERIALIZED (SELECT DISTINCT t.x || '|' || t.y || '|' || t.z AS a, u.x || '|' || u.y || '|' || u.z AS b FROM tr t JOIN tr u ON len(list_intersect([t.x, t.y, t.z], [u.x, u.y, u.z])) >= 2), """ + rounds(20, "SELECT DISTINCT a AS id, a AS c FROM q", "SELECT l.id, min(m.c) AS c FROM {last} l JOIN q ON q.a = l.id JOIN {last} m ON m.id = q.b GROUP BY 1") + """
+SELECT 'hubs' AS pattern, least(10, (SELECT count(*) FROM sd)) AS n UNION ALL SELECT 'bridges', count(*) FROM bt WHERE b >= (SELECT quantile_cont(b, 0.9) FROM bt)
+UNION ALL SELECT 'dense', count(*) FROM (SELECT DISTINCT c, unnest(string_split(id, '|')) FROM r20) UNION ALL SELECT 'motifs', (SELECT count(*) > 0 FROM tr)::INT + (SELECT sum(d * (d - 1) // 2) > 3 * (SELECT count(*) FROM tr) FROM sd)::INT""")
 def g_patterns(spark, d):
     p = I.patterns(X.sim_edges(spark, d))
     rows = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("pattern"), "n") for k, df in p.items()]
@@ -891,8 +994,11 @@ def v_rewards(spark, d):
 # ---- summaries ----
 
 
-@query(with_(ENT, REL) + """, k AS (SELECT w.src, w.type, w.dst, e.text, row_number() OVER (PARTITION BY w.src ORDER BY w.confidence DESC, w.dst, w.type) AS k FROM ways w JOIN ent e ON e.id = w.dst)
-SELECT ent.id, 'Entity: ' || ent.text || '\nType: ' || ent.type || '\nRelationships:\n' || coalesce(r, '') AS content FROM ent LEFT JOIN (SELECT src, string_agg('- ' || type || ' ' || text, '\n' ORDER BY k) AS r FROM k WHERE k <= 10 GROUP BY 1) ON src = ent.id""")
+NODES = """k AS (SELECT w.src, w.type, w.dst, e.text, row_number() OVER (PARTITION BY w.src ORDER BY w.confidence DESC, w.dst, w.type) AS k FROM ways w JOIN ent e ON e.id = w.dst),
+nodes AS (SELECT ent.id, 'Entity: ' || ent.text || '\nType: ' || ent.type || '\nRelationships:\n' || coalesce(r, '') AS content FROM ent LEFT JOIN (SELECT src, string_agg('- ' || type || ' ' || text, '\n' ORDER BY k) AS r FROM k WHERE k <= 10 GROUP BY 1) ON src = ent.id)"""
+
+
+@query(with_(ENT, REL, NODES) + "SELECT id, content FROM nodes")
 def z_node_summaries(spark, d):
     return S.node_summaries(X.entities(spark, d), X.relationships(spark, d))
 
@@ -902,21 +1008,28 @@ def z_node_metadata(spark, d):
     return S.node_metadata(X.entities(spark, d), X.relationships(spark, d))
 
 
-@query(with_(ENT, REL, SUPPLY_GROUPS, INNER) + """, n AS (SELECT community, count(*) AS node_count FROM mem GROUP BY 1), i AS (SELECT community, count(*) AS e FROM inr GROUP BY 1),
-l AS (SELECT community, '- ' || a.text || ' ' || inr.type || ' ' || b.text AS line, row_number() OVER (PARTITION BY community ORDER BY confidence DESC, src, dst, inr.type) AS k FROM inr JOIN ent a ON a.id = src JOIN ent b ON b.id = dst), j AS (SELECT community, string_agg(line, '\n' ORDER BY k) AS r FROM l WHERE k <= 20 GROUP BY 1)
-SELECT community, node_count, 'Nodes: ' || node_count || '\nDensity: ' || printf('%.2f', round_even(coalesce(e, 0) / (node_count * (node_count - 1)), 2)) || '\nTypes: \nRelations:\n' || coalesce(r, '') AS content FROM n LEFT JOIN i USING (community) LEFT JOIN j USING (community) WHERE node_count >= 3""")
+GROUPS = """n AS (SELECT community, count(*) AS node_count FROM mem GROUP BY 1), i AS (SELECT community, count(*) AS e FROM inr GROUP BY 1),
+l AS (SELECT community, '- ' || a.text || ' ' || inr.type || ' ' || b.text AS line, row_number() OVER (PARTITION BY community ORDER BY confidence DESC, src, dst, inr.type) AS k FROM inr JOIN ent a ON a.id = src JOIN ent b ON b.id = dst), j AS (SELECT community, string_agg(line, '\n' ORDER BY k) AS r FROM l WHERE k <= 20 GROUP BY 1),
+groups AS (SELECT community, node_count, 'Nodes: ' || node_count || '\nDensity: ' || printf('%.2f', round_even(coalesce(e, 0) / (node_count * (node_count - 1)), 2)) || '\nTypes: \nRelations:\n' || coalesce(r, '') AS content FROM n LEFT JOIN i USING (community) LEFT JOIN j USING (community) WHERE node_count >= 3)"""
+
+
+@query(with_(ENT, REL, SUPPLY_GROUPS, INNER, GROUPS) + "SELECT community, node_count, content FROM groups")
 def z_community_summaries(spark, d):
     return S.community_summaries(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d)).select("community", "node_count", "content")
 
 
-@query()
+COMMUNITY_SIZES = "cs AS (SELECT community, count(*) AS s FROM mem GROUP BY 1)"
+GLOBAL = """SELECT count(*) AS n_communities, (SELECT sum(s) FROM (SELECT s FROM cs ORDER BY s DESC, community LIMIT 10))::BIGINT AS covered, 'Communities: ' || count(*) || '\nAverage size: ' || printf('%.1f', round_even(avg(s), 1)) || '\nLargest:\n' || (SELECT string_agg('- ' || community || ': ' || s, '\n' ORDER BY s DESC, community::VARCHAR DESC) FROM (SELECT * FROM cs ORDER BY s DESC, community LIMIT 10)) AS content FROM cs"""
+
+
+@query(with_(SUPPLY_GROUPS, COMMUNITY_SIZES) + GLOBAL)
 def z_global_summary(spark, d):
     return S.global_summary(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d))
 
 
-@query(with_(SUPPLY_GROUPS) + "SELECT 'node' AS level, count(DISTINCT id) AS n FROM mem UNION ALL SELECT 'community', count(*) FROM (SELECT community FROM mem GROUP BY 1 HAVING count(*) >= 3) UNION ALL SELECT 'global', 1")
+@query(with_(ENT, REL, SUPPLY_GROUPS, INNER, NODES, GROUPS, COMMUNITY_SIZES, f"whole AS ({GLOBAL})") + "SELECT id, 'node' AS level, content FROM nodes WHERE id IN (SELECT id FROM mem) UNION ALL SELECT 'comm_' || community, 'community', content FROM groups UNION ALL SELECT 'global', 'global', content FROM whole")
 def z_hierarchy(spark, d):
-    return S.hierarchy(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d)).groupBy("level").agg(F.count("*").alias("n"))
+    return S.hierarchy(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d))
 
 
 @query("SELECT level, count(*) AS n, max(last_updated) AS latest FROM (SELECT id, lower(trim(level)) AS level, max(last_updated) AS last_updated FROM graph_summaries GROUP BY ALL) GROUP BY 1")
@@ -968,6 +1081,20 @@ def w_health(spark, d):
     return q.select("query_id", E.health(F.col("n"), F.col("m"), F.lit(0), F.lit(0.0))["status"].alias("status"))
 
 
+@query(with_(OPS) + "SELECT op_type, CASE WHEN avg((NOT success)::INT) > 0.1 THEN 'unhealthy' ELSE 'healthy' END AS status, round(avg((NOT success)::INT), 6) AS error_rate FROM ops GROUP BY 1")
+def w_operation_health(spark, d):
+    """Health of each kind of operation by its own error rate."""
+    rates = X.operations(spark, d).groupBy("op_type").agg(F.avg((~F.col("success")).cast("int")).alias("error_rate"))
+    return rates.select("op_type", E.health(F.lit(0), F.lit(0), F.lit(0), F.col("error_rate"))["status"].alias("status"), F.round("error_rate", 6).alias("error_rate"))
+
+
+@query(with_(ENT, REL) + ", l AS (SELECT DISTINCT src AS id FROM ways) SELECT CASE WHEN count(l.id) / count(*) < 0.8 OR (SELECT count(*) FROM rel WHERE confidence IS NULL) > 0 THEN 'degraded' ELSE 'healthy' END AS status, round(count(l.id) / count(*), 6) AS connectivity, (SELECT count(*) FROM rel WHERE confidence IS NULL) AS missing FROM ent LEFT JOIN l USING (id)")
+def w_graph_health(spark, d):
+    r = X.relationships(spark, d)
+    c = G.connectivity(X.entities(spark, d), r).join(B.integrity(r, ["confidence"]).agg(F.sum("nulls").alias("missing")), F.lit(True))  # one row each
+    return c.select(E.graph_health(F.col("connectivity"), F.col("missing"))["status"].alias("status"), F.round("connectivity", 6).alias("connectivity"), "missing")
+
+
 @query("SELECT coalesce(query_type, 'none') AS category, CASE WHEN query_type = 'path' THEN 'info' ELSE 'info' END AS severity, '[' || coalesce(query_type, 'none') || '] took ' || max(query_id) AS message FROM query_stats GROUP BY 1, 2, query_type")
 def w_error_messages(spark, d):
     q = table(spark, d, "query_stats").groupBy(F.coalesce("query_type", F.lit("none")).alias("category")).agg(F.max("query_id").alias("q"))
@@ -1024,6 +1151,12 @@ def y_spec_entities(spark, d):
     return specs.compile_spec(X.graph(spark, d), {"criteria": {"type": "NATION"}, "fields": ["id", "text"], "sort": "text", "limit": 10})
 
 
+@query(with_(ENT) + "SELECT id, text FROM ent WHERE type = 'CUSTOMER' ORDER BY id LIMIT 1000")
+def y_interactive_limit(spark, d):
+    """A query that names no limit, asked interactively."""
+    return specs.compile_spec(X.graph(spark, d), {"criteria": {"type": "CUSTOMER"}, "fields": ["id", "text"], "sort": "id"}, interactive=True)
+
+
 @query(SIMPLE + "SELECT array_to_string(nodes, '>') AS path FROM walk WHERE id = 'nation_6' AND hops <= 4")
 def y_spec_path(spark, d):
     p = specs.compile_spec(X.PropertyGraph(X.entities(spark, d), X.located(spark, d), X.entities(spark, d)), {"path": {"start": "nation_1", "end": "nation_6", "max_length": 4}})

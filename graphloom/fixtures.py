@@ -72,7 +72,7 @@ GEO = """geo AS (SELECT 'customer_' || c_custkey AS src, 'nation_' || c_nationke
   UNION ALL SELECT 'supplier_' || s_suppkey, 'nation_' || s_nationkey, 'RELATED_TO', 'located_in', 1.0, 1 FROM supplier
   UNION ALL SELECT 'nation_' || n_nationkey, 'region_' || n_regionkey, 'RELATED_TO', 'part_of', 1.0, 1 FROM nation)"""
 REL = f"{PS}, {GEO}, rel AS (SELECT * FROM ps UNION ALL SELECT * FROM geo), ways AS (SELECT * FROM rel UNION ALL SELECT dst AS src, src AS dst, label, type, confidence, occurrence_count FROM rel)"
-SIM = """sim AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE s >= 0.3),
-  sw AS (SELECT a AS src, b AS dst FROM sim UNION ALL SELECT b, a FROM sim), sd AS (SELECT src AS id, count(*) AS d FROM sw GROUP BY 1)"""
+SIM = """sim AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS s FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE s >= 0.3),
+  sw AS MATERIALIZED (SELECT a AS src, b AS dst FROM sim UNION ALL SELECT b, a FROM sim), sd AS MATERIALIZED (SELECT src AS id, count(*) AS d FROM sw GROUP BY 1)"""
 TRI = "tri AS (SELECT e.a AS x, e.b AS y, f.b AS z FROM sim e JOIN sim f ON e.b = f.a JOIN sim g ON g.a = e.a AND g.b = f.b)"
 OPS = "ops AS (SELECT event_id, ts, event_type AS op_type, value AS duration, event_type <> 'error' AS success, user_id FROM events)"

@@ -139,7 +139,7 @@ def test_specs(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,name,value\n1,test,100\n2,,\n")
     (tmp_path / "broken.docx").write_text("plain")
-    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4\ntest")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4\ntest")  # a header and no objects
     (tmp_path / "skip.txt").write_text("no")
     with zipfile.ZipFile(tmp_path / "c.DOCX", "w") as z:
         z.writestr("word/document.xml", '<w:document xmlns:w="u"><w:body><w:p><w:r><w:t>First</w:t></w:r></w:p><w:p><w:r><w:t>Second</w:t></w:r></w:p></w:body></w:document>')
@@ -151,6 +151,147 @@ def test_files(spark, tmp_path):
     assert rows["broken.docx"].error and rows["b.pdf"].error
 
 
+def pdf(pages, deflate=True, table=None, info=b""):
+    """A PDF file with a content stream for each page."""
+    import zlib
+
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+    out = [b"%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n", b"2 0 obj << /Type /Pages /Kids [" + kids + b"] /Count %d /Resources << /Font << /F1 3 0 R >> >> >> endobj\n" % len(pages)]
+    out.append(b"3 0 obj << /Type /Font " + (b"/ToUnicode 4 0 R" if table else b"") + b" >> endobj\n5 0 obj << " + info + b" >> endobj\n")
+    if table:
+        out.append(b"4 0 obj << /Length %d >> stream\n%s\nendstream endobj\n" % (len(table), table))
+    for i, p in enumerate(pages):
+        body = zlib.compress(p) if deflate else p
+        out.append(b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj\n" % (10 + 2 * i, 11 + 2 * i))
+        out.append(b"%d 0 obj << /Length %d %s >> stream\n%s\nendstream endobj\n" % (11 + 2 * i, len(body), b"/Filter /FlateDecode" if deflate else b"", body))
+    return b"".join(out) + b"trailer << /Root 1 0 R /Info 5 0 R >>\nstartxref\n0\n%%EOF"
+
+
+@pytest.mark.parametrize("deflate", [True, False])
+def test_pdf(deflate):
+    pages = [b"BT /F1 12 Tf 72 700 Td (Hello \\(first\\) page) Tj 0 -14 Td [(Wo) 20 (rld) -300 (again)] TJ ET", b"", b"BT (Caf\xe9 \\101) ' ET"]
+    text, meta = D.read_pdf(pdf(pages, deflate, info=b"/Title (A \\(b\\)) /Author <FEFF00C4>"))
+    assert text == "Hello (first) page\nWorld again\nCafé A" and meta == {"title": "A (b)", "author": "Ä", "num_pages": "3"}
+    table = b"begincmap 1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <0004> <0061> <0005> <0006> [<00660069> <1F600>] endbfrange endcmap"
+    assert D.read_pdf(pdf([b"BT /F1 9 Tf <00010002> Tj [<0003>] TJ ET"], deflate, table))[0] == "Hab"
+    for bad in (b"%PDF-1.4\ntest", b"", b"no pdf", pdf(pages).replace(b"/Root", b"/Encrypt 9 0 R /Root")):
+        with pytest.raises(ValueError):
+            D.read_pdf(bad)
+
+
+@pytest.mark.parametrize("pace", [0.7, 4.0, 30.0])
+def test_breaker_in_pieces_equals_one_walk(spark, pace):
+    import random
+
+    rng = random.Random(1)
+    log, t = [], 0.0
+    for _ in range(800):
+        t += rng.expovariate(1 / pace)
+        log.append((rng.choice("aab"), T0 + dt.timedelta(seconds=round(t, 3)), rng.random() < (0.2 if int(t / 100) % 2 else 0.8)))
+    want, held = [], {}
+    for k, at, ok in sorted(log):
+        state, fails, opened = held.get(k, ("closed", [], 0.0))
+        s = (at - T0).total_seconds()
+        if state == "open" and s - opened >= 60:
+            state = "half_open"
+        if state != "open":
+            if ok:
+                state, fails = "closed", []
+            else:
+                fails = [*fails, s][-10:]
+                if sum(s - x <= 10 for x in fails) >= 5:
+                    state, opened = "open", s
+        held[k] = state, fails, opened
+        want.append((k, s, ok, state))
+    df = spark.createDataFrame(log, "circuit string, ts timestamp, success boolean")
+    zero = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    got = sorted((r.circuit, round((r.t - zero) / 1e6, 3), r.success, r.state) for r in E.breaker_states(df).collect())
+    assert got == sorted((k, round(s, 3), ok, state) for k, s, ok, state in want)
+    assert ("open" in {s for *_, s in got}) == (pace < 30)
+    assert E.breaker_states(df.limit(0)).count() == 0
+
+
+def test_ingest_a_folder(spark, tmp_path):
+    from graphloom.operators import ingest as N
+
+    (tmp_path / "a.csv").write_text("name,city\nAnn,Rome\nBob,Oslo\n")
+    (tmp_path / "b.pdf").write_bytes(pdf([b"BT (Ann met Bob) Tj ET"]))
+    (tmp_path / "c.docx").write_text("plain")
+    extractor = lambda t: F.concat(F.lit("Entities:\nPERSON: Ann\nPERSON: "), F.when(F.contains(t, F.lit("Bob")), "Bob").otherwise(""), F.lit("\n: nobody\n\nRelationships:\nAnn - knows - Bob\nAnn - knows - Eve"))
+    parts = N.ingest_folder(spark, str(tmp_path), extractor, chunk_size=20, overlap=5)
+    assert {r.text for r in parts["entities"].collect()} == {"Ann", "Bob"}
+    status = parts["status"].collect()
+    assert sorted(r.success for r in status) == [False, True, True] and all(r.chunk_count > 0 for r in status if r.success) and [r.error for r in status if not r.success][0].startswith("BadZipFile")
+    g = N.graph_of(parts)
+    ids = {r.text: r.id for r in g.entities.collect()}
+    assert {(r.src, r.dst, r.type) for r in g.relationships.collect()} == {(ids["Ann"], ids["Bob"], "knows")}
+    assert {r.entity_id for r in g.mentions.collect()} == set(ids.values())
+
+
+def test_ingest_names_what_it_does_not_take(spark):
+    from graphloom.operators import ingest as N
+
+    rows = [("a", "text", None, T0), ("a", "older", None, T0 - dt.timedelta(1)), ("b", None, None, T0), ("c", " \n", None, T0), ("d e", "text", None, T0), ("f", None, "broken", T0), (None, "text", None, T0)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id string, content string, error string, ts timestamp, type string")
+    parts = N.ingest(docs, lambda t: F.concat(F.lit("Entities:\nWORD: "), t))
+    assert {r.doc_id: r.error for r in parts["status"].collect()} == {"a": None, "b": "no content", "c": "no content", "d e": "format_error", "f": "broken"}
+    assert [(r.type, r.text) for r in parts["entities"].collect()] == [("WORD", "text")] and parts["relationships"].count() == 0
+    assert N.ingest(docs.limit(0), lambda t: t)["status"].count() == 0
+
+
+def test_operations_of_a_batch(spark):
+    from graphloom.operators import ingest as N
+
+    table = spark.createDataFrame([("a", "x", None), ("b", "y", "1"), ("c", "z", "2")], "id string, name string, note string")
+    rel = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    ops = [(1, "create", "d", {"name": "new"}), (2, "create", "a", {}), (3, "update", "a", {"name": "u"}), (4, "update", "a", {"name": "v"}), (5, "delete", "b", None), (6, "update", "q", {}), (7, "merge", "e", {"note": "m"}), (8, "fly", "a", {}), (9, "read", "d", None), (10, "create", None, {})]
+    left, edges, results = N.apply_operations(table, rel, spark.createDataFrame(ops, "seq int, operation string, id string, data map<string,string>"))
+    assert {tuple(r) for r in left.collect()} == {("a", "v", None), ("c", "z", "2"), ("d", "new", None), ("e", None, "m")} and edges.count() == 0
+    assert {r.seq: r.error for r in results.collect() if not r.success} == {2: "duplicate", 6: "not_found", 8: "unknown_operation", 10: "missing_required"}
+    assert N.apply_operations(table, rel, spark.createDataFrame(ops[4:5], "seq int, operation string, id string, data map<string,string>"), cascade=False)[0].count() == 3
+
+
+def test_query_graph(spark):
+    from graphloom.operators import retrieval as R
+    from graphloom.operators.graph import PropertyGraph
+
+    vec = {i: [1.0, i / 10, 0.0] if i < 6 else [0.0, i / 10, 1.0] for i in range(12)}
+    vectors = spark.createDataFrame([(i, v) for i, v in vec.items()], "id int, embedding array<double>")
+    members = spark.createDataFrame([(i, "near" if i < 6 else "far") for i in vec], "id int, community string")
+    rel = spark.createDataFrame([(i, i + 1, "t", 1.0) for i in range(11)], "src int, dst int, type string, confidence double")
+    asked = []
+    encode = lambda text: asked.append(text) or [1.0, 0.2, 0.0]
+    out = R.query_graph(PropertyGraph(members, rel, members), vectors, members, "who?", encode, depth=1, max_subgraphs=4)
+    assert not out["hit"] and asked == ["who?"] and [r.community for r in out["communities"].collect()] == ["near"]
+    assert out["context"].first().id == 6 and {r.subgraph for r in out["nodes"].filter("id = 6").collect()} <= set(range(6))
+    ranked = out["ranked"].collect()
+    assert ranked and ranked == sorted(ranked, key=lambda r: (-r.score, r.subgraph)) and 0 < out["confidence"].first()[0] <= 1
+    again = R.query_graph(PropertyGraph(members, rel, members), vectors, members, "who?", encode, out["cached"], depth=1, max_subgraphs=4)
+    assert again["hit"] and asked == ["who?"] and "cached" not in again
+
+
+def test_best_first_equals_a_plain_queue(spark):
+    import random
+
+    from graphloom.operators import retrieval as R
+
+    rng = random.Random(7)
+    vec = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(40)}
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)})
+    query = [1.0, 0.5, -0.2, 0.1]
+    cos = lambda v: sum(a * b for a, b in zip(v, query)) / (sum(a * a for a in v) * sum(b * b for b in query)) ** 0.5
+    near = {i: sorted({b for a, b in pairs if a == i} | {a for a, b in pairs if b == i}, key=lambda j: (-cos(vec[j]), j)) for i in vec}
+    queue, done = {3, 8}, []
+    while queue and len(done) < 12:
+        node = min(queue, key=lambda i: (-cos(vec[i]), i))
+        queue.remove(node)
+        done.append(node)
+        queue |= {j for j in [j for j in near[node] if j not in done][:3]}
+    rel = spark.createDataFrame(pairs, "src int, dst int")
+    order, _ = R.best_first(rel, spark.createDataFrame(list(vec.items()), "id int, embedding array<double>"), [3, 8], query, 12, 1, 3)
+    assert order == done
+
+
 def test_tables(spark, tmp_path):
     first = spark.createDataFrame([("a", 1, T0), ("b", 2, T0)], "id string, v int, ts timestamp")
     K.write_table(first, str(tmp_path / "t"))
