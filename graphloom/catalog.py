@@ -639,10 +639,7 @@ def t_evicted(spark, d):
 @query(with_(SIM) + """, n AS (SELECT src, list(dst ORDER BY dst) AS l FROM sw GROUP BY 1)
 SELECT a, b, round(len(list_intersect(x.l, y.l)) / len(list_distinct(list_concat(x.l, y.l))), 6) AS jaccard FROM sim JOIN n x ON x.src = a JOIN n y ON y.src = b""")
 def t_neighbour_sets(spark, d):
-    e = X.sim_edges(spark, d)
-    n = G.both_ways(e).groupBy("src").agg(F.collect_set("dst").alias("l"))
-    x, y = n.select(F.col("src").alias("a"), F.col("l").alias("x")), n.select(F.col("src").alias("b"), F.col("l").alias("y"))
-    return e.join(x, "a").join(y, "b").select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    return G.edge_similarity(X.sim_edges(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("SELECT doc_id, ingested_at FROM source_documents QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC) > 1")
@@ -898,6 +895,29 @@ def path_all_simple(spark, d):
     return p.select(F.array_join("nodes", ">").alias("path"), "hops")
 
 
+TYPED = "WITH RECURSIVE " + GEO + """, gw AS (SELECT src, dst, type FROM geo UNION SELECT dst, src, type FROM geo), walk(id, nodes, types, hops) AS (SELECT 'nation_1', ['nation_1'], []::VARCHAR[], 0 UNION ALL
+  SELECT gw.dst, list_append(w.nodes, gw.dst), list_append(w.types, gw.type), w.hops + 1 FROM walk w JOIN gw ON gw.src = w.id WHERE w.hops < 5 AND w.id <> 'nation_6' AND NOT list_contains(w.nodes, gw.dst)) """
+
+
+@query(TYPED + "SELECT array_to_string(nodes, '>') AS path, array_to_string(types, '>') AS types, hops AS distance, 0.0::DOUBLE AS semantic, 1.0::DOUBLE AS confidence, hops::DOUBLE AS total FROM walk WHERE id = 'nation_6'")
+def path_cost_records(spark, d):
+    """The cost records of the paths of ``path_all_simple``."""
+    e = P.costed(X.located(spark, d))
+    r = P.path_records(P.simple_paths(e, "nation_1", "nation_6"), e)
+    return r.select(F.array_join("nodes", ">").alias("path"), F.array_join("relationships.type", ">").alias("types"), "distance", "semantic", "confidence", "total")
+
+
+@query(with_(SIM, "q AS MATERIALIZED (SELECT vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))) AS s FROM embeddings)",
+"cst AS MATERIALIZED (SELECT src, dst, round((1 + 0.6 * (1 - s.s) + 0.4 * (1 - (x.s + y.s) / 3)) * 1000000)::BIGINT AS cost FROM (SELECT a AS src, b AS dst, s FROM sim UNION ALL SELECT b, a, s FROM sim) s JOIN q x ON x.id = src JOIN q y ON y.id = dst)",
+rounds(5, "SELECT vec_id AS start, vec_id AS id, 0::BIGINT AS cost FROM embeddings WHERE label = 3", "SELECT start, dst AS id, min(l.cost + c.cost) AS cost FROM {last} l JOIN cst c ON c.src = l.id GROUP BY ALL")) + "SELECT start, id, min(cost) AS cost FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5) WHERE start <> id AND id IN (SELECT vec_id FROM embeddings WHERE label = 4) GROUP BY ALL")
+def path_semantic(spark, d):
+    """Least costs from the vectors of one label to those of another, where edges away from a query's vector cost more."""
+    e, q = _vectors(spark, d)
+    rel = X.similar(spark, d).select("src", "dst", F.lit("similar").alias("type"), F.col("sim").alias("confidence"))
+    ids = lambda label: e.filter(F.col("community") == label).select("id")
+    return P.cheapest_paths(P.costed(rel, e.select("id", "embedding"), q), ids(3), targets=ids(4)).select("start", "id", "cost")
+
+
 @query()
 def path_all_simple_whole(spark, d):
     """All simple paths over the whole graph; ``path_all_simple`` leaves the parts out."""
@@ -980,7 +1000,8 @@ def v_staged(spark, d):
 def v_best_first(spark, d):
     e, q = _vectors(spark, d)
     rel = X.similar(spark, d).select("src", "dst")
-    centers = [r["id"] for r in G.community_center(rel, e.select("id", "community")).select("id").collect()]
+    groups = e.select("id", "community").join(R.communities_for(e.select("id", "embedding"), e.select("id", "community"), q, least=-1.0), "community", "left_semi")
+    centers = [r["id"] for r in G.community_center(rel, groups).select("id").collect()]  # one for each of five communities
     return R.best_first(rel, e.select("id", "embedding"), centers, q)[1].groupBy("center", "dist").agg(F.count("*").alias("n"))
 
 

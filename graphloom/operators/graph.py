@@ -189,6 +189,19 @@ def shared_neighbours(edges: DataFrame, least: float) -> DataFrame:
     return common.withColumn("similarity", F.col("c") / (F.col("dx") + F.col("dy") - F.col("c"))).filter(F.col("similarity") >= least).select("x", "y", "similarity")
 
 
+def edge_similarity(edges: DataFrame) -> DataFrame:
+    """a, b, jaccard: each edge with the Jaccard similarity of its ends' neighbours.
+
+    Neighbours that both have close a triangle over the edge, so triangles are counted and no neighbourhood is collected.
+    """
+    sides = F.array(*[F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in (("x", "y"), ("x", "z"), ("y", "z"))])
+    shared = triangles(edges).select(F.explode(sides).alias("e")).groupBy("e.a", "e.b").agg(F.count("*").alias("c"))
+    d = degrees(edges)
+    j = edges.join(shared, ["a", "b"], "left").join(d.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(d.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
+    c = F.coalesce("c", F.lit(0))
+    return j.select("a", "b", (c / (F.col("da") + F.col("db") - c)).alias("jaccard"))
+
+
 def compress(relationships: DataFrame, level: float, components) -> tuple[DataFrame, DataFrame]:
     """Merge nodes with like neighbours and drop the weakest edges.
 

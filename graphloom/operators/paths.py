@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import jaccard
-from graphloom.functions.vector import cosine
+from graphloom.functions.vector import cosine, literal
 from graphloom.operators.graph import undirected
 from graphloom.session import cut
 
@@ -31,11 +31,36 @@ def path_cost(distance: Column, semantic: Column, confidence: Column) -> Column:
     return distance + SEMANTIC * semantic + (1 - SEMANTIC) * (1 - confidence)
 
 
-def costed(relationships: DataFrame) -> DataFrame:
-    """src, dst, type, confidence, cost in both orientations, the cheapest of parallel edges; integer micro-units keep sums exact."""
-    e = undirected(relationships.select("src", "dst", "type", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))).filter("src <> dst")
-    cost = F.round(edge_cost(F.col("confidence")) * 1_000_000).cast("long")
-    return e.groupBy("src", "dst").agg(F.min_by(F.struct("type", "confidence"), F.struct(cost.alias("c"), "type")).alias("e"), F.min(cost).alias("cost")).select("src", "dst", "e.type", "e.confidence", "cost")
+def costed(relationships: DataFrame, vectors: DataFrame | None = None, query: list[float] | None = None) -> DataFrame:
+    """src, dst, type, confidence, semantic, cost in both orientations, the cheapest of parallel edges; integer micro-units keep sums exact.
+
+    With ``vectors`` (id, embedding) and a query's vector, edges cost more the less their ends are like the query; relations
+    have no vector of their own.  Without them ``semantic`` is 0.
+    """
+    rows = relationships.select("src", "dst", "type", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    e = undirected(rows).filter("src <> dst")
+    if vectors is not None and query is not None:
+        like = vectors.select("id", cosine(F.col("embedding"), literal(query)).alias("_s"))
+        e = e.join(like.select(F.col("id").alias("src"), F.col("_s").alias("_a")), "src", "left").join(like.select(F.col("id").alias("dst"), F.col("_s").alias("_b")), "dst", "left")
+        e = e.withColumn("semantic", 1 - (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))) / 3)
+        cost = F.round(edge_cost(F.col("confidence"), F.col("semantic")) * 1_000_000).cast("long")
+    else:
+        e = e.withColumn("semantic", F.lit(0.0))
+        cost = F.round(edge_cost(F.col("confidence")) * 1_000_000).cast("long")
+    best = F.min_by(F.struct("type", "confidence", "semantic"), F.struct(cost.alias("c"), "type"))
+    return e.groupBy("src", "dst").agg(best.alias("e"), F.min(cost).alias("cost")).select("src", "dst", "e.type", "e.confidence", "e.semantic", "cost")
+
+
+def path_records(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """Paths (column ``nodes``) with their relationships (src, type, dst), distance in edges, mean semantic cost, mean confidence, and the record's total.
+
+    ``edges`` comes from ``costed``.  Equal paths count once.
+    """
+    steps = paths.select("nodes").distinct().filter(F.size("nodes") > 1).select("nodes", F.posexplode(F.expr("transform(sequence(0, size(nodes) - 2), i -> struct(nodes[i] AS src, nodes[i + 1] AS dst))")).alias("_at", "_e"))
+    each = steps.select("nodes", "_at", "_e.src", "_e.dst").join(edges, ["src", "dst"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "src", "type", "dst"))), lambda x: F.struct(x["src"].alias("src"), x["type"].alias("type"), x["dst"].alias("dst")))  # a path's own edges
+    out = each.groupBy("nodes").agg(ordered.alias("relationships"), F.count("*").alias("distance"), F.avg("semantic").alias("semantic"), F.avg("confidence").alias("confidence"))
+    return out.withColumn("total", path_cost(F.col("distance"), F.col("semantic"), F.col("confidence")))
 
 
 def cheapest_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = MAX_NODES, targets: DataFrame | None = None) -> DataFrame:
@@ -46,14 +71,15 @@ def cheapest_paths(edges: DataFrame, starts: DataFrame, max_nodes: int = MAX_NOD
     back.  A start has no path to itself.
     """
     edges = cut(edges.select("src", "dst", "cost"))
-    # With targets, a node is only of use while one of them is within the hops that are left.
-    reach = None if targets is None else hops_to(edges, targets, max_nodes - 2)
+    if targets is not None:
+        # An edge is only of use while a target is within the hops that are left at its end.
+        reach = hops_to(edges, targets, max_nodes - 2)
+        edges = cut(edges.join(reach.select(F.col("id").alias("dst"), "togo"), "dst").select("src", "dst", "cost", "togo"))
     levels = [starts.select(F.col("id").alias("start"), "id", F.lit(0).cast("long").alias("cost"))]
     for hop in range(1, max_nodes):
-        step = levels[-1].join(edges.select(F.col("src").alias("id"), "dst", F.col("cost").alias("c")), "id")
+        open_ = edges if targets is None else edges.filter(F.col("togo") < max_nodes - hop)
+        step = levels[-1].join(open_.select(F.col("src").alias("id"), "dst", F.col("cost").alias("c")), "id")
         least = step.groupBy("start", F.col("dst").alias("id")).agg(F.min(F.col("cost") + F.col("c")).alias("cost")).filter("start <> id")
-        if reach is not None:
-            least = least.join(reach.filter(F.col("togo") < max_nodes - hop).select("id"), "id", "left_semi")
         if len(levels) > 1:
             known = levels[1]
             for x in levels[2:]:

@@ -30,8 +30,10 @@ def upsert_entities(mentions: DataFrame, ts: str = "ts") -> DataFrame:
 def upsert_mentions(calls: DataFrame) -> DataFrame:
     """entity_id, doc_id, chunks, mention_count from calls entity_id, doc_id, chunk_id, seq.
 
-    A call names an entity once; chunks are kept in the order of their first call.
+    A call names an entity once; chunks are kept in the order of their first call.  Rows are hashed by entity and document
+    once, which all three steps keep to.
     """
+    calls = calls.select("entity_id", "doc_id", "chunk_id", "seq").repartition("entity_id", "doc_id")
     once = calls.groupBy("entity_id", "doc_id", "seq").agg(F.min("chunk_id").alias("chunk_id"))
     first = once.groupBy("entity_id", "doc_id", "chunk_id").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
     chunks = F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk_id"))), lambda x: x["chunk_id"])  # the chunks of one document

@@ -74,6 +74,28 @@ def test_similarity_join_in_blocks(spark, monkeypatch):
     assert sorted((r.src, r.dst) for r in similar_pairs(df, "id", "e", 0.8).collect()) == whole and whole
 
 
+@pytest.mark.parametrize("least", [-0.5, 0.0, 0.4, 0.9])
+def test_similar_pairs_equal_all_pairs(spark, monkeypatch, least):
+    import numpy as np
+
+    from graphloom.functions import vector
+
+    monkeypatch.setattr(vector, "BLOCK", 9)
+    monkeypatch.setattr(vector, "TILE", 4)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6, 5))[rng.integers(0, 6, 90)] + 0.2 * rng.standard_normal((90, 5))
+    x[7] = 0
+    x[20:45] = x[20]  # one pivot with several blocks
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    s = u @ u.T
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if s[i, j] >= least + 1e-9}
+    border = {(i, j) for i in range(90) for j in range(i + 1, 90) if abs(s[i, j] - least) < 1e-9}
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + [(99, None, 0), (None, [1.0] * 5, 0)], "id int, e array<double>, k int")
+    got = {(r.src, r.dst): r.sim for r in similar_pairs(df, "id", "e", least).collect()}
+    assert want <= set(got) <= want | border and all(v == pytest.approx(s[i, j]) for (i, j), v in got.items())
+    assert similar_pairs(df.limit(0), "id", "e", least).count() == 0
+
+
 def test_upserts(spark):
     log = spark.createDataFrame([("a", {"x": "1", "y": "2"}, 1, T0), ("a", {"x": "3", "y": None}, 2, T0), ("b", None, 1, T0)], "id string, properties map<string,string>, seq int, ts timestamp")
     got = {r.id: r for r in U.upsert_entities_by_id(log).collect()}
