@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.words import mix, sequences, word_hashes
+from graphloom.operators.iterative import components
 from graphloom.session import cut
 
 BLOCKS, MINIMA = 20, 4  # 20 anchors and 20 segments of three minima: a pair at 0.6 is missed once in about 80
@@ -221,3 +222,14 @@ def grouped_pairs(docs: DataFrame, least: float = 0.60, n: int = 3) -> DataFrame
     many = members.groupBy("cls").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("cls").alias("a"))
     equal = a.join(many, "a", "left_semi").join(b.withColumnRenamed("b", "a"), "a").filter(F.col("x") < F.col("y")).select("x", "y")
     return across.union(equal).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+
+
+def groups(members: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, group_id, n: documents that links lead to from one another, under the smallest doc_id, with their number.
+
+    Takes what ``near_duplicates`` gives.  A document without links is in the group of those with its own text.
+    """
+    found = components(links.select("a", "b")).withColumnRenamed("id", "cls")
+    placed = cut(members.join(found, "cls", "left").select("doc_id", F.coalesce("component", "cls").alias("_g")))
+    named = placed.groupBy("_g").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n"))
+    return placed.join(named, "_g").select("doc_id", "group_id", "n")
