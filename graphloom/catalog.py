@@ -146,6 +146,14 @@ def x_query_components(spark, d):
     return c.select("query_id", F.size("c.patterns").alias("patterns"), F.size("c.conditions").alias("conditions"), F.size("c.items").alias("items"))
 
 
+@query("SELECT DISTINCT query_id, 'tenant' AS name, coalesce(tenant, '') AS value FROM query_stats WHERE query_id IS NOT NULL UNION ALL SELECT DISTINCT query_id, 'kind', query_type FROM query_stats WHERE query_id IS NOT NULL AND query_type IS NOT NULL")
+def x_query_strings(spark, d):
+    """Quoted parameters of query strings."""
+    q = table(spark, d, "query_stats").filter("query_id IS NOT NULL").select("query_id", "tenant", "query_type").distinct()
+    text = F.concat(F.lit("CALL stats($tenant: '"), F.coalesce("tenant", F.lit("")), F.lit("', $n = 4"), F.coalesce(F.concat(F.lit(', $kind = "'), F.col("query_type"), F.lit('"')), F.lit("")), F.lit(")"))
+    return q.select("query_id", F.explode(T.query_strings(text)).alias("name", "value"))
+
+
 @query("""SELECT query_id, CASE WHEN s < 1000 AND h > 0.7 THEN 'full' WHEN s < 1000 AND h > 0.3 THEN 'partial' WHEN q THEN 'stream' ELSE 'none' END AS strategy, least(60, pow(2, query_id % 9))::DOUBLE AS backoff
 FROM (SELECT DISTINCT query_id, nodes_accessed AS s, cache_hits / nullif(nodes_accessed, 0) AS h, coalesce(index_hits = 0, false) AS q FROM query_stats)""")
 def x_cache_strategy(spark, d):
@@ -191,6 +199,15 @@ def j_cache_probe(spark, d):
     return K.cached_embeddings(wanted, held).groupBy("hit").agg(F.count("*").alias("n"))
 
 
+@query("SELECT p_name AS text, p_partkey <= 100 AS hit, CASE WHEN p_partkey <= 100 THEN p_partkey ELSE -length(p_name) END::DOUBLE AS x FROM (SELECT p_name, min(p_partkey) AS p_partkey FROM part WHERE p_name IS NOT NULL GROUP BY 1)")
+def j_embeddings(spark, d):
+    """Vectors of texts, from the cache where it has them, and else from an encoder that knows their length."""
+    names = table(spark, d, "part").filter("p_name IS NOT NULL").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("k"))
+    cache = names.filter("k <= 100").select(F.md5("text").alias("id"), F.array(F.col("k").cast("double")).alias("embedding"))
+    found = K.embeddings_for(names, cache, lambda texts: [[-float(len(t))] for t in texts])
+    return found.select("text", "hit", F.col("embedding")[0].alias("x"))
+
+
 @query("""WITH c AS (SELECT id, coalesce(access_count, 0) AS n, last_accessed FROM embedding_cache WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_accessed DESC NULLS LAST) = 1)
 SELECT id, n + (n >= 3)::INT AS access_count, CASE WHEN n >= 3 THEN TIMESTAMP '2030-01-01' ELSE last_accessed END AS last_accessed FROM c""")
 def s_cache_access(spark, d):
@@ -966,10 +983,10 @@ def v_top_similar(spark, d):
 
 
 @query(f"""WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY ALL), l AS (SELECT label, list(v ORDER BY i) AS e FROM m GROUP BY 1)
-SELECT label AS community, round(list_cosine_similarity(e, {PROBE}), 6) AS similarity FROM l WHERE list_cosine_similarity(e, {PROBE}) >= -1 ORDER BY list_cosine_similarity(e, {PROBE}) DESC, label LIMIT 5""")
+SELECT label AS community, round(list_cosine_similarity(e, {PROBE}), 6) AS similarity FROM l WHERE list_cosine_similarity(e, {PROBE}) >= 0.3 ORDER BY list_cosine_similarity(e, {PROBE}) DESC, label LIMIT 5""")
 def v_communities(spark, d):
     e, q = _vectors(spark, d)
-    return R.communities_for(e.select("id", "embedding"), e.select("id", "community"), q, least=-1.0).withColumn("similarity", F.round("similarity", 6))
+    return R.communities_for(e.select("id", "embedding"), e.select("id", "community"), q).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(with_(SIM) + f""", a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], {PROBE}) DESC, vec_id) AS k FROM embeddings), b AS (SELECT id, row_number() OVER (ORDER BY d DESC, id) AS k FROM sd)
@@ -1053,10 +1070,20 @@ def z_hierarchy(spark, d):
     return S.hierarchy(X.entities(spark, d), X.relationships(spark, d), _groups(spark, d))
 
 
-@query("SELECT level, count(*) AS n, max(last_updated) AS latest FROM (SELECT id, lower(trim(level)) AS level, max(last_updated) AS last_updated FROM graph_summaries GROUP BY ALL) GROUP BY 1")
+CURRENT = "cur AS (SELECT id, lower(trim(level)) AS level, content, last_updated FROM graph_summaries WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_updated DESC NULLS LAST) = 1)"
+
+
+@query(f"WITH {CURRENT} SELECT level, count(*) AS n, max(last_updated) AS latest FROM cur GROUP BY 1")
 def z_by_level(spark, d):
-    s = table(spark, d, "graph_summaries").groupBy("id", F.lower(F.trim("level")).alias("level")).agg(F.max("last_updated").alias("last_updated"))
-    return s.groupBy("level").agg(F.count("*").alias("n"), F.max("last_updated").alias("latest"))
+    return S.level_counts(S.current(table(spark, d, "graph_summaries")))
+
+
+@query(f"WITH {CURRENT} SELECT id, level, content FROM cur WHERE level = 'community' UNION ALL SELECT id, 'by id', content FROM cur WHERE id = (SELECT min(id) FROM cur)")
+def z_stored(spark, d):
+    """Stored summaries of one level, and one by its id."""
+    s = S.current(table(spark, d, "graph_summaries"))
+    one = s.agg(F.min("id")).first()[0]
+    return S.by_level(s, "community").select("id", "level", "content").union(S.by_id(s, one).select("id", F.lit("by id"), "content"))
 
 
 # ---- time windows ----
@@ -1160,6 +1187,22 @@ def b_semantic_triples(spark, d):
     return B.semantic_errors(t, ontology).groupBy("error").agg(F.count("*").alias("n"))
 
 
+@query(with_(NAMED) + "SELECT type IS NOT NULL AND regexp_full_match(text, '[a-zA-Z0-9_-]+') AS valid, count(*) AS n, count(DISTINCT text) AS texts FROM ex GROUP BY 1")
+def b_split_batch(spark, d):
+    """A validated batch, split."""
+    good, bad = B.split_batch(B.Validator().entities(_extracted(spark, d).select(F.col("text").alias("id"), "type")))
+    count = lambda rows, flag: rows.agg(F.lit(flag).alias("valid"), F.count("*").alias("n"), F.count_distinct("id").alias("texts"))
+    return count(good, True).union(count(bad, False))
+
+
+@query("""SELECT s.source_path AS id, CASE WHEN s.source_path IS NULL OR NOT regexp_full_match(s.source_path, '[a-zA-Z0-9_-]+') THEN 'format_error' ELSE 'duplicate' END AS error FROM source_documents s GROUP BY 1 HAVING count(*) > 1 OR s.source_path IS NULL OR NOT regexp_full_match(s.source_path, '[a-zA-Z0-9_-]+')
+UNION ALL SELECT doc_id, CASE WHEN doc_id IS NULL OR NOT regexp_full_match(doc_id, '[a-zA-Z0-9_-]+') THEN 'format_error' ELSE 'duplicate' END FROM source_documents GROUP BY 1 HAVING count(*) > 1 OR doc_id IS NULL OR NOT regexp_full_match(doc_id, '[a-zA-Z0-9_-]+')""")
+def b_document_ids(spark, d):
+    """Errors of two columns taken as ids of documents."""
+    s = table(spark, d, "source_documents")
+    return B.document_id_errors(s.select(F.col("source_path").alias("id")), "id").union(B.document_id_errors(s.select(F.col("doc_id").alias("id")), "id"))
+
+
 @query("SELECT query_type AS operation, count(*) AS n FROM (SELECT DISTINCT query_id, query_type FROM query_stats) GROUP BY 1")
 def b_operations(spark, d):
     q = table(spark, d, "query_stats").select("query_id", "query_type").distinct()

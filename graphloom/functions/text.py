@@ -126,6 +126,13 @@ def query_numbers(query: Column) -> Column:
     return F.map_from_arrays(F.regexp_extract_all(query, F.lit(pattern), F.lit(1)), F.transform(F.regexp_extract_all(query, F.lit(pattern), F.lit(2)), lambda x: x.cast("double")))
 
 
+def query_strings(query: Column) -> Column:
+    """map of ``$name: 'text'`` and ``$name = "text"`` parameters, without their quotes."""
+    pattern = r"\$(\w+)\s*[:=]\s*(?:'([^']*)'|\"([^\"]*)\")"
+    part = lambda i: F.regexp_extract_all(query, F.lit(pattern), F.lit(i))
+    return F.map_from_arrays(part(1), F.zip_with(part(2), part(3), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))))
+
+
 def query_cost(query: Column) -> Column:
     """1 plus the weight of each clause that is present."""
     q = F.upper(query)
@@ -159,6 +166,11 @@ def backoff(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt))
 
 
+def jittered(delay: Column, key: Column, share: float = 0.05) -> Column:
+    """A delay up to ``share`` longer or shorter, by the hash of a key, so that it is the same when it is computed again."""
+    return delay * (1 + share * (F.pmod(F.xxhash64(key), F.lit(2001)) - 1000) / 1000)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
 

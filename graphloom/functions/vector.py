@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,9 +69,12 @@ def similar_pairs(df: DataFrame, key: str, embedding: str, least: float) -> Data
     kind = df.schema[key].dataType.simpleString()
     base = df.filter(F.col(key).isNotNull() & F.col(embedding).isNotNull()).select(F.col(key).alias("k"), F.col(embedding).cast("array<double>").alias("e"))
     n = base.count()
-    every = max(1, n // SAMPLE)
-    sample = base.filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).select("e").limit(2 * SAMPLE).toArrow().column("e")  # the bound of the fit
-    pivots = pivots_of(units(sample), max(1, -(-n // BLOCK))) if len(sample) else np.zeros((1, 1))
+    if n <= BLOCK:
+        pivots = np.zeros((1, 1))  # one block, which meets itself
+    else:
+        every = max(1, n // SAMPLE)
+        sample = base.filter(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).select("e").limit(2 * SAMPLE).toArrow().column("e")  # the bound of the fit
+        pivots = pivots_of(units(sample), -(-n // BLOCK)) if len(sample) else np.zeros((1, 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,11 +86,14 @@ def similar_pairs(df: DataFrame, key: str, embedding: str, least: float) -> Data
             own = s.argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int32()), pa.array(np.arccos(s[np.arange(len(own)), own]) if len(own) else np.zeros(0))], names=["k", "e", "p", "angle"])
 
-    dealt = base.mapInArrow(deal, f"k {kind}, e array<double>, p int, angle double")
-    sizes = {r["p"]: (r["n"], r["far"]) for r in dealt.groupBy("p").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()}  # a row a pivot
+    if len(pivots) == 1:
+        dealt, sizes = base.withColumn("p", F.lit(0)), {0: (n, math.pi)} if n else {}
+    else:
+        dealt = base.mapInArrow(deal, f"k {kind}, e array<double>, p int, angle double")
+        sizes = {r["p"]: (r["n"], r["far"]) for r in dealt.groupBy("p").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()}  # a row a pivot
     blocks = [(p, i) for p in sorted(sizes) for i in range(-(-sizes[p][0] // BLOCK))]
     first = {p: next(b for b, (q, _) in enumerate(blocks) if q == p) for p in sizes}
-    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) > 1 else np.zeros((1, 1))
     reach = float(np.arccos(np.clip(least, -1, 1)))
     meets = [(a, b) for a, (p, _) in enumerate(blocks) for b, (q, _) in enumerate(blocks) if a <= b and (least <= 0 or between[p, q] <= reach + sizes[p][1] + sizes[q][1] + 1e-9)]
     if not meets:

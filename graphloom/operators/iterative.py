@@ -15,17 +15,53 @@ from graphloom.operators.graph import both_ways, degrees, triangles
 from graphloom.session import cut
 
 
+FLUSH = 1_000_000  # nodes that a task joins up before it hands them on
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """a, b: for each partition of the edges, its nodes with the smallest that edges of the partition lead to; the same components from fewer edges."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def top(x):
+            while (p := up.setdefault(x, x)) != x:
+                up[x] = x = up[p]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            found = [(x, top(x)) for x in list(up)]
+            found = [(x, r) for x, r in found if x != r]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], ids), pa.array([r for _, r in found], ids)], names=["a", "b"])
+
+        ids = None
+        for batch in batches:
+            ids = batch.column(0).type
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > FLUSH:
+                yield stars()
+        if up:
+            yield stars()
+
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id), by alternating large-star and small-star rounds.
 
-    Every round links neighbours to the smallest id seen, so the rounds grow with the logarithm of the longest path, and
-    no neighbourhood is ever collected.
+    Each partition's edges are contracted first.  Every round links neighbours to the smallest id seen, so the rounds grow with
+    the logarithm of the longest path, and no neighbourhood is ever collected.
     """
 
     def mark(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first())
 
-    e = cut(edges.select("a", "b").filter("a <> b").distinct())
+    e = cut(contracted(edges.filter("a <> b")).distinct())
     before = mark(e)
     while True:
         ways = both_ways(e)
@@ -45,30 +81,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame, by: str) -> DataFrame:
-    """Rows kept on disk where rounds look for them, so that a round only shuffles what changes; lost ones are made again."""
+    """Rows kept on disk where rounds look for them, so that a round only shuffles what changes; lost ones are made again.
+
+    What changes is joined with a hash table of its partition, so that the rows aren't sorted in each round.
+    """
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).persist(StorageLevel.DISK_ONLY)
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """id, rank on a simple undirected graph, uniform start; ends with the first round whose total change is below tolerance * n."""
-    ways = both_ways(edges)
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, together: int = 4) -> DataFrame:
+    """id, rank on a simple undirected graph, uniform start; ends with the first round whose total change is below tolerance * n.
+
+    ``together`` rounds are one plan, of a join and a sum each: a loop at each node carries its ranks before along,
+    so that the changes of all of them are known at once.
+    """
+    ways = both_ways(cut(edges.select("a", "b")))
     deg = cut(ways.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")))
     n = deg.count()
     if not n:
         return deg.select("id", F.lit(0.0).alias("rank"))
-    out = placed(ways.join(deg.withColumnRenamed("id", "src"), "src"), "src")
-    rank = deg.select("id", F.lit(1.0 / n).alias("rank"))
-    for _ in range(rounds):
-        # Every node of this graph has an edge, so each gets a sum and none dangles.
-        given = out.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("d")).alias("s"))
-        new = given.select("id", ((1 - damping) / n + damping * F.col("s")).alias("rank"))
-        both = cut(new.join(rank.withColumnRenamed("rank", "was"), "id"))
-        change = both.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        rank = both.select("id", "rank")
-        if change < n * tolerance:
+    share = ways.join(deg.withColumnRenamed("id", "src"), "src").select("src", "dst", (1.0 / F.col("d")).alias("w"))
+    out = placed(share.union(deg.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("double").alias("w"))), "src")
+    rank, done, last = deg.select("id", F.lit(1.0 / n).alias("r0")), 0, 0
+    while done < rounds:
+        steps = min(together, rounds - done)
+        for i in range(1, steps + 1):
+            kept = [F.max(F.when(F.col("w").isNull(), F.col(f"r{j}"))).alias(f"r{j}") for j in range(i)]
+            # Every node of this graph has an edge, so each gets a sum and none dangles.
+            given = out.join(rank.withColumnRenamed("id", "src").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col(f"r{i - 1}") * F.col("w")).alias("s"), *kept)
+            rank = given.select("id", *[f"r{j}" for j in range(i)], ((1 - damping) / n + damping * F.col("s")).alias(f"r{i}"))
+        rank = cut(rank)
+        changes = rank.agg(*[F.sum(F.abs(F.col(f"r{i}") - F.col(f"r{i - 1}"))) for i in range(1, steps + 1)]).first()
+        last = next((i for i in range(1, steps + 1) if changes[i - 1] < n * tolerance), 0)
+        if last:
             break
+        done, rank = done + steps, rank.select("id", F.col(f"r{steps}").alias("r0"))
     out.unpersist()
-    return rank
+    return rank.select("id", F.col(f"r{last}").alias("rank"))
 
 
 def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
@@ -76,14 +124,14 @@ def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) ->
 
     Every fifth round is compared with the fifth before; the iteration ends where the total change is below tolerance * n.
     """
-    both = both_ways(edges)
+    both = both_ways(cut(edges.select("a", "b")))
     # With a loop at each node, a round is one join and one sum.
     ways = placed(both.union(both.select("src", F.col("src").alias("dst")).distinct()), "src")
     x = ways.filter("src = dst").select(F.col("src").alias("id"), F.lit(1.0).alias("x"))
     n = x.count()
     last = None
     for i in range(1, rounds + 1):
-        x = ways.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x"))
+        x = ways.join(x.withColumnRenamed("id", "src").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x"))
         if i % 5 and i < rounds:
             continue
         top = cut(x)
@@ -237,7 +285,7 @@ def leading_vectors(entries: DataFrame, k: int, shift: float = 0.0, rounds: int
 
     def product(x: DataFrame, to: str = "x") -> DataFrame:
         sums = [F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in cols]
-        moved = m.join(x.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(*sums)
+        moved = m.join(x.withColumnRenamed("id", "src").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(*sums)
         return moved.select("id", *[F.col(f"s{c}").alias(to + c[1:]) for c in cols])
 
     def whitening(g: np.ndarray) -> np.ndarray:
@@ -358,6 +406,7 @@ def spectral_communities(edges: DataFrame, weight: str | None = None, n_clusters
         return total.select(F.col("src").alias("id"), F.lit(0).alias("community")).limit(0)
     k = n_clusters or estimate_clusters(leading_vectors(ways, min(most_clusters + 1, n))[1], n, faithful)
     k = min(k, n)
+    total = cut(total)
     scaled = ways.join(total, "src").join(total.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.greatest(F.col("d") * F.col("e"), F.lit(1e-12)))).alias("w"))
     x, _ = leading_vectors(scaled, k, shift=1.0)
     cols = [c for c in x.columns if c != "id"]

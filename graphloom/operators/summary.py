@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import community_statistics, in_out_degree, induced, undirected
+from graphloom.operators.upserts import latest_by_key
 
 Generator = Callable[[Column], Column]
 
@@ -92,3 +93,21 @@ def hierarchy(entities: DataFrame, relationships: DataFrame, membership: DataFra
     groups = community_summaries(entities, relationships, membership, generate=generate).select(F.concat(F.lit("comm_"), F.col("community").cast("string")).alias("id"), F.lit("community").alias("level"), "content")
     whole = global_summary(entities, relationships, membership, generate).select(F.lit("global").alias("id"), F.lit("global").alias("level"), "content")
     return nodes.union(groups).union(whole)
+
+
+def current(summaries: DataFrame) -> DataFrame:
+    """The last updated row of each summary, with its level in one spelling."""
+    return latest_by_key(summaries.filter("id IS NOT NULL").withColumn("level", F.lower(F.trim("level"))), "id", "last_updated")
+
+
+def by_id(summaries: DataFrame, id: str) -> DataFrame:
+    return summaries.filter(F.col("id") == id)
+
+
+def by_level(summaries: DataFrame, level: str) -> DataFrame:
+    return summaries.filter(F.col("level") == level)
+
+
+def level_counts(summaries: DataFrame) -> DataFrame:
+    """level, n, latest of current summaries."""
+    return summaries.groupBy("level").agg(F.count("*").alias("n"), F.max("last_updated").alias("latest"))

@@ -107,3 +107,10 @@ def integrity(table: DataFrame, columns: list[str]) -> DataFrame:
 def duplicates(table: DataFrame, key: str) -> DataFrame:
     """Keys that several rows hold: the uniqueness constraint as a query."""
     return table.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def document_id_errors(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, error of ids that are missing or have other characters than letters, digits, _ and - (format_error), or that several rows hold (duplicate)."""
+    held = documents.groupBy(key).agg(F.count("*").alias("n"))
+    error = F.when(~F.coalesce(F.col(key).cast("string").rlike(ID_FORMAT), F.lit(False)), "format_error").when(F.col("n") > 1, "duplicate")
+    return held.select(key, error.alias("error")).filter("error IS NOT NULL")

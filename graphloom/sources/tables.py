@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +45,24 @@ def accessed(cache: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     seen = cache.join(ids.select("id", F.lit(True).alias("_hit")).distinct(), "id", "left")
     count = (F.coalesce("access_count", F.lit(0)) + hit.cast("int")).cast(cache.schema["access_count"].dataType)
     return seen.withColumn("access_count", count).withColumn("last_accessed", F.when(hit, now).otherwise(F.col("last_accessed"))).select(*cache.columns)
+
+
+BATCH = 32  # texts that an encoder gets at once
+
+
+def embeddings_for(texts: DataFrame, cache: DataFrame, encode: Callable[[list[str]], list[list[float]]], text: str = "text") -> DataFrame:
+    """text, cache_id, embedding, hit of different texts: cached vectors, and for the rest those of the encoder, which gets batches of 32.
+
+    Rows without ``hit`` are what the cache lacks.  Null texts have no row.
+    """
+    found = cached_embeddings(texts.select(text).filter(F.col(text).isNotNull()).distinct(), cache, text).select(text, "cache_id", "embedding", "hit")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            new: list = []
+            for i in range(0, len(f), BATCH):
+                new += encode(f[text].iloc[i : i + BATCH].tolist())
+            yield f.assign(embedding=new)
+
+    made = found.filter("NOT hit").mapInPandas(run, found.schema)
+    return found.filter("hit").union(made)

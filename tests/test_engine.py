@@ -33,6 +33,9 @@ def test_text_functions(spark):
     rel = T.parse_relationships(F.lit("Relationships:\nJean-Luc - knows - Will\na - b - c"))
     assert [x.target for x in value(spark, rel)] == ["c"]
     conf = lambda n, r: value(spark, T.extraction_confidence(F.lit(n), F.lit(r)))
+    late = spark.range(500).select(T.jittered(F.lit(10.0), F.col("id")).alias("v")).agg(F.min("v"), F.max("v")).first()
+    assert 9.5 <= late[0] < 9.7 and 10.3 < late[1] <= 10.5
+    assert value(spark, T.query_strings(F.lit("f($a: 'x y', $b = \"\", $c: 3)"))) == {"a": "x y", "b": ""}
     assert conf(0, 0) == 0.0 and conf(10, 5) == 1.0 and conf(2, 0) == pytest.approx(0.1)
     assert value(spark, T.query_type(F.lit("MATCH (n) WHERE n.x=1 RETURN COUNT(n)"))) == "pattern_matching"
     assert value(spark, T.query_type(F.lit("RETURN account"))) == "aggregation"
