@@ -983,10 +983,11 @@ def v_top_similar(spark, d):
 
 
 @query(f"""WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, i, avg(v) AS v FROM x GROUP BY ALL), l AS (SELECT label, list(v ORDER BY i) AS e FROM m GROUP BY 1)
-SELECT label AS community, round(list_cosine_similarity(e, {PROBE}), 6) AS similarity FROM l WHERE list_cosine_similarity(e, {PROBE}) >= 0.3 ORDER BY list_cosine_similarity(e, {PROBE}) DESC, label LIMIT 5""")
+SELECT label AS community, round(list_cosine_similarity(e, {PROBE}), 6) AS similarity FROM l WHERE list_cosine_similarity(e, {PROBE}) >= 0.0 ORDER BY list_cosine_similarity(e, {PROBE}) DESC, label LIMIT 5""")
 def v_communities(spark, d):
     e, q = _vectors(spark, d)
-    return R.communities_for(e.select("id", "embedding"), e.select("id", "community"), q).withColumn("similarity", F.round("similarity", 6))
+    # No community here is as alike as the default asks for.
+    return R.communities_for(e.select("id", "embedding"), e.select("id", "community"), q, least=0.0).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(with_(SIM) + f""", a AS (SELECT vec_id AS id, row_number() OVER (ORDER BY list_cosine_similarity(embedding::DOUBLE[], {PROBE}) DESC, vec_id) AS k FROM embeddings), b AS (SELECT id, row_number() OVER (ORDER BY d DESC, id) AS k FROM sd)
