@@ -242,6 +242,7 @@ def drop_weakest(edges: DataFrame, level: float) -> DataFrame:
 
     Edges with the k-th confidence are ranked by their hash ranges, so that many ties aren't one task.
     """
+    edges = cut(edges)  # read several times
     m = edges.count()
     k = int(m * level)
     if not k:
