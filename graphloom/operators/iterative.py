@@ -88,6 +88,17 @@ def placed(rows: DataFrame, by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).persist(StorageLevel.DISK_ONLY)
 
 
+def cut_as_planned(df: DataFrame) -> DataFrame:
+    """``cut`` without planning again after each of many shuffles of like size, which would take longer than they do."""
+    conf = df.sparkSession.conf
+    was = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, together: int = 4) -> DataFrame:
     """id, rank on a simple undirected graph, uniform start; ends with the first round whose total change is below tolerance * n.
 
@@ -268,26 +279,43 @@ def random_walks(edges: DataFrame, starts: DataFrame, steps: int = 20, seed: int
     return out
 
 
-POWERS = 6  # products with the matrix between two orthonormalisations
+POWERS, MOST_POWERS = 6, 10  # products with the matrix between two orthonormalisations: in the first round, at most
+APART = 1e5  # how far vectors may grow apart between two orthonormalisations
 
 
-def leading_vectors(entries: DataFrame, k: int, shift: float = 0.0, rounds: int = 30, tolerance: float = 1e-4, seed: int = 42) -> tuple[DataFrame, list[float]]:
+def leading_vectors(entries: DataFrame, k: int, shift: float = 0.0, rounds: int = 30, tolerance: float = 1e-4, seed: int = 42, definite: bool = False) -> tuple[DataFrame, list[float]]:
     """id, x0 ... (k columns) and the k eigenvalues of greatest size of a symmetric matrix plus ``shift`` times the identity.
 
     ``entries`` are src, dst, w, each in both orientations.  Orthogonal iteration: the matrix meets the vectors by a join,
-    and only the k x k products of the vectors reach the driver.  A pair of start vectors more than wanted speeds it up.
+    and only the k x k products of the vectors reach the driver.  Some start vectors more than wanted speed it up, and from the
+    second round on the products are those of the Chebyshev polynomial that stays small where eigenvalues aren't wanted:
+    up to the least found so far by size, or between 0 and it where no eigenvalue is negative (``definite``, with the shift).
     """
     ids = cut(entries.select(F.col("src").alias("id")).distinct())
     n = ids.count()
     same = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(float(shift)).alias("w"))
-    m = placed(entries.select("src", "dst", "w").union(same) if shift else entries, "src")
-    cols = [f"x{i}" for i in range(min(k + 2, n))]
+    loops = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("double").alias("w"))  # carry a node's own values along
+    m = placed((entries.select("src", "dst", "w").union(same) if shift else entries.select("src", "dst", "w")).union(loops), "src")
+    cols = [f"x{i}" for i in range(min(max(k + 2, 8), n))]
 
     def product(x: DataFrame, to: str = "x") -> DataFrame:
         sums = [F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in cols]
         moved = m.join(x.withColumnRenamed("id", "src").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(*sums)
         return moved.select("id", *[F.col(f"s{c}").alias(to + c[1:]) for c in cols])
 
+    def filtered(x: DataFrame, low: float, high: float, powers: int) -> DataFrame:
+        """Chebyshev polynomial on low ... high, up to a factor; each term is a join and a sum.
+
+        The interval is data, not part of the plan, so that code is compiled in one round only.
+        """
+        x = x.select("*", F.lit((high + low) / 2).alias("mid"), F.lit(((high - low) / 4) ** 2).alias("q"), *[F.lit(0.0).alias(f"b{c}") for c in cols])
+        for step in range(powers):
+            moved = m.join(x.withColumnRenamed("id", "src").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id"))
+            sums = [F.expr(f"sum(if(w is null, -{c} * mid - b{c} * q, {c} * w)) AS s{c}") for c in cols]
+            own = [F.expr(f"max(if(w is null, {c}, null)) * {1 if step else 2}D AS b{c}") for c in cols]
+            x = moved.agg(*sums, *own, F.expr("max(mid) AS mid"), F.expr("max(q) AS q")).selectExpr("id", "mid", "q", *[f"s{c} AS {c}" for c in cols], *[f"b{c}" for c in cols])
+        return x.select("id", *cols)
+
     def whitening(g: np.ndarray) -> np.ndarray:
         values, vectors = np.linalg.eigh(g)
         return vectors / np.sqrt(np.maximum(values, values.max() * 1e-13))
@@ -295,9 +323,16 @@ def leading_vectors(entries: DataFrame, k: int, shift: float = 0.0, rounds: int
     x = ids.select("id", *[(F.xxhash64(F.lit(seed), F.lit(c), "id") / float(2**63)).alias(c) for c in cols])
     before = None
     for _ in range(rounds):
-        for _ in range(POWERS):
-            x = product(x)
-        x = cut(x)
+        edge = 0.0 if before is None else float(np.abs(before).min())
+        low = 0.0 if definite else -edge
+        if before is not None and edge > np.abs(before).max() * 1e-6:
+            reach = (np.abs(before).max() - (edge + low) / 2) / ((edge - low) / 2)
+            powers = int(np.clip(np.log(2 * APART) / max(np.arccosh(max(reach, 1.0)), 1e-9), 2, MOST_POWERS))
+            x = filtered(x, low, edge, powers)
+        else:
+            for _ in range(POWERS):
+                x = product(x)
+        x = cut_as_planned(x)
         basis = whitening(products(x, cols, cols))
         both = cut(product(x, "y").join(x, "id"))
         # The matrix seen from the basis, and the best vectors that it holds.
@@ -408,7 +443,7 @@ def spectral_communities(edges: DataFrame, weight: str | None = None, n_clusters
     k = min(k, n)
     total = cut(total)
     scaled = ways.join(total, "src").join(total.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst").select("src", "dst", (F.col("w") / F.sqrt(F.greatest(F.col("d") * F.col("e"), F.lit(1e-12)))).alias("w"))
-    x, _ = leading_vectors(scaled, k, shift=1.0)
+    x, _ = leading_vectors(scaled, k, shift=1.0, definite=weight is None)
     cols = [c for c in x.columns if c != "id"]
     length = F.sqrt(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0)))
     found = nearest_centres(cut(x.select("id", *[(F.col(c) / F.greatest(length, F.lit(1e-12))).alias(c) for c in cols])), k)

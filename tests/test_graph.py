@@ -213,6 +213,20 @@ def test_leading_vectors_equal_a_dense_solver(spark):
     assert np.linalg.norm(m @ top - values[0] * top) == pytest.approx(0, abs=1e-3)
 
 
+def test_leading_vectors_of_close_eigenvalues_are_found_in_few_rounds(spark):
+    import numpy as np
+
+    n = 60
+    m = np.zeros((n, n))
+    for i in range(n - 1):  # a chain: neighbouring eigenvalues differ by less than a hundredth
+        m[i, i + 1] = m[i + 1, i] = 1.0
+    entries = spark.createDataFrame([(int(i), int(j), 1.0) for i, j in zip(*np.nonzero(m))], "src int, dst int, w double")
+    x, values = I.leading_vectors(entries, 3, shift=2.0, rounds=5)
+    assert values == pytest.approx(sorted(np.linalg.eigvalsh(m), reverse=True)[:3], abs=1e-4)
+    top = np.array([r.x0 for r in x.orderBy("id").collect()])
+    assert np.linalg.norm(m @ top - values[0] * top) == pytest.approx(0, abs=1e-2)
+
+
 def test_shared_neighbours_equal_brute_force(spark):
     rng = random.Random(5)
     pairs = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(90)} | {(0, i) for i in range(1, 25)}  # a hub
