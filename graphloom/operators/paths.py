@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import jaccard
 from graphloom.functions.vector import cosine, literal
-from graphloom.operators.graph import undirected
 from graphloom.session import cut
 
 # ---- Fixed values: nodes of a path, paths, weight of the semantic cost, least distance of paths ----
 MAX_NODES, MAX_PATHS, SEMANTIC, DIVERSE = 6, 5, 0.4, 0.3
 # ---- End of fixed values ----
+SMALL_ROWS = 500_000  # ids or short paths that go to every task at most; more are joined by a shuffle
 
 
 def semantic_cost(query: Column, src: Column, dst: Column, rel: Column) -> Column:
@@ -38,7 +39,8 @@ def costed(relationships: DataFrame, vectors: DataFrame | None = None, query: li
     have no vector of their own.  Without them ``semantic`` is 0.
     """
     rows = relationships.select("src", "dst", "type", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-    e = undirected(rows).filter("src <> dst")
+    # A union, as conditions on its ends are passed on to the relationships' own tables.
+    e = rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "confidence")).filter("src <> dst")
     if vectors is not None and query is not None:
         like = vectors.select("id", cosine(F.col("embedding"), literal(query)).alias("_s"))
         e = e.join(like.select(F.col("id").alias("src"), F.col("_s").alias("_a")), "src", "left").join(like.select(F.col("id").alias("dst"), F.col("_s").alias("_b")), "dst", "left")
@@ -118,30 +120,61 @@ def hops_to(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     return found
 
 
+def stepped(edges: DataFrame, front: DataFrame, rows: int, near: str = "src", far: str = "dst") -> DataFrame:
+    """Rows of ``front`` (id and more; ``rows`` of them) with each edge at their id: its other end ``to``, its cost ``c``.
+
+    Few rows go to the edges before parallel ones are put together, so that no others are shuffled.
+    """
+    step = edges.select(F.col(near).alias("id"), F.col(far).alias("to"), F.col("cost").alias("c"))
+    if rows > SMALL_ROWS:
+        return step.join(front, "id")
+    return step.join(F.broadcast(front.select("id").distinct()), "id", "left_semi").join(F.broadcast(front), "id")
+
+
 def simple_paths(edges: DataFrame, start: str, end: str, max_edges: int = 5) -> DataFrame:
-    """nodes, cost, hops of every simple path between two nodes.  Only nodes that can still reach the end in time are walked."""
-    ways = cut(edges.select("src", "dst", "cost"))
-    # Distance of each node to the end, breadth first, to prune the walk.
+    """nodes, cost, hops of every simple path between two nodes.
+
+    Walks grow from both ends, always the fewer ones, and meet: ``edges`` are read a step at a time, and only those at the
+    walks' ends are looked at.
+    """
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-    near = spark.createDataFrame([(end, 0)], f"id {kind}, togo int")
-    front = near
-    for d in range(1, max_edges + 1):
-        front = front.select(F.col("id").alias("src")).join(ways, "src").select(F.col("dst").alias("id")).distinct().join(near, "id", "left_anti").withColumn("togo", F.lit(d))
-        near = cut(near.unionByName(front))
-        front = near.filter(F.col("togo") == d)
-    walk = spark.createDataFrame([(start, [start], 0)], f"id {kind}, nodes array<{kind}>, cost bigint")
-    if start == end:
-        return walk.select("nodes", "cost", F.lit(0).alias("hops")).limit(0)
-    done = None
-    for hops in range(1, max_edges + 1):
-        step = walk.join(ways.withColumnRenamed("src", "id").withColumnRenamed("cost", "c"), "id").filter(~F.array_contains("nodes", F.col("dst")))
-        walk = step.select(F.col("dst").alias("id"), F.concat("nodes", F.array("dst")).alias("nodes"), (F.col("cost") + F.col("c")).alias("cost"))
-        walk = cut(walk.join(near, "id").filter(F.col("togo") <= max_edges - hops).drop("togo"))
-        rows = walk.filter(F.col("id") == end).select("nodes", "cost", F.lit(hops).alias("hops"))
-        done = rows if done is None else done.unionByName(rows)
-        walk = walk.filter(F.col("id") != end)
-    return done
+    form = f"id {kind}, nodes array<{kind}>, cost bigint"
+    ahead, back = spark.createDataFrame([(start, [start], 0)], form), spark.createDataFrame([(end, [end], 0)], form)
+    if start == end or max_edges < 1:
+        return ahead.select("nodes", "cost", F.lit(0).alias("hops")).limit(0)
+    sizes, hops, done, backs = [1, 1], [0, 0], [], []
+    for left in range(max_edges - 1, -1, -1):
+        if not min(sizes):  # no walk goes on from one of the ends
+            break
+        forth = sizes[0] <= sizes[1]
+        if forth:
+            step = stepped(edges, ahead, sizes[0]).filter(~F.array_contains("nodes", F.col("to")))
+            walk = step.select(F.col("to").alias("id"), F.concat("nodes", F.array("to")).alias("nodes"), (F.col("cost") + F.col("c")).alias("cost"))
+        else:
+            step = stepped(edges, back, sizes[1], "dst", "src").filter(~F.array_contains("nodes", F.col("to")) & (F.col("to") != start))
+            walk = step.select(F.col("to").alias("id"), F.concat(F.array("to"), "nodes").alias("nodes"), (F.col("cost") + F.col("c")).alias("cost"))
+        if left:  # the last step, mostly the largest, isn't kept
+            walk = cut(walk)
+        side = 0 if forth else 1
+        hops[side] += 1
+        if forth:
+            done.append(walk.filter(F.col("id") == end).select("nodes", "cost", F.lit(hops[0]).alias("hops")))
+            ahead = walk.filter(F.col("id") != end)
+        else:
+            back = walk
+            backs.append(walk)
+        if left:
+            sizes[side] = (ahead if forth else back).count()
+    # A longer path is a walk ahead of just so many edges and a walk back.
+    for length, walk in enumerate(backs, 1):
+        both = ahead.select("id", F.col("nodes").alias("_a"), F.col("cost").alias("_c")).join(walk.select("id", F.col("nodes").alias("_b"), F.col("cost").alias("_d")), "id")
+        both = both.filter(F.size(F.array_intersect("_a", "_b")) == 1)
+        done.append(both.select(F.concat("_a", F.slice("_b", 2, length)).alias("nodes"), (F.col("_c") + F.col("_d")).alias("cost"), F.lit(hops[0] + length).alias("hops")))
+    every = done[0]
+    for x in done[1:]:
+        every = every.unionByName(x)
+    return every
 
 
 def diverse_paths(paths: DataFrame, most: int = MAX_PATHS, least: float = DIVERSE) -> DataFrame:
@@ -149,7 +182,7 @@ def diverse_paths(paths: DataFrame, most: int = MAX_PATHS, least: float = DIVERS
 
     The distance of two paths is one minus the Jaccard similarity of their nodes; the penalty is (1 - distance) * least.
     """
-    paths = cut(paths)
+    paths = paths.persist(StorageLevel.DISK_ONLY)  # in compressed columns; a shared file would hold each row as it is
     spark, chosen, rows = paths.sparkSession, [], []
     for place in range(1, most + 1):  # at most five rows reach the driver
         far = F.lit(1.0)
@@ -161,6 +194,7 @@ def diverse_paths(paths: DataFrame, most: int = MAX_PATHS, least: float = DIVERS
             break
         chosen.append(best["nodes"])
         rows.append((place, best["nodes"], best["cost"], best["penalty"]))
+    paths.unpersist()
     kind = paths.schema["nodes"].dataType.simpleString()
     return spark.createDataFrame(rows, f"place int, nodes {kind}, cost bigint, penalty double")
 

@@ -227,6 +227,30 @@ def test_leading_vectors_of_close_eigenvalues_are_found_in_few_rounds(spark):
     assert np.linalg.norm(m @ top - values[0] * top) == pytest.approx(0, abs=1e-2)
 
 
+def test_simple_and_diverse_paths_equal_brute_force(spark):
+    rng = random.Random(11)
+    pairs = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(30)})
+    c = P.costed(spark.createDataFrame([(f"n{a}", f"n{b}", "r", rng.random()) for a, b in pairs], "src string, dst string, type string, confidence double"))
+    cost = {(r.src, r.dst): r.cost for r in c.collect()}
+
+    def walk(path, end, most):
+        if path[-1] == end:
+            yield tuple(path), sum(cost[e] for e in zip(path, path[1:])), len(path) - 1
+        elif len(path) <= most:
+            for a, b in cost:
+                if a == path[-1] and b not in path:
+                    yield from walk([*path, b], end, most)
+
+    for most in (2, 5):
+        got = sorted((tuple(r.nodes), r.cost, r.hops) for r in P.simple_paths(c, "n0", "n9", most).collect())
+        assert got == sorted(walk(["n0"], "n9", most))
+    want, left = [], list(walk(["n0"], "n9", 5))
+    far = lambda p, chosen: min([1 - len(set(p) & set(x)) / len(set(p) | set(x)) for x in chosen], default=1.0)
+    while len(want) < 5 and (open_ := [x for x in left if far(x[0], want) >= 0.3]):
+        want.append(min(open_, key=lambda x: (x[1] + (1 - far(x[0], want)) * 0.3 * 1e6, x[2], x[0]))[0])
+    assert [tuple(r.nodes) for r in P.diverse_paths(P.simple_paths(c, "n0", "n9")).orderBy("place").collect()] == want
+
+
 def test_shared_neighbours_equal_brute_force(spark):
     rng = random.Random(5)
     pairs = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(90)} | {(0, i) for i in range(1, 25)}  # a hub
