@@ -227,6 +227,22 @@ def test_leading_vectors_of_close_eigenvalues_are_found_in_few_rounds(spark):
     assert np.linalg.norm(m @ top - values[0] * top) == pytest.approx(0, abs=1e-2)
 
 
+def test_path_steps_shuffle_only_edges_at_their_walks(spark):
+    """What a step from few walks reads of the relationships is cut down below every shuffle."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"x{i}", f"y{i % 7}", 0.5) for i in range(500)] + [("s", "x1", 0.5)]
+    raw = spark.createDataFrame(rows, "src string, dst string, confidence double").groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    c = P.costed(raw.withColumn("type", F.lit("r")))
+    step = P.stepped(c, spark.createDataFrame([("s",)], "id string"), 1)
+    assert step.count() == 1
+    plan = step._jdf.queryExecution().optimizedPlan().toString()
+    scans = [i for i, line in enumerate(plan.split("\n")) if "LogicalRDD" in line or "LocalRelation" in line]
+    below = [line.index("Aggregate") for line in plan.split("\n") if "Aggregate [src" in line]
+    semi = [line.index("Join") for line in plan.split("\n") if "LeftSemi" in line]
+    assert scans and len(semi) == 2 and max(below) < min(semi)
+
+
 def test_simple_and_diverse_paths_equal_brute_force(spark):
     rng = random.Random(11)
     pairs = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(30)})
