@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import jaccard
@@ -199,16 +199,65 @@ def diverse_paths(paths: DataFrame, most: int = MAX_PATHS, least: float = DIVERS
     return spark.createDataFrame(rows, f"place int, nodes {kind}, cost bigint, penalty double")
 
 
+def nearest_target(edges: DataFrame, start: str, targets: list[str], max_nodes: int = MAX_NODES) -> Row | None:
+    """cost, hops, nodes, id of the cheapest path to any of the targets, as ``cheapest_paths`` has it; None where there is none.
+
+    Least costs go out from the start (with the nodes so far, last first) and from the targets, always from the fewer nodes,
+    until no longer path can be as cheap; no cost may be negative.  Where the best path meets the costs from the targets, it
+    goes on to them along those nodes alone whose costs add up to the least.
+    """
+    spark = edges.sparkSession
+    kind = edges.schema["src"].dataType.simpleString()
+    aheads = [spark.createDataFrame([(start, 0, [start])], f"id {kind}, cost bigint, back array<{kind}>")]
+    backs = [spark.createDataFrame([(t, 0) for t in targets], f"id {kind}, togo bigint")]
+    sizes, lows, best = [1, len(targets)], [0, 0], None
+
+    def onward(front: DataFrame, rows: int) -> DataFrame:
+        step = stepped(edges, front, rows).filter(F.col("to") != start)
+        least = step.groupBy("to").agg(F.min(F.struct((F.col("cost") + F.col("c")).alias("cost"), "back")).alias("m"))
+        return least.select(F.col("to").alias("id"), "m.cost", F.concat(F.array("to"), "m.back").alias("back"))
+
+    def met(a: int, b: int) -> tuple[int, int] | None:
+        low = aheads[a].join(backs[b], "id").agg(F.min(F.col("cost") + F.col("togo"))).first()[0]
+        return None if low is None else (low, a + b)
+
+    for _ in range(max_nodes - 1):
+        if sizes[0] <= sizes[1]:
+            x = cut(onward(aheads[-1], sizes[0]))
+            aheads.append(x)
+            side, cost = 0, "cost"
+        else:
+            step = stepped(edges, backs[-1], sizes[1], "dst", "src").filter(~F.col("to").isin(*targets))
+            x = cut(step.groupBy(F.col("to").alias("id")).agg(F.min(F.col("togo") + F.col("c")).alias("togo")))
+            backs.append(x)
+            side, cost = 1, "togo"
+        sizes[side], lows[side] = x.agg(F.count("*"), F.min(cost)).first()
+        if not sizes[side]:
+            break
+        best = min((m for m in (best, met(len(aheads) - 1, len(backs) - 1)) if m), default=None)
+        if best and best[0] <= sum(lows):
+            break
+    if best is None:
+        return None
+    total, hops = best
+    at = min(hops, len(aheads) - 1)
+    while hops - at >= len(backs):  # no costs came that far from the targets
+        at += 1
+    front = aheads[at].join(backs[hops - at], "id").filter(F.col("cost") + F.col("togo") == total).select("id", "cost", "back")
+    for togo in range(hops - at - 1, -1, -1):
+        front = cut(front)
+        front = onward(front, front.count()).join(backs[togo], "id").filter(F.col("cost") + F.col("togo") == total).select("id", "cost", "back")
+    return front.agg(F.min(F.struct("cost", F.lit(hops).alias("hops"), F.reverse("back").alias("nodes"), "id")).alias("b")).first()["b"]
+
+
 def multi_target_paths(edges: DataFrame, start: str, targets: list[str], most: int = MAX_PATHS) -> DataFrame:
     """place, id, nodes, cost: repeatedly the cheapest remaining target from the same start, avoiding nodes used before."""
     spark = edges.sparkSession
     kind = edges.schema["src"].dataType.simpleString()
-    source = spark.createDataFrame([(start,)], f"id {kind}")
     left, used, rows = [t for t in targets if t != start], set(), []
     while left and len(rows) < most:
         open_ = edges.filter(~F.col("src").isin(*used) & ~F.col("dst").isin(*used)) if used else edges
-        wanted = spark.createDataFrame([(t,) for t in left], f"id {kind}")
-        best = cheapest_paths(open_, source, targets=wanted).agg(F.min(F.struct("cost", "hops", "nodes", "id")).alias("b")).first()["b"]
+        best = nearest_target(open_, start, left)
         if best is None:
             break
         rows.append((len(rows) + 1, best["id"], best["nodes"], best["cost"]))

@@ -267,6 +267,22 @@ def test_simple_and_diverse_paths_equal_brute_force(spark):
     assert [tuple(r.nodes) for r in P.diverse_paths(P.simple_paths(c, "n0", "n9")).orderBy("place").collect()] == want
 
 
+def test_nearest_target_is_the_best_of_the_cheapest_paths(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    pairs = sorted({tuple(sorted(rng.sample(range(24), 2))) for _ in range(32)})
+    rows = [(f"n{a}", f"n{b}", "r", rng.choice([1.0, 0.5])) for a, b in pairs]  # ties
+    c = P.costed(spark.createDataFrame(rows, "src string, dst string, type string, confidence double"))
+    start = spark.createDataFrame([("n0",)], "id string")
+    every = [tuple(r) for r in P.cheapest_paths(c, start).select("cost", "hops", "nodes", "id").collect()]
+    for targets in (["n9"], ["n5", "n17", "n20"], ["zz"]):
+        got = P.nearest_target(c, "n0", targets)
+        want = min((x for x in every if x[3] in targets), default=None)
+        assert (got and tuple(got)) == want
+    assert any(x[1] >= 4 for x in every)
+
+
 def test_shared_neighbours_equal_brute_force(spark):
     rng = random.Random(5)
     pairs = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(90)} | {(0, i) for i in range(1, 25)}  # a hub
