@@ -243,6 +243,24 @@ def test_path_steps_shuffle_only_edges_at_their_walks(spark):
     assert scans and len(semi) == 2 and max(below) < min(semi)
 
 
+def test_simple_paths_write_neither_all_edges_nor_whole_walks(spark, monkeypatch):
+    """Walks from either end are written, fewer than there are edges; the step at which they meet is not."""
+    pairs = [("s", "a"), ("a", "h"), ("h", "b"), ("b", "t")] + [("h", f"x{i}") for i in range(400)]
+    pairs += [(f"x{i}", f"y{j}") for i in range(20) for j in range(20)] + [("t", f"y{j}") for j in range(20)]
+    c = P.costed(spark.createDataFrame([(a, b, "r", 0.5) for a, b in pairs], "src string, dst string, type string, confidence double"))
+    written, keep = [], P.cut
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "cut", counted)
+    paths = [r.nodes for r in P.simple_paths(c, "s", "t", 4).collect()]
+    assert paths == [["s", "a", "h", "b", "t"]]
+    assert 0 < sum(written) < len(pairs)
+
+
 def test_simple_and_diverse_paths_equal_brute_force(spark):
     rng = random.Random(11)
     pairs = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(30)})
